@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL oracles."""
 
-from . import records  # noqa: F401
+from . import records, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -58,7 +58,6 @@ def _era_case(col: str, eras: list) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {col} END"
 
 
-_REG_YEAR = "reg"
 _RY = "TRY_CAST(substr(certno, 1, 4) AS INTEGER) AS ry"
 
 
@@ -386,10 +385,10 @@ def pr25(spark, sf):
 # --------------------------------------------------------------------------- filters
 
 
-@query("fl1_range_filter", with_ctes("panel", f"SELECT tract, year, {rnd('mortrate')} AS mortrate FROM panel WHERE disease = 'Mentalhealth' AND year > 1996 AND year <= 2000"))
+@query("fl1_range_filter", with_ctes("panel", f"SELECT tract, year, {rnd('mortrate', 9)} AS mortrate FROM panel WHERE disease = 'Mentalhealth' AND year > 1996 AND year <= 2000"))
 def fl1(spark, sf):
     d = fx.panel(spark, sf)
-    return rounded(d.where((F.col("disease") == "Mentalhealth") & (F.col("year") > 1996) & (F.col("year") <= 2000)).select("tract", "year", "mortrate"))
+    return rounded(d.where((F.col("disease") == "Mentalhealth") & (F.col("year") > 1996) & (F.col("year") <= 2000)).select("tract", "year", "mortrate"), 9)
 
 
 @query(
@@ -409,7 +408,7 @@ def fl3(spark, sf):
 
 @query(
     "fl4_in_and_not_in",
-    with_ctes("points parks", """SELECT park_id, manager FROM parks WHERE (manager IS NULL OR manager NOT IN ('PRIV')) """),
+    with_ctes("parks", "SELECT park_id, manager FROM parks WHERE manager IS NULL OR manager NOT IN ('PRIV')"),
 )
 def fl4(spark, sf):
     # a NULL manager is not in the list, so it stays
