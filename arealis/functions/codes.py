@@ -69,9 +69,17 @@ def _stays_in_line(pattern: str) -> bool:
     )
 
 
+def _found(text: Column, pattern: str, multiline: bool = False) -> Column:
+    """Pattern found in the text. Plain text (``F01``, ``F.*``) needs no regex."""
+    plain = pattern.removesuffix(".*")
+    if re.fullmatch("[A-Za-z0-9]+", plain):
+        return text.contains(plain)
+    return text.rlike("(?m)" + pattern if multiline else pattern)
+
+
 def has_code(c: str | Column, pattern: str) -> Column:
     """1 where the code matches, 0 where it does not or is NULL."""
-    return F.coalesce(as_col(c).rlike(pattern), F.lit(False)).cast("int")
+    return F.coalesce(_found(as_col(c), pattern), F.lit(False)).cast("int")
 
 
 def any_code(cols: Sequence[str | Column], pattern: str) -> Column:
@@ -87,7 +95,7 @@ def any_code(cols: Sequence[str | Column], pattern: str) -> Column:
         return has_code(cols[0], pattern)
     if not _stays_in_line(pattern):
         return F.greatest(*[has_code(c, pattern) for c in cols])
-    return F.concat_ws("\n", *cols).rlike("(?m)" + pattern).cast("int")
+    return _found(F.concat_ws("\n", *cols), pattern, multiline=True).cast("int")
 
 
 def cause_flags(

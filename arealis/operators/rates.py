@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +66,9 @@ def summarise(df: DataFrame, by: Sequence[str], columns: Sequence[str], fn) -> D
 
 
 def standard_population(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        STANDARD_POPULATION, "agegroup string, n_all long, n_male long, n_female long, newgroup string"
-    )
+    """The fixed table as a local relation: the planner knows its exact size."""
+    names = ["agegroup", "n_all", "n_male", "n_female", "newgroup"]
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*STANDARD_POPULATION))))))
 
 
 def regroup_bands(std: DataFrame, columns: Sequence[str] = ("n_all", "n_male", "n_female")) -> DataFrame:
