@@ -146,12 +146,15 @@ def age_band_index(age: str | Column, width: int = 10, top: int = 80, unknown: i
     return F.when(known, F.least(F.floor(age / F.lit(float(width))), F.lit(top // width).cast("long"))).cast("int")
 
 
+def band_labels(width: int = 10, top: int = 80) -> list[str]:
+    """Zero-padded labels: ``00_10`` ... ``70_80``, ``80_Inf``."""
+    return [f"{lo:02d}_{lo + width:02d}" for lo in range(0, top, width)] + [f"{top:02d}_Inf"]
+
+
 def band_label(index: str | Column, width: int = 10, top: int = 80) -> Column:
-    """Zero-padded label of a band: ``00_10`` ... ``70_80``, ``80_Inf``."""
-    index = as_col(index)
-    low = F.lpad((index * width).cast("string"), 2, "0")
-    high = F.when(index == top // width, F.lit("Inf")).otherwise(F.lpad(((index + 1) * width).cast("string"), 2, "0"))
-    return F.when(index.isNotNull(), F.concat_ws("_", low, high))
+    """Label of a 0-based band (a lookup in a constant array)."""
+    labels = F.array(*[F.lit(x) for x in band_labels(width, top)])
+    return F.try_element_at(labels, as_col(index) + 1)
 
 
 def age_band(age: str | Column, width: int = 10, top: int = 80, unknown: int | None = UNKNOWN_AGE) -> Column:

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def pick(index: Column, values: list) -> Column:
     """Value at a 0-based position of a short literal list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
 # ------------------------------------------------------------------ person records
