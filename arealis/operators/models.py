@@ -187,35 +187,66 @@ def _spatial_cg(
     mix: np.ndarray | None,
     tol: float,
     max_iter: int,
-    checkpoint_every: int,
 ) -> Solution:
     """Preconditioned conjugate gradients for ``(W + A) x = b``.
 
     ``state`` holds w_k (weights) and b_k per area. Without ``mix`` the years are
     independent systems ``diag(w_k) + tau_k * L`` and each has its own step; with
-    ``mix`` they are one system ``diag(w) + tau * (mix (x) L)``. A step is one
-    edge join with map-side sums and two one-row aggregates.
+    ``mix`` they are one system ``diag(w) + tau * (mix (x) L)``.
+
+    The single-reduction form is used: a step is one stored product (one shuffle
+    of map-side sums) and one row of dot products. Edges and state are hashed
+    alike on the area, so the join of the step moves nothing.
     """
     ks = range(t)
     one_system = mix is not None
     diag_mix = np.diag(mix) if one_system else np.ones(t)
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degree = edges.groupBy("i").agg(F.count(F.lit(1)).cast("double").alias("_deg")).withColumnRenamed("i", area)
-    s = state.join(degree, area, "left").fillna(0.0, ["_deg"])
+    edges = reliable_checkpoint(edges.select("i", "j").repartition(parts, "j"))
+
+    def vector(values) -> Column:
+        # an array literal is passed to the generated code by reference, so the
+        # code of all steps is the same and is compiled once
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def preconditioned(k: int) -> Column:
+        return F.coalesce(ratio(F.col(f"r{k}"), F.col(f"m{k}")), F.lit(0.0))
+
+    def with_product(d: DataFrame) -> DataFrame:
+        """Add u = r/m and q = (W + A) u."""
+        d = d.select("*", *[preconditioned(k).alias(f"u{k}") for k in ks])
+        near = d.select(F.col(area).alias("j"), *[f"u{k}" for k in ks])
+        sums = edges.join(near, "j").groupBy("i").agg(*[F.sum(f"u{k}").alias(f"_n{k}") for k in ks])
+        lap = [F.col("_deg") * F.col(f"u{k}") - F.coalesce(f"_n{k}", F.lit(0.0)) for k in ks]
+        if one_system:
+            spatial = []
+            for k in ks:
+                acc = F.lit(0.0)
+                for l in ks:
+                    if mix[k, l] != 0:
+                        acc = acc + F.lit(float(tau[k] * mix[k, l])) * lap[l]
+                spatial.append(acc)
+        else:
+            spatial = [F.lit(float(tau[k])) * lap[k] for k in ks]
+        return d.join(sums.withColumnRenamed("i", area), area, "left").select(
+            *d.columns, *[(F.col(f"w{k}") * F.col(f"u{k}") + spatial[k]).alias(f"q{k}") for k in ks]
+        )
+
+    s = state.repartition(parts, area).join(degree, area, "left").fillna(0.0, ["_deg"])
     s = s.select(
         area,
         "_deg",
         *[F.col(f"w{k}") for k in ks],
-        *[F.lit(0.0).alias(f"x{k}") for k in ks],
-        *[F.col(f"b{k}").alias(f"r{k}") for k in ks],
+        # an area without weight and neighbours has no information: it keeps 0
         *[(F.col(f"w{k}") + F.lit(float(tau[k] * diag_mix[k])) * F.col("_deg")).alias(f"m{k}") for k in ks],
+        *[F.lit(0.0).alias(f"{c}{k}") for c in ("x", "p", "s") for k in ks],
+        *[F.col(f"b{k}").alias(f"r{k}") for k in ks],
     )
-    # a row whose diagonal is 0 has no information: it keeps 0
-    s = s.select("*", *[F.coalesce(ratio(f"r{k}", f"m{k}"), F.lit(0.0)).alias(f"p{k}") for k in ks])
-    s = reliable_checkpoint(s)
-    rz, rr = _dots(s, [("r", "p"), ("r", "r")], t)
+    s = reliable_checkpoint(with_product(s))
+    rz, qz, rr = _dots(s, [("r", "u"), ("q", "u"), ("r", "r")], t)
     norm = rr.copy()
     history: list[float] = []
-    held: list[DataFrame] = []
 
     def relative(rr: np.ndarray) -> float:
         if one_system:
@@ -223,64 +254,42 @@ def _spatial_cg(
         ok = norm > 0
         return float(np.sqrt((rr[ok] / norm[ok]).max())) if ok.any() else 0.0
 
+    def spread(v: np.ndarray) -> np.ndarray:
+        return np.full(t, v.sum()) if one_system else v
+
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros(t), where=b != 0)
+
+    rz, qz = spread(rz), spread(qz)
+    alpha, beta = over(rz, qz), np.zeros(t)
     it = 0
     while it < max_iter and relative(rr) > tol:
         it += 1
-        near = s.select(F.col(area).alias("j"), *[f"p{k}" for k in ks])
-        sums = edges.join(near, "j").groupBy("i").agg(*[F.sum(f"p{k}").alias(f"_n{k}") for k in ks])
-        lap = [F.col("_deg") * F.col(f"p{k}") - F.coalesce(f"_n{k}", F.lit(0.0)) for k in ks]
-        if one_system:
-            mixed = []
-            for k in ks:
-                acc = F.lit(0.0)
-                for q in ks:
-                    if mix[k, q] != 0:
-                        acc = acc + F.lit(float(tau[k] * mix[k, q])) * lap[q]
-                mixed.append(acc)
-        else:
-            mixed = [F.lit(float(tau[k])) * lap[k] for k in ks]
-        q = s.join(sums.withColumnRenamed("i", area), area, "left").select(
-            *s.columns, *[(F.col(f"w{k}") * F.col(f"p{k}") + mixed[k]).alias(f"q{k}") for k in ks]
-        )
-        # the product is stored: the dot products and the update both read it
-        if it % checkpoint_every == 0:
-            q = reliable_checkpoint(q)
-            for old in held:
-                old.unpersist()
-            held.clear()
-        else:
-            held.append(q.persist())
-        (pq,) = _dots(q, [("p", "q")], t)
-        if one_system:
-            rz_v, pq_v = np.full(t, rz.sum()), np.full(t, pq.sum())
-        else:
-            rz_v, pq_v = rz, pq
-        alpha = np.divide(rz_v, pq_v, out=np.zeros(t), where=pq_v > 0)
-        z = lambda k: F.coalesce(ratio(F.col(f"r{k}"), F.col(f"m{k}")), F.lit(0.0))
-        moved = q.select(
+        d = s.select("*", vector(alpha).alias("_a"), vector(beta).alias("_b"))
+        d = d.select(
             area,
             "_deg",
-            *[F.col(f"w{k}") for k in ks],
-            *[(F.col(f"x{k}") + F.lit(float(alpha[k])) * F.col(f"p{k}")).alias(f"x{k}") for k in ks],
-            *[(F.col(f"r{k}") - F.lit(float(alpha[k])) * F.col(f"q{k}")).alias(f"r{k}") for k in ks],
-            *[F.col(f"m{k}") for k in ks],
-            *[F.col(f"p{k}") for k in ks],
-        ).select("*", *[z(k).alias(f"z{k}") for k in ks])
-        rz_new, rr = _dots(moved, [("r", "z"), ("r", "r")], t)
-        top = np.full(t, rz_new.sum()) if one_system else rz_new
-        beta = np.divide(top, rz_v, out=np.zeros(t), where=rz_v > 0)
-        rz = rz_new
-        s = moved.select(
+            "_a",
+            *[F.col(f"{c}{k}") for c in ("w", "m", "x", "r") for k in ks],
+            *[(F.col(f"u{k}") + F.get("_b", F.lit(k)) * F.col(f"p{k}")).alias(f"p{k}") for k in ks],
+            *[(F.col(f"q{k}") + F.get("_b", F.lit(k)) * F.col(f"s{k}")).alias(f"s{k}") for k in ks],
+        ).select(
             area,
             "_deg",
-            *[F.col(f"{c}{k}") for c in ("w", "x", "r", "m") for k in ks],
-            *[(F.col(f"z{k}") + F.lit(float(beta[k])) * F.col(f"p{k}")).alias(f"p{k}") for k in ks],
+            *[F.col(f"{c}{k}") for c in ("w", "m", "p", "s") for k in ks],
+            *[(F.col(f"x{k}") + F.get("_a", F.lit(k)) * F.col(f"p{k}")).alias(f"x{k}") for k in ks],
+            *[(F.col(f"r{k}") - F.get("_a", F.lit(k)) * F.col(f"s{k}")).alias(f"r{k}") for k in ks],
         )
+        # stored every step: the product reads its input twice, so an uncut plan
+        # would double with each step
+        s = reliable_checkpoint(with_product(d))
+        rz_new, qz, rr = _dots(s, [("r", "u"), ("q", "u"), ("r", "r")], t)
+        rz_new, qz = spread(rz_new), spread(qz)
+        beta = over(rz_new, rz)
+        alpha = over(rz_new, qz - over(beta * rz_new, alpha))
+        rz = rz_new
         history.append(relative(rr))
-    values = reliable_checkpoint(s.select(area, *[f"x{k}" for k in ks]))
-    for old in held:
-        old.unpersist()
-    return Solution(values, it, relative(rr), history)
+    return Solution(s.select(area, *[f"x{k}" for k in ks]), it, relative(rr), history)
 
 
 def smooth_areas(
@@ -292,7 +301,6 @@ def smooth_areas(
     area: str = "area",
     tol: float = 1e-8,
     max_iter: int = 500,
-    checkpoint_every: int = 4,
 ) -> Solution:
     """Structured area effect: solve ``(diag(w) + tau L) x = w y``.
 
@@ -303,7 +311,7 @@ def smooth_areas(
         F.coalesce(F.sum(weight), F.lit(0.0)).cast("double").alias("w0"),
         F.coalesce(F.sum(F.col(weight) * F.col(value)), F.lit(0.0)).cast("double").alias("b0"),
     )
-    return _spatial_cg(state, edges, area, 1, np.array([tau]), None, tol, max_iter, checkpoint_every)
+    return _spatial_cg(state, edges, area, 1, np.array([tau]), None, tol, max_iter)
 
 
 def slope_moments(df: DataFrame, area: str, x: str, y: str) -> DataFrame:
@@ -318,7 +326,7 @@ def smooth_slopes(df: DataFrame, edges: DataFrame, x: str, y: str, tau: float, a
         area, F.col("sxx").cast("double").alias("w0"), F.col("sxy").cast("double").alias("b0")
     )
     return _spatial_cg(
-        state, edges, area, 1, np.array([tau]), None, kw.get("tol", 1e-8), kw.get("max_iter", 500), kw.get("checkpoint_every", 4)
+        state, edges, area, 1, np.array([tau]), None, kw.get("tol", 1e-8), kw.get("max_iter", 500)
     )
 
 
@@ -350,7 +358,6 @@ def smooth_interaction(
     equal_weights: bool | None = None,
     tol: float = 1e-8,
     max_iter: int = 500,
-    checkpoint_every: int = 4,
 ) -> Solution:
     """Space-time interaction I-IV at a fixed precision: ``(W + tau R) x = w y``.
 
@@ -370,7 +377,7 @@ def smooth_interaction(
     if kind == "II":
         return Solution(_solve_each_area(state, area, t, tau), 0, 0.0)
     if kind == "III":
-        return _spatial_cg(state, edges, area, t, np.full(t, float(tau)), None, tol, max_iter, checkpoint_every)
+        return _spatial_cg(state, edges, area, t, np.full(t, float(tau)), None, tol, max_iter)
     if kind != "IV":
         raise ValueError("kind must be I, II, III or IV")
     if equal_weights is None:
@@ -378,7 +385,7 @@ def smooth_interaction(
         equal_weights = (spread or 0.0) == 0.0
     r = rw1_matrix(t)
     if not equal_weights:
-        return _spatial_cg(state, edges, area, t, np.full(t, float(tau)), r, tol, max_iter, checkpoint_every)
+        return _spatial_cg(state, edges, area, t, np.full(t, float(tau)), r, tol, max_iter)
     lam, u = np.linalg.eigh(r)
     lam = np.maximum(lam, 0.0)
 
@@ -392,7 +399,7 @@ def smooth_interaction(
         return out
 
     turned = state.select(area, *[F.col("w0").alias(f"w{k}") for k in ks], *rotate("b", u, "b"))
-    sol = _spatial_cg(turned, edges, area, t, tau * lam, None, tol, max_iter, checkpoint_every)
+    sol = _spatial_cg(turned, edges, area, t, tau * lam, None, tol, max_iter)
     return Solution(sol.values.select(area, *rotate("x", u.T, "x")), sol.iterations, sol.residual, sol.history)
 
 
