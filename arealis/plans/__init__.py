@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL oracles."""
 
-from . import areas, modelling, records, tables  # noqa: F401
+from . import areas, files, modelling, records, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

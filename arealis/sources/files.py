@@ -28,7 +28,7 @@ def read_inequality_files(spark: SparkSession, folder: str, glob: str = "*.B1908
         .option("header", False)
         .csv(folder)
     )
-    year = F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"5Y(\d{4})", 1)
+    year = F.regexp_extract("_metadata.file_path", r"5Y(\d{4})", 1)
     return raw.where(F.col("geo_id").startswith(id_prefix)).select(
         key_slice("geo_id", 10, 20).alias("geoid"),
         year.try_cast("int").alias("year"),
@@ -77,7 +77,7 @@ def _as_struct(ddl: str) -> str:
     return ", ".join(":".join(p.strip().split(None, 1)) for p in ddl.split(","))
 
 
-def read_ascii_grids(spark: SparkSession, folder: str, skip_last: bool = False) -> DataFrame:
+def read_ascii_grids(spark: SparkSession, folder: str, skip_last: bool = False, glob: str = "*.asc") -> DataFrame:
     """ASCII-grid rasters of a folder as (file, row, col, x, y, value).
 
     x and y are cell centres; the no-data value becomes NULL. The format has no
@@ -85,9 +85,9 @@ def read_ascii_grids(spark: SparkSession, folder: str, skip_last: bool = False)
     spread over the cluster; the cells are rows from there on.
     """
     lines = (
-        spark.read.option("pathGlobFilter", "*.asc")
-        .option("wholetext", True)
-        .text(folder)
+        spark.read.option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), r"\r?\n").alias("line"))
     )
     if skip_last:
@@ -96,7 +96,7 @@ def read_ascii_grids(spark: SparkSession, folder: str, skip_last: bool = False)
 
     def header(key: str):
         found = F.filter("line", lambda s: F.lower(s).startswith(key))
-        return F.split(F.trim(F.element_at(found, 1)), r"\s+")[1].cast("double")
+        return F.get(F.split(F.trim(F.try_element_at(found, F.lit(1))), r"\s+"), F.lit(1)).try_cast("double")
 
     body = F.filter("line", lambda s: ~F.trim(s).rlike("^[A-Za-z]"))
     grid = lines.select(
