@@ -29,9 +29,8 @@ def io1(spark, sf):
     return rounded(files.read_csv(spark, path, schema, ["o_orderkey", "o_custkey", "o_totalprice"]))
 
 
-@query("io2_yearly_index_files", with_ctes("panel", f"SELECT geoid, year, {rnd('ue')} AS i_gini FROM panel WHERE disease = 'Allcauses'"))
-def io2(spark, sf):
-    # one file set per year, named like the downloads, with two header lines
+def _index_files(spark, sf):
+    """One file set per year, named like the downloads, with two header lines."""
     p = fx.panel(spark, sf).where(F.col("disease") == "Allcauses")
     name = F.concat(F.lit("ACSDT5Y"), F.col("year").cast("string"), F.lit(".B19083_data.csv")).alias("file")
     rows = p.select(
@@ -45,7 +44,21 @@ def io2(spark, sf):
     header = p.select("year").distinct().select(F.lit("B19083_001E").alias("value"), F.lit("B19083_001M").alias("margin"), heads, F.lit("NAME").alias("name"), name)
     path = shared_folder(spark, "index")
     rows.unionByName(header).write.partitionBy("file").csv(path)
-    return rounded(files.read_inequality_files(spark, f"{path}/file=*.B19083_data*", glob="*.csv"))
+    return files.read_inequality_files(spark, f"{path}/file=*.B19083_data*", glob="*.csv")
+
+
+@query("io2_yearly_index_files", with_ctes("panel", f"SELECT geoid, year, {rnd('ue')} AS i_gini FROM panel WHERE disease = 'Allcauses'"))
+def io2(spark, sf):
+    return rounded(_index_files(spark, sf))
+
+
+@query(
+    "rt13_inequality_index_join",
+    with_ctes("panel", f"SELECT p.geoid, p.year, p.n_rec, {rnd('g.ue')} AS i_gini FROM panel p LEFT JOIN panel g ON g.geoid = p.geoid AND g.year = p.year AND g.disease = 'Allcauses' WHERE p.disease = 'Neoplasms'"),
+)
+def rt13(spark, sf):
+    p = fx.panel(spark, sf).where(F.col("disease") == "Neoplasms").select("geoid", "year", "n_rec")
+    return rounded(p.join(_index_files(spark, sf), ["geoid", "year"], "left"))
 
 
 @query("io3_saved_table", f"SELECT c_custkey, c_nationkey, {rnd('c_acctbal')} AS c_acctbal FROM customer")

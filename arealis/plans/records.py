@@ -393,11 +393,18 @@ def fl1(spark, sf):
 
 @query(
     "fl2_regex_filter",
-    with_ctes("panel", "SELECT disease, substr(geoid, 1, 5) AS county, count(*) AS n FROM panel WHERE regexp_matches(disease, 'Mental.*') AND regexp_matches(geoid, '^0000(1|3)') GROUP BY 1, 2"),
+    with_ctes(
+        "panel",
+        """SELECT disease, substr(id, 1, 5) AS county, count(*) AS n FROM (
+          SELECT *, concat(CASE tract % 3 WHEN 0 THEN '41' WHEN 1 THEN '53' ELSE '16' END, geoid) AS id FROM panel) p
+        WHERE regexp_matches(disease, 'Mental.*') AND regexp_matches(id, '^(41|53)') GROUP BY 1, 2""",
+    ),
 )
 def fl2(spark, sf):
-    d = fx.panel(spark, sf).where(F.col("disease").rlike("Mental.*") & F.col("geoid").rlike("^0000(1|3)"))
-    return d.groupBy("disease", codes.key_slice("geoid", 1, 5).alias("county")).agg(F.count(F.lit(1)).alias("n"))
+    state = F.when(F.col("tract") % 3 == 0, "41").when(F.col("tract") % 3 == 1, "53").otherwise("16")
+    d = fx.panel(spark, sf).withColumn("id", F.concat(state, "geoid"))
+    d = d.where(F.col("disease").rlike("Mental.*") & F.col("id").rlike("^(41|53)"))
+    return d.groupBy("disease", codes.key_slice("id", 1, 5).alias("county")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fl3_coordinate_filter", with_ctes("reg", f"SELECT rec_id, {rnd('lon')} AS lon, {rnd('lat')} AS lat FROM reg WHERE lon IS NOT NULL AND lat IS NOT NULL AND lon < 0 AND lat > 40"))

@@ -73,7 +73,7 @@ def test_overlay_against_monte_carlo_grid(spark):
     # the overlap with many narrow rectangles that tile the plane is the area itself,
     # and each single overlap matches a fine grid count
     v = vertex_table(spark, SHAPES)
-    rects = spark.createDataFrame([(f"{a},{b}", a, b, a + 2.0, b + 2.0) for a in np.arange(-5.0, 11, 2) for b in np.arange(-5.0, 11, 2)], "r string, x0 double, y0 double, x1 double, y1 double")
+    rects = spark.createDataFrame([(f"{a},{b}", a, b, a + 2.0, b + 2.0) for a in np.arange(-5.0, 11, 2).tolist() for b in np.arange(-5.0, 11, 2).tolist()], "r string, x0 double, y0 double, x1 double, y1 double")
     got = spatial.overlay_area(v, spatial.rectangles_to_vertices(rects, "r"), "geom", "r", strip=0.7).collect()
     total = {}
     for row in got:
