@@ -424,10 +424,12 @@ def _cdf_sql(z: str) -> str:
     return f"(0.5 * (1 + CASE WHEN {z} < 0 THEN -{erf} ELSE {erf} END))"
 
 
-def _ks_sql(by: str) -> str:
+def _ks_sql(by: str, digits: int | None = 6) -> str:
+    gap = "max(greatest(hi / n - F, F - lo / n))"
+    gap = gap if digits is None else rnd(gap, digits)
     part = f"PARTITION BY {by}" if by else ""
     keys = f"{by}, " if by else ""
-    return f"""SELECT {keys}CAST(max(n) AS BIGINT) AS n, {rnd('max(greatest(hi / n - F, F - lo / n))')} AS d FROM (
+    return f"""SELECT {keys}CAST(max(n) AS BIGINT) AS n, {gap} AS d FROM (
       SELECT {keys}n, CAST(rank() OVER ({part} ORDER BY v) - 1 AS DOUBLE) AS lo, CAST(count(*) OVER ({part} ORDER BY v) AS DOUBLE) AS hi, {_cdf_sql('((v - m) / s)')} AS F
       FROM (SELECT {keys}mortrate AS v, avg(mortrate) OVER ({part}) AS m, stddev_samp(mortrate) OVER ({part}) AS s, CAST(count(*) OVER ({part}) AS DOUBLE) AS n FROM panel) a) b
       {f'GROUP BY {by}' if by else ''}"""
@@ -447,12 +449,12 @@ def dg5(spark, sf):
     "wn7_grouped_ks_p_value",
     with_ctes(
         "panel",
-        f"""SELECT year, {rnd('greatest(0, least(1, sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * n * d * d))))', 4)} AS p_value
-        FROM ({_ks_sql('year')}) q, range(1, 101) t(k) GROUP BY year""",
+        f"""SELECT year, {rnd('greatest(0, least(1, sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * n * d * d))))')} AS p_value
+        FROM ({_ks_sql('year', None)}) q, range(1, 101) t(k) GROUP BY year""",
     ),
 )
 def wn7(spark, sf):
-    return rounded(diagnostics.ks_normal(fx.panel(spark, sf), "mortrate", ["year"]).select("year", "p_value"), 4)
+    return rounded(diagnostics.ks_normal(fx.panel(spark, sf), "mortrate", ["year"]).select("year", "p_value"))
 
 
 _MOMENTS = "(SELECT avg((v - m) ^ 2) AS m2, avg((v - m) ^ 3) AS m3, avg((v - m) ^ 4) AS m4, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {v} AS v, avg({v}) OVER () AS m FROM panel) a) q"
