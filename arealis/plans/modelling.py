@@ -134,6 +134,23 @@ def md3_types(spark, sf):
     return rounded(out, 3)
 
 
+@query(
+    "md3_unstructured_interaction",
+    with_ctes(
+        "panel",
+        f"""WITH a AS (SELECT tract, year, avg(mortrate) AS y FROM panel GROUP BY 1, 2)
+        SELECT tract AS area, year, {rnd('(y - (SELECT avg(y) FROM a)) / (SELECT stddev_samp(y) FROM a) / 1.25')} AS effect FROM a""",
+    ),
+)
+def md3_type_one(spark, sf):
+    # type I has a closed form: each cell is shrunk on its own
+    d, years = _scaled_panel(spark, sf), _years(spark, sf)
+    edges, _, _ = tract_graph(spark, sf)
+    sol = models.smooth_interaction(d, edges, "I", "w", "y", 0.25, years)
+    seen = d.select("area", "year")
+    return rounded(models.to_area_year(sol.values, years).join(seen, ["area", "year"], "left_semi"))
+
+
 @query(
     "md4_slope_moments",
     with_ctes("panel", f"SELECT tract, {rnd('sum(elder * elder)')} AS sxx, {rnd('sum(elder * income)')} AS sxy, {rnd('sum(elder * income) / nullif(sum(elder * elder), 0)')} AS slope FROM panel GROUP BY 1"),
