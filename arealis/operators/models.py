@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .diagnostics import complete_rows, correlation_matrix, cross_moments, vif
-from .ranks import reliable_checkpoint
+from .ranks import reliable_checkpoint, with_group_totals
 
 # ------------------------------------------------------------------ fixed effects
 
@@ -432,8 +432,6 @@ def to_area_year(values: DataFrame, years: Sequence[int], area: str = "area", na
 
 def centre(effects: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum-to-zero: subtract the (group) mean."""
-    from .ranks import with_group_totals
-
     if not by:
         m = effects.agg(F.avg(value)).scalar()
         return effects.select(*[(F.col(c) - m).alias(c) if c == value else F.col(c) for c in effects.columns])

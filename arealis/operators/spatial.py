@@ -275,11 +275,20 @@ def _strip_edges(vertices: DataFrame, h: float, geom: str, tag: str) -> DataFram
     )
 
 
+def mean_extent(vertices: DataFrame, geom: str = "geom") -> float:
+    """Average side of the bounding boxes of a layer."""
+    side = (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2
+    value = bounding_boxes(vertices, geom).agg(F.avg(side)).first()[0]
+    return float(value) if value else 1.0
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, lgeom: str, rgeom: str, h: float) -> DataFrame:
     """Pairs whose bounding boxes overlap, found through shared grid cells.
 
-    A pair is kept only in the cell that holds the lower-left corner of the
-    overlap, so no distinct is needed.
+    ``h`` should be near the extent of the larger layer: its boxes then take a
+    few cells each and the boxes of the other layer one. A pair is kept only in
+    the cell that holds the lower-left corner of the overlap, so no distinct is
+    needed.
     """
     def cells(v: DataFrame, geom: str, p: str) -> DataFrame:
         box = bounding_boxes(v, geom).withColumnsRenamed({c: p + c for c in ("x0", "y0", "x1", "y1")})
@@ -314,7 +323,8 @@ def overlay_area(
     out (``area <= tiny``).
     """
     h = float(strip) if strip else mean_edge_length(polygon_edges(right, rgeom))
-    pairs = candidate_pairs(left, right, lgeom, rgeom, h).withColumn(
+    grid = max(mean_extent(left, lgeom), mean_extent(right, rgeom))
+    pairs = candidate_pairs(left, right, lgeom, rgeom, grid).withColumn(
         "_strip", F.explode(_strips(F.col("x0"), F.col("x1"), h))
     )
     le, re_ = _strip_edges(left, h, lgeom, "_e"), _strip_edges(right, h, rgeom, "_f")

@@ -9,7 +9,7 @@ Every fixture is a function of whole tables, so it grows with them:
 * points: one per customer; parks: one rectangle per part; raster: 16 cells per
   tract and year; draws: the embedding vectors.
 
-``CTE`` holds the same definitions as SQL, written separately.
+``with_ctes`` puts the same definitions, written separately in SQL, before a query.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.recode import age_band
 from ..operators.reshape import CENSUS_SHARES
 from ..operators.spatial import rectangles_to_vertices
 
@@ -230,8 +231,6 @@ age_census AS (
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
     """Population by county and ten-year band (labels), from customers."""
-    from ..functions.recode import age_band
-
     return (
         table(spark, sf, "customer")
         .groupBy(F.col("c_nationkey").alias("county"), age_band(F.col("c_custkey") % 100).alias("agegroup"))

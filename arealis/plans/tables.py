@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.numeric import ratio, strict_sum, strict_weighted_mean, zero_sum
+from ..functions.numeric import strict_sum, strict_weighted_mean, zero_sum
+from ..functions.recode import age_band
 from ..operators import harmonise, panel as panel_ops, rates, reshape
-from ..operators.ranks import dense_index, with_group_totals
+from ..operators.ranks import dense_index
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .records import flag_sql, flagged
@@ -113,8 +114,6 @@ BAND_OF_AGE_SQL = """CASE WHEN age >= 80 THEN '80_Inf' WHEN age >= 0 THEN concat
 
 
 def banded(spark, sf):
-    from ..functions.recode import age_band
-
     return flagged(spark, sf).withColumn("agegroup", age_band("age"))
 
 
