@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import mixing, simhash
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,16 @@ def query(sql: str | None = None):
 def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(mixing.ORACLE)
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    return mixing.repetitions(stored(docs), size_col="size").select(
+        "doc_id",
+        "size",
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("size") * F.col("__times")).alias("taken"),
+    )
