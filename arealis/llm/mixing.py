@@ -5,8 +5,8 @@ source gives more than ``max_epochs`` times its words, and what it can't give is
 shared again among the others. Over sources sorted by words per weight the level
 at which that settles is a running sum, so no loop is needed. A source then gives
 all its documents as many whole times as its target holds, and of the rest a
-seeded sample: documents in the order of a hash until the words are reached, and
-one more document that comes nearest to the gap left.
+seeded sample: documents in the order of a hash until the words are reached; the
+document at that edge gives only as many words as are left.
 
 The running sum over a source is done by hash bucket first and document by
 document only inside the one bucket where it ends, so a source that holds a third
@@ -14,7 +14,7 @@ of all rows is never sorted in one task.
 
 A null text has no words and is never taken; a null source is a source of its
 own, after all others. Repeated ids are separate documents with the same hash:
-they are ordered by size, and equal ones are the same to the mix. With no
+they are ordered by size, and equal ones at the edge share its words. With no
 documents the result is empty. Only DataFrame functions are used.
 """
 
@@ -78,8 +78,8 @@ def repetitions(
     seed: str = SEED,
     digits: int = 3,
 ) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__times``,
-    how often the mix takes the document. ``digits``: hexadecimal digits of the
+    """``docs`` with ``__size``, ``__source_size``, ``__target``, ``__times`` (how
+    often the mix takes the whole document) and ``__words`` (taken besides). ``digits``: hexadecimal digits of the
     hash that make a bucket. ``size_col``: a column that holds the sizes already."""
     sized = docs.withColumns(
         {
@@ -105,37 +105,33 @@ def repetitions(
     )
     plan = _named(wanted, "w_").join(ends, F.col("w__source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
     inside = W.partitionBy("_source").orderBy("__hash", "__size").rangeBetween(W.unboundedPreceding, W.currentRow)
-    last = (
+    equal = F.count(F.lit(1)).over(W.partitionBy("_source", "__hash", "__size"))
+    edge = (
         light.join(plan, F.col("_source").eqNullSafe(F.col("w__source")))
         .where(F.col("__bucket") == F.col("e_bucket"))
         .withColumn("_sum", F.col("e_before") + F.sum("__size").over(inside))
-        .where(F.col("_sum") <= F.col("w__part"))
+        .withColumn("_equal", equal)
+        .where(F.col("_sum") > F.col("w__part"))
+        .withColumn("_left", F.col("w__part") - F.col("_sum") + F.col("_equal") * F.col("__size"))
         .groupBy("_source")
-        .agg(F.max(F.struct("__hash", "__size")).alias("_last"), F.max("_sum").alias("_sum"))
-        .select(F.col("_source").alias("l_source"), "_last", "_sum")
+        .agg(F.min(F.struct("__hash", "__size", F.floor(F.col("_left") / F.col("_equal")).alias("share"))).alias("_edge"))
+        .select(F.col("_source").alias("n_source"), F.struct("_edge.__hash", "_edge.__size").alias("_edge"), F.col("_edge.share").alias("_share"))
     )
-    plan = plan.join(last, F.col("w__source").eqNullSafe(F.col("l_source")), "left").drop("l_source")
-    plan = plan.withColumn("_gap", F.col("w__part") - F.coalesce("_sum", "e_before", F.col("w__part")))
-    out = light.join(plan, F.col("_source").eqNullSafe(F.col("w__source"))).where(~_sampled() & (F.col("__size") > 0))
-    nearest = (
-        out.withColumn("_miss", F.abs(F.col("__size") - F.col("_gap")))
-        .where(F.col("_miss") < F.col("_gap"))
-        .groupBy("_source")
-        .agg(F.min(F.struct("_miss", "__hash", "__size")).alias("_n"))
-        .select(F.col("_source").alias("n_source"), F.col("_n.__hash").alias("_extra"), F.col("_n.__size").alias("_extra_size"))
+    plan = plan.join(edge, F.col("w__source").eqNullSafe(F.col("n_source")), "left").select(
+        "w__source", "w_source_size", "w_target", "w__whole", "w__part", "e_bucket", "_edge", "_share"
     )
-    plan = plan.join(nearest, F.col("w__source").eqNullSafe(F.col("n_source")), "left").drop("n_source")
-    plan = plan.select(
-        F.col("w__source"), "w_source_size", "w_target", "w__whole", "w__part", "e_bucket", "_last", "_extra", "_extra_size"
+    row = F.struct("__hash", "__size")
+    drawn = (F.col("w__part") > 0) & (
+        (F.col("__bucket") < F.col("e_bucket")) | ((F.col("__bucket") == F.col("e_bucket")) & (row < F.col("_edge")))
     )
-    extra = F.coalesce((F.col("__hash") == F.col("_extra")) & (F.col("__size") == F.col("_extra_size")), F.lit(False))
-    times = F.col("w__whole") + F.when((_sampled() | extra) & (F.col("__size") > 0), 1).otherwise(0)
+    at_edge = (F.col("__bucket") == F.col("e_bucket")) & (row == F.col("_edge"))
     return sized.join(plan, F.col(source_col).eqNullSafe(F.col("w__source"))).select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "__size",
         F.col("w_source_size").alias("__source_size"),
         F.col("w_target").alias("__target"),
-        F.when(F.col("__size") > 0, F.least(times, F.lit(int(max_epochs)))).otherwise(0).cast("int").alias("__times"),
+        F.when(F.col("__size") > 0, F.col("w__whole") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("int").alias("__times"),
+        F.when((F.col("__size") > 0) & at_edge, F.col("_share")).otherwise(0).cast("long").alias("__words"),
     )
 
 
@@ -143,19 +139,14 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _sampled() -> Column:
-    """Before the bucket where the sample ends, or up to the last document in it."""
-    return (F.col("w__part") > 0) & F.coalesce(
-        (F.col("__bucket") < F.col("e_bucket"))
-        | ((F.col("__bucket") == F.col("e_bucket")) & F.coalesce(F.struct("__hash", "__size") <= F.col("_last"), F.lit(False))),
-        F.lit(False),
-    )
-
-
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, with its own columns."""
+    """Every row of ``docs`` as often as the mix takes it, with its own columns.
+
+    Whole documents only: the one at the edge comes if half of it is taken.
+    """
     return (
         repetitions(docs, **options)
+        .withColumn("__times", F.col("__times") + F.when((F.col("__words") > 0) & (2 * F.col("__words") >= F.col("__size")), 1).otherwise(0))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.when(F.col("__times") > 0, F.col("__times")))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
@@ -180,14 +171,11 @@ goal AS (
 parts AS (SELECT *, floor(target - whole * source_size)::BIGINT AS part FROM goal),
 runs AS (
   SELECT s.*, p.source_size, p.target, p.whole, p.part,
-         sum(size) OVER (PARTITION BY s.source ORDER BY h, size) AS upto
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
-gaps AS (SELECT source, part - coalesce(max(upto) FILTER (upto <= part), 0) AS gap FROM runs GROUP BY source, part),
-near AS (
-  SELECT r.source, arg_min({'h': h, 'size': size}, {'m': abs(size - gap), 'h': h, 'size': size}) AS pick
-  FROM runs r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
-  WHERE NOT (part > 0 AND upto <= part) AND size > 0 AND abs(size - gap) < gap GROUP BY r.source)
+         sum(size) OVER (PARTITION BY s.source ORDER BY h, size) AS upto,
+         size * count(*) OVER (PARTITION BY s.source, h, size) AS equal_words,
+         count(*) OVER (PARTITION BY s.source, h, size) AS equal
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       (size * least(2, whole + CASE WHEN (part > 0 AND upto <= part) OR (pick.h = r.h AND pick.size = r.size) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM runs r LEFT JOIN near n ON r.source IS NOT DISTINCT FROM n.source
+       (size * whole + CASE WHEN upto <= part THEN size WHEN upto - equal_words < part THEN (part - (upto - equal_words)) // equal ELSE 0 END)::BIGINT AS taken
+FROM runs
 """
