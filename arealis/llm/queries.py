@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import mixing, packing, simhash
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,5 +41,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
-        (F.col("size") * F.col("__times")).alias("taken"),
+        (F.col("size") * F.col("__times") + F.col("__words")).alias("taken"),
     )
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in the sequences."""
+    return packing.packed(table(spark, sf_dir, "documents"))
