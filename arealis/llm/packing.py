@@ -18,6 +18,7 @@ ignored. Texts of any length are tokenized whole.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
@@ -34,7 +35,7 @@ END = 2
 #: Pieces of one length ranked in one task.
 RANKED = 100_000
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 ID = "<u4"
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -52,6 +53,22 @@ PIECES = T.ArrayType(
 # Word pattern of byte-level vocabularies of this kind (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# White space that a text cut at single blanks must not have: other than blanks
+# and line ends, or two in a row.
+RUNS = ["  ", "\n ", " \n", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+WIDE = [chr(c) for c in range(128, 0x10000) if chr(c).isspace()]
+
+
+def _visible_bytes() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as a character: printable Latin-1 as
+    it is, the others, in order, from 256 on."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTES = _visible_bytes()
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -72,9 +89,11 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.np = np
         self.words = regex.compile(WORD)
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)) if special else None
         self.chunks: dict[str, bytes] = {}
@@ -84,47 +103,43 @@ class Encoder:
         return self.np.array(ids, dtype=ID).tobytes()
 
     def _learn(self, chunks: Iterable[str]) -> None:
-        parts = {c: self.words.findall(c) for c in chunks}
-        new = list({w for p in parts.values() for w in p if w not in self.pieces})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[w] = self._packed(e.ids)
-        known = self.pieces
+        """Remember the ids of what stands between two blanks, its first blank included."""
+        parts = {c: self.words.findall(" " + c) for c in chunks}
+        known = self._known(w for p in parts.values() for w in p)
         for c, p in parts.items():
             self.chunks[c] = b"".join([known[w] for w in p])
+
+    def _known(self, words: Iterable[str]) -> dict[str, bytes]:
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
+        known = self.pieces
+        for w in words:
+            if w not in known:
+                visible = w.encode().decode("latin-1").translate(BYTES)
+                known[w] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(visible)])
+        return known
 
     def encode(self, text: str) -> bytes:
         if self.special is not None and self.special.search(text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        cuts = text.split(" ")
-        if "" in cuts or any(c[0].isspace() or c[-1].isspace() for c in cuts):
+        if text[:1].isspace() or text[-1:].isspace() or any(s in text for s in RUNS) or (not text.isascii() and any(s in text for s in WIDE)):
             return self._spaced(text)
-        head = cuts[0]
-        rest = [" " + c for c in cuts[1:]]
-        rest.append(head)
+        head, *cuts = text.split(" ")
         if len(self.chunks) > REMEMBERED:
             self.chunks = {}
         known = self.chunks
-        new = {c for c in rest if c not in known}
-        if new:
-            self._learn(new)
-        return known[head] + b"".join([known[c] for c in rest[:-1]])
+        ids = list(map(known.get, cuts))
+        if None in ids:
+            self._learn({c for c, i in zip(cuts, ids) if i is None})
+            ids = [known[c] if i is None else i for c, i in zip(cuts, ids)]
+        return self._spaced(head) + b"".join(ids)
 
     def _spaced(self, text: str) -> bytes:
         """Texts with runs of white space: word by word."""
         words = self.words.findall(text)
-        new = {w for w in words if w not in self.pieces}
-        if new:
-            self._learn(new)
-            if any(w not in self.pieces for w in words):
-                return b"".join([self._one(w) for w in words])
-        known = self.pieces
+        known = self._known(words)
         return b"".join([known[w] for w in words])
 
-    def _one(self, word: str) -> bytes:
-        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
 
 def cut(ids: bytes, sequence: int, with_ids: bool) -> list[tuple]:
     """Pieces of one document: a shorter first piece, then full ones."""
