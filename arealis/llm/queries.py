@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash
+from . import mixing, packing, quality, simhash, toxicity
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,31 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in the sequences."""
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def held_out(parts: int, remainder: int):
+    """Whether a document is one of those kept from training."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == remainder
+
+
+@query()
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    score = quality.score_column(quality.train(docs, labels.where(~held_out(5, 0))))
+    return docs.select("doc_id", held_out(5, 0).alias("held_out"), score(F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= quality.CUT).cast("int")
+    )
+
+
+@query()
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every category for every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.train(docs, labels)
+    chances = docs.select("doc_id", toxicity.chances_column(chain)(F.col("text")).alias("p"))
+    return chances.select(
+        "doc_id",
+        *[F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(chain.names)],
+        (F.element_at("p", -1) >= toxicity.CUT).alias("toxic"),
+    )
