@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity
-from .common import stored, table
+from . import mixing, packing, quality, simhash, toxicity, warc
+from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,13 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(chain.names)],
         (F.element_at("p", -1) >= toxicity.CUT).alias("toxic"),
     )
+
+
+@query(warc.ORACLE)
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record, and what the archives then hold."""
+    path = f"{in_checkpoint_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_archives(spark, path)).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
+    )
