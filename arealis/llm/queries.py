@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity, warc
+from . import language, mixing, packing, quality, simhash, toxicity, warc
 from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,12 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_archives(spark, path)).select(
         F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
     )
+
+
+@query()
+def op5_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~held_out(3, 1)))
+    guess = docs.select("doc_id", held_out(3, 1).alias("held_out"), language.guess_column(model)(F.col("text")).alias("g"))
+    return guess.select("doc_id", "held_out", F.col("g.lang").alias("lang_pred"), "g.score", "g.langs", "g.shares")
