@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, simhash, toxicity, warc
+from . import html, language, mixing, packing, quality, simhash, toxicity, warc
 from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,11 @@ def op5_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~held_out(3, 1)))
     guess = docs.select("doc_id", held_out(3, 1).alias("held_out"), language.guess_column(model)(F.col("text")).alias("g"))
     return guess.select("doc_id", "held_out", F.col("g.lang").alias("lang_pred"), "g.score", "g.langs", "g.shares")
+
+
+@query()
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    text = html.text_column(html.train(pages))
+    return pages.select("page_id", "url", text(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
