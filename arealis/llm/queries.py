@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, mixing, packing, quality, simhash, toxicity, warc
+from . import html, kmeans_tree, language, mixing, packing, quality, simhash, toxicity, warc
 from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     text = html.text_column(html.train(pages))
     return pages.select("page_id", "url", text(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query()
+def op2_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20."""
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
