@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, kmeans_tree, language, mixing, packing, quality, simhash, toxicity, warc
+from . import html, kmeans_tree, language, mixing, packing, quality, rotation_codes, simhash, toxicity, warc
 from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every vector whose id is divisible by 20."""
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query(rotation_codes.ORACLE)
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors."""
+    return rotation_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
