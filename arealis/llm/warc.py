@@ -114,6 +114,12 @@ class Inflated:
             self.at -= len(self.unpack.unused_data)
         return True
 
+    def empty(self) -> bool:
+        """Whether nothing is in the member."""
+        while not self.held and self._more():
+            pass
+        return not self.held
+
     def line(self) -> bytes:
         while b"\r\n" not in self.held:
             if not self._more():
@@ -144,6 +150,8 @@ def records(data: memoryview) -> Iterator[tuple[int, dict[str, str], bytes]]:
     stream = Inflated(data)
     while stream.next_member():
         place = stream.at
+        if stream.empty():
+            continue
         if not stream.line().startswith(b"WARC/"):
             raise ValueError(f"no record at byte {place}")
         head: dict[str, str] = {}
