@@ -28,10 +28,15 @@ def crosswalk(
     Full join, so areas missing on one side stay visible; the weight is
     ``pop * pct / 100`` and one unknown term makes the mean of its target NULL.
     ``whole=True`` floors the result (counts). ``by`` keeps further keys such as
-    the year; it needs a table in which each source area has every key.
+    year and cause: every link of the crosswalk counts under each of the keys that
+    occur, so a source area without a row under a key is an unknown term there.
+    The distinct keys (not the rows) travel as one array.
     """
     weight = F.col(pop) * F.col(pct) / F.lit(100.0)
-    joined = df.join(cw, source, "full")
+    if by:
+        keys = df.agg(F.collect_set(F.struct(*by))).scalar()
+        cw = cw.withColumn("_k", F.explode(keys)).select(*cw.columns, *[F.col("_k")[k].alias(k) for k in by])
+    joined = df.join(cw, [source, *by], "full")
     aggs = []
     for v in values:
         m = strict_weighted_mean(F.col(v), weight)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
@@ -13,9 +13,18 @@ from .ranks import cumulative_counts, dense_index, exact_quantiles
 from .reshape import to_long
 
 
-def area_years(areas: DataFrame, first: int, last: int, year: str = "year") -> DataFrame:
-    """Every area in every year of a range (an explode, not a cross join)."""
-    return areas.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias(year))
+def area_years(areas: DataFrame, first: int | Column, last: int | Column, year: str = "year") -> DataFrame:
+    """Every area in every year of a range (an explode, not a cross join).
+
+    The ends are numbers, or scalar subqueries such as those of ``year_range``.
+    """
+    first, last = (F.lit(y) if isinstance(y, int) else y for y in (first, last))
+    return areas.select("*", F.explode(F.sequence(first, last)).alias(year))
+
+
+def year_range(df: DataFrame, year: str = "year") -> tuple[Column, Column]:
+    """First and last year of a table as scalar subqueries."""
+    return df.agg(F.min(year)).scalar(), df.agg(F.max(year)).scalar()
 
 
 def assemble_by_state(

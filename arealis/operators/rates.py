@@ -157,22 +157,15 @@ def age_cells(width: int = 10) -> dict[str, tuple[str, ...]]:
 def band_population(census: DataFrame, keys: Sequence[str], width: int = 10) -> DataFrame:
     """Population by age band from long sex-by-age cells (keys, variable, estimate).
 
-    A band with a missing or NULL cell is NULL, as a sum of columns would be.
+    Every band has a row. A band with a missing or NULL cell is NULL, as a sum of
+    columns would be.
     """
-    bands = age_cells(width)
-    cell_band = {c: b for b, cells in bands.items() for c in cells}
-    need = {b: len(c) for b, c in bands.items()}
-    lookup = F.create_map(*[F.lit(x) for kv in cell_band.items() for x in kv])
-    size = F.create_map(*[F.lit(x) for kv in need.items() for x in kv])
-    cells = census.select(*keys, F.try_element_at(lookup, F.col("variable")).alias("agegroup"), "estimate")
-    sums = (
-        cells.where(F.col("agegroup").isNotNull())
-        .groupBy(*keys, "agegroup")
-        .agg(F.count("estimate").alias("_n"), F.sum("estimate").alias("_s"))
-    )
-    return sums.select(
-        *keys, "agegroup", F.when(F.col("_n") == F.try_element_at(size, F.col("agegroup")), F.col("_s")).alias("tpop")
-    )
+    totals = []
+    for band, cells in age_cells(width).items():
+        own = F.when(F.col("variable").isin(*cells), F.col("estimate"))
+        total = F.when(F.count(own) == len(cells), F.sum(own))
+        totals.append(F.struct(F.lit(band).alias("agegroup"), total.alias("tpop")))
+    return census.groupBy(*keys).agg(F.array(*totals).alias("_t")).select(*keys, F.inline("_t"))
 
 
 def expected_counts(

@@ -209,9 +209,6 @@ def sp5(spark, sf):
 
 
 
-
-
-
 @query(
     "sp6_reproject_layers",
     with_ctes(
@@ -266,7 +263,7 @@ def sp7(spark, sf):
 )
 def sp8(spark, sf):
     # x' R x over the years of every tract and cause, with R from the operator
-    first = 1995
+    first, _ = panel_ops.year_range(fx.prices(spark, sf))
     p = fx.panel(spark, sf).select("tract", "disease", (F.col("year") - first).alias("k"), "income")
     r = structure.rw1(spark, fx.prices(spark, sf).count())
     left = p.join(r.withColumnRenamed("i", "k"), "k").select("tract", "disease", "j", (F.col("income") * F.col("v")).alias("a"))

@@ -30,15 +30,23 @@ def io1(spark, sf):
 
 
 def _index_files(spark, sf):
-    """One file set per year, named like the downloads, with two header lines."""
-    p = fx.panel(spark, sf).where(F.col("disease") == "Allcauses")
+    """One file set per year, named like the downloads, with two header lines.
+
+    Tracts and counties together, over all causes.
+    """
+    p = fx.panel(spark, sf)
+    county = fx.tracts(spark, sf).select(F.col("geom").alias("tract"), F.lpad(F.col("county").cast("string"), 5, "0").alias("county"))
+    kinds = F.explode(
+        F.array(
+            F.struct(F.concat(F.lit("1400000US"), "geoid").alias("geo_id"), F.lit("Tract").alias("name")),
+            F.struct(F.concat(F.lit("0500000US"), "county").alias("geo_id"), F.lit("County").alias("name")),
+        )
+    ).alias("k")
+    mean = F.sum(F.round(F.col("ue") * 1e9).cast("long")) / F.count("ue") / 1e9
     name = F.concat(F.lit("ACSDT5Y"), F.col("year").cast("string"), F.lit(".B19083_data.csv")).alias("file")
-    rows = p.select(
-        F.coalesce(F.col("ue").cast("string"), F.lit("-")).alias("value"),
-        F.lit("0.1").alias("margin"),
-        F.concat(F.lit("1400000US"), "geoid").alias("geo_id"),
-        F.lit("Tract").alias("name"),
-        name,
+    means = p.join(county, "tract").select("year", "ue", kinds).groupBy("year", "k").agg(mean.alias("ue"))
+    rows = means.select(
+        F.coalesce(F.col("ue").cast("string"), F.lit("-")).alias("value"), F.lit("0.1").alias("margin"), "k.geo_id", "k.name", name
     )
     heads = F.explode(F.array(F.lit("GEO_ID"), F.lit("id"))).alias("geo_id")
     header = p.select("year").distinct().select(F.lit("B19083_001E").alias("value"), F.lit("B19083_001M").alias("margin"), heads, F.lit("NAME").alias("name"), name)
@@ -47,17 +55,21 @@ def _index_files(spark, sf):
     return files.read_inequality_files(spark, f"{path}/file=*.B19083_data*", glob="*.csv")
 
 
-@query("io2_yearly_index_files", with_ctes("panel", f"SELECT geoid, year, {rnd('ue')} AS i_gini FROM panel WHERE disease = 'Allcauses'"))
+_INDEX_SQL = """ix AS (SELECT geoid, year, sum(CAST(round(ue * 1e9) AS BIGINT)) / count(ue) / 1e9 AS v
+  FROM (SELECT geoid, year, ue FROM panel UNION ALL SELECT lpad(CAST(county AS VARCHAR), 5, '0'), year, ue FROM panel JOIN tracts ON tract = geom) a GROUP BY 1, 2)"""
+
+
+@query("io2_yearly_index_files", with_ctes("panel tracts", f"WITH {_INDEX_SQL} SELECT geoid, year, {rnd('v')} AS i_gini FROM ix"))
 def io2(spark, sf):
     return rounded(_index_files(spark, sf))
 
 
 @query(
     "rt13_inequality_index_join",
-    with_ctes("panel", f"SELECT p.geoid, p.year, p.n_rec, {rnd('g.ue')} AS i_gini FROM panel p LEFT JOIN panel g ON g.geoid = p.geoid AND g.year = p.year AND g.disease = 'Allcauses' WHERE p.disease = 'Neoplasms'"),
+    with_ctes("panel tracts", f"WITH {_INDEX_SQL} SELECT p.geoid, p.year, p.disease, p.n_rec, {rnd('v')} AS i_gini FROM panel p LEFT JOIN ix ON ix.geoid = p.geoid AND ix.year = p.year"),
 )
 def rt13(spark, sf):
-    p = fx.panel(spark, sf).where(F.col("disease") == "Neoplasms").select("geoid", "year", "n_rec")
+    p = fx.panel(spark, sf).select("geoid", "year", "disease", "n_rec")
     return rounded(p.join(_index_files(spark, sf), ["geoid", "year"], "left"))
 
 
@@ -83,15 +95,32 @@ def io4(spark, sf):
 
 @query("io5_geojson_points", with_ctes("points facilities", f"SELECT facility_id, state, status, employees, {rnd('x')} AS x, {rnd('y')} AS y FROM facilities"))
 def io5(spark, sf):
-    f = fx.facilities(spark, sf)
-    feature = F.struct(
+    """A folder of files with one feature per line."""
+    path = shared_folder(spark, "points")
+    fx.facilities(spark, sf).repartition(4, "facility_id").select(F.to_json(_feature()).alias("value")).write.text(path)
+    return rounded(files.read_geojson_points(spark, path, FACILITY, lines=True))
+
+
+FACILITY = "facility_id long, state string, status string, employees long"
+
+
+def _feature():
+    return F.struct(
         F.lit("Feature").alias("type"),
         F.struct("facility_id", "state", "status", "employees").alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"),
     )
-    path = shared_folder(spark, "points") + ".geojsonl"
-    f.select(F.to_json(feature).alias("value")).write.text(path)
-    return rounded(files.read_geojson_points(spark, path, "facility_id long, state string, status string, employees long"))
+
+
+@query("io5_geojson_collections", with_ctes("points facilities", f"SELECT facility_id, state, status, employees, {rnd('x')} AS x, {rnd('y')} AS y FROM facilities"))
+def io5_collections(spark, sf):
+    """A folder of feature collections, one for every 500 facilities."""
+    path = shared_folder(spark, "collections")
+    grouped = fx.facilities(spark, sf).groupBy(F.floor(F.col("facility_id") / 500).alias("name")).agg(F.collect_list(_feature()).alias("features"))
+    body = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))
+    pretty = F.replace(body, F.lit('},{"type":"Feature"'), F.lit('},\n{"type":"Feature"'))
+    grouped.select("name", pretty.alias("value")).repartition("name").write.partitionBy("name").text(path)
+    return rounded(files.read_geojson_points(spark, f"{path}/name=*", FACILITY))
 
 
 TILE_ROWS = 100  # grid lines of one tile file

@@ -9,7 +9,9 @@ from ..functions.numeric import strict_sum, strict_weighted_mean, zero_sum
 from ..functions.recode import age_band
 from ..operators import harmonise, panel as panel_ops, rates, reshape
 from ..operators.ranks import dense_index
+from ..sources.files import read_table, write_table
 from . import fixtures as fx
+from .files import shared_folder
 from .fixtures import with_ctes
 from .records import flag_sql, flagged
 from .registry import query, rnd, rounded
@@ -82,9 +84,17 @@ def jn5(spark, sf):
     return rounded(out.select("tract", "year", "disease", "mortrate", "cpi", "county", "s_acctbal"), 9)
 
 
-@query("jn6_area_by_year", "SELECT s_suppkey AS geom, CAST(y AS INTEGER) AS year FROM supplier, range(1995, 2002) r(y)")
+# Every year from the first to the last of the records.
+_YEARS_SQL = "(SELECT unnest(range(min(y), max(y) + 1)) AS y FROM (SELECT CAST(year(l_shipdate) AS BIGINT) AS y FROM lineitem) r)"
+
+
+def _record_years(spark, sf):
+    return panel_ops.year_range(fx.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")))
+
+
+@query("jn6_area_by_year", f"SELECT s_suppkey AS geom, CAST(y AS INTEGER) AS year FROM supplier, {_YEARS_SQL} q")
 def jn6(spark, sf):
-    return panel_ops.area_years(fx.tracts(spark, sf).select("geom"), 1995, 2001)
+    return panel_ops.area_years(fx.tracts(spark, sf).select("geom"), *_record_years(spark, sf))
 
 
 @query(
@@ -214,12 +224,12 @@ def wn3(spark, sf):
     "wn4_first_known_fill",
     with_ctes(
         "panel",
-        f"SELECT tract, year, {rnd('coalesce(ue, f)')} AS ue FROM (SELECT * FROM panel WHERE disease = 'Allcauses') p LEFT JOIN (SELECT tract AS t, arg_min(ue, year) AS f FROM panel WHERE ue IS NOT NULL AND disease = 'Allcauses' GROUP BY 1) k ON tract = t",
+        f"SELECT tract, year, disease, {rnd('coalesce(ue, f)')} AS ue FROM panel p LEFT JOIN (SELECT tract AS t, disease AS d, arg_min(ue, year) AS f FROM panel WHERE ue IS NOT NULL GROUP BY 1, 2) k ON tract = t AND disease = d",
     ),
 )
 def wn4(spark, sf):
-    d = fx.panel(spark, sf).where(F.col("disease") == "Allcauses").select("tract", "year", "ue")
-    return rounded(harmonise.fill_first_known(d, ["tract"], "year", "ue"))
+    d = fx.panel(spark, sf).select("tract", "year", "disease", "ue")
+    return rounded(harmonise.fill_first_known(d, ["tract", "disease"], "year", "ue"))
 
 
 @query(
@@ -346,7 +356,7 @@ def _band_rates(spark, sf, columns=ALL_COUNTS):
     # counted by tract first, so the county join moves sums, not records
     by_tract = rates.flag_counts(banded(spark, sf), ["tract", "year", "agegroup"], flags)
     counts = rates.summarise(by_tract.join(county, "tract"), ["county", "year", "agegroup"], list(flags.values()), F.sum)
-    pop = panel_ops.area_years(fx.population(spark, sf), 1995, 2001)
+    pop = panel_ops.area_years(fx.population(spark, sf), *_record_years(spark, sf))
     w = rates.standard_weights(rates.regroup_bands(rates.standard_population(spark)))
     return rates.age_specific_rates(pop, counts, w, ["county", "year", "agegroup"], list(flags.values()))
 
@@ -356,7 +366,7 @@ cnt AS (SELECT s_nationkey AS county, year, {BAND_OF_AGE_SQL} AS agegroup, {_FLA
 br AS (SELECT p.county, CAST(y AS INTEGER) AS year, p.agegroup, tpop, w.n_all, w.n_male, w.n_female,
   {", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in ALL_COUNTS)},
   {", ".join(f"1e5 * coalesce(c.{n}, 0) / tpop AS r_{n[2:]}" for n in ALL_COUNTS)}
-  FROM pop p CROSS JOIN range(1995, 2002) t(y) LEFT JOIN cnt c ON c.county = p.county AND c.year = y AND c.agegroup = p.agegroup
+  FROM pop p CROSS JOIN {_YEARS_SQL} t LEFT JOIN cnt c ON c.county = p.county AND c.year = y AND c.agegroup = p.agegroup
   LEFT JOIN std w ON w.agegroup = p.agegroup)"""
 
 
@@ -380,7 +390,7 @@ def _band_pop_sql() -> str:
     out = []
     for band, cells in rates.age_cells(10).items():
         total = " + ".join(f"max(CASE WHEN variable = '{c}' THEN estimate END)" for c in cells)
-        out.append(f"SELECT county, '{band}' AS agegroup, {total} AS tpop FROM age_census GROUP BY county HAVING count(CASE WHEN variable IN ({', '.join(repr(c) for c in cells)}) THEN 1 END) > 0")
+        out.append(f"SELECT county, '{band}' AS agegroup, {total} AS tpop FROM age_census GROUP BY county")
     return " UNION ALL ".join(out)
 
 
@@ -393,14 +403,15 @@ def rt6(spark, sf):
     "rt7_crosswalk_means",
     with_ctes(
         "panel cw",
-        f"""SELECT geoid10, {rnd('sum(income * w) / sum(w)')} AS income, {rnd('CASE WHEN count(ue) = count(*) THEN sum(ue * w) / sum(w) END')} AS ue
-        FROM (SELECT geoid10, income, ue, CAST(pop00 * poppct00 / 100 AS DOUBLE) AS w FROM cw LEFT JOIN (SELECT * FROM panel WHERE year = 1995 AND disease = 'Allcauses') p ON tract = geoid00) j
-        GROUP BY 1""",
+        f"""SELECT geoid10, year, disease, {rnd('CASE WHEN count(income) = count(*) THEN sum(income * w) / sum(w) END')} AS income, {rnd('CASE WHEN count(ue) = count(*) THEN sum(ue * w) / sum(w) END')} AS ue
+        FROM (SELECT geoid10, k.year, k.disease, income, ue, CAST(pop00 * poppct00 / 100 AS DOUBLE) AS w FROM cw CROSS JOIN (SELECT DISTINCT year, disease FROM panel) k
+              LEFT JOIN panel p ON tract = geoid00 AND p.year = k.year AND p.disease = k.disease) j
+        GROUP BY 1, 2, 3""",
     ),
 )
 def rt7(spark, sf):
-    d = fx.panel(spark, sf).where((F.col("year") == 1995) & (F.col("disease") == "Allcauses")).select(F.col("tract").alias("geoid00"), "income", "ue")
-    return rounded(harmonise.crosswalk(d, fx.crosswalk_table(spark, sf), ["income", "ue"]))
+    d = fx.panel(spark, sf).select(F.col("tract").alias("geoid00"), "year", "disease", "income", "ue")
+    return rounded(harmonise.crosswalk(d, fx.crosswalk_table(spark, sf), ["income", "ue"], by=["year", "disease"]))
 
 
 @query(
@@ -448,11 +459,15 @@ def rt11(spark, sf):
 
 @query(
     "rt12_stack_yearly_tables",
-    with_ctes("panel", f"SELECT tract, year, disease, n_rec, CASE WHEN year <> 1995 THEN pop END AS pop FROM panel WHERE year BETWEEN 1995 AND 2001"),
+    with_ctes("panel", f"SELECT tract, year, disease, n_rec, CASE WHEN year <> (SELECT min(year) FROM panel) THEN pop END AS pop FROM panel"),
 )
 def rt12(spark, sf):
-    p = fx.panel(spark, sf)
-    frames = {y: p.where(F.col("year") == y).select("tract", "disease", "n_rec", *([] if y == 1995 else ["pop"])) for y in range(1995, 2002)}
+    # the yearly tables are files of their own; the first one lacks a column
+    path = shared_folder(spark, "yearly")
+    write_table(fx.panel(spark, sf).select("tract", "disease", "n_rec", "pop", "year"), path, ["year"])
+    years = sorted(r["year"] for r in spark.read.parquet(path).select("year").distinct().collect())
+    frames = {y: read_table(spark, f"{path}/year={y}") for y in years}
+    frames[years[0]] = frames[years[0]].drop("pop")
     return harmonise.stack_years(frames).select("tract", "year", "disease", "n_rec", "pop")
 
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codes import key_slice
-
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV with a header, typed by the given schema, columns picked by name."""
@@ -16,11 +14,15 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
     return df.select(*columns) if columns else df
 
 
-def read_inequality_files(spark: SparkSession, folder: str, glob: str = "*.B19083_data*.csv", id_prefix: str = "1400000US") -> DataFrame:
-    """Yearly index files to (geoid, year, value).
+# Ids of any geography: a seven-digit summary level and part, then the code.
+AREA_ID = r"^\d{7}US(.*)$"
+
+
+def read_inequality_files(spark: SparkSession, folder: str, glob: str = "*.B19083_data*.csv") -> DataFrame:
+    """Yearly index files of any geography to (geoid, year, value).
 
     The files have two header lines, no usable names and the year in the file
-    name (``...5Y2010...``). Header lines are told from data by the id column.
+    name (``...5Y2010...``). Header lines are those without an area id.
     """
     raw = (
         spark.read.schema("value string, margin string, geo_id string, name string")
@@ -29,8 +31,8 @@ def read_inequality_files(spark: SparkSession, folder: str, glob: str = "*.B1908
         .csv(folder)
     )
     year = F.regexp_extract("_metadata.file_path", r"5Y(\d{4})", 1)
-    return raw.where(F.col("geo_id").startswith(id_prefix)).select(
-        key_slice("geo_id", 10, 20).alias("geoid"),
+    return raw.where(F.col("geo_id").rlike(AREA_ID)).select(
+        F.regexp_extract("geo_id", AREA_ID, 1).alias("geoid"),
         year.try_cast("int").alias("year"),
         F.col("value").try_cast("double").alias("i_gini"),
     )
@@ -53,17 +55,30 @@ def read_polygons(spark: SparkSession, path: str, layer: str | None = None) -> D
     return df
 
 
-def read_geojson_points(spark: SparkSession, path: str, properties: str) -> DataFrame:
+# JSON text without what its strings hold, and the seam of two documents.
+JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+JSON_SEAM = r"\}\s*\{"
+
+
+def read_geojson_points(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
     """Point features with the listed properties (a DDL string) and x, y.
 
-    A feature collection is one JSON document; newline-delimited features are
-    split by Spark and are the form to use for large layers.
+    ``path`` is a file or a folder of files. By default a file is one document, a
+    feature collection or a single feature. With ``lines`` every line is one; Spark
+    then splits files, so it is the form to use for large layers. A file of the
+    other kind, or text that isn't JSON, raises instead of losing features.
     """
     schema = (
         f"type string, properties struct<{_as_struct(properties)}>, geometry struct<type:string,coordinates:array<double>>, "
         f"features array<struct<properties:struct<{_as_struct(properties)}>,geometry:struct<type:string,coordinates:array<double>>>>"
     )
-    doc = spark.read.schema(schema).option("multiLine", not path.endswith(("jsonl", "geojsonl", "ndjson"))).json(path)
+    text = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
+    doc = text.select("value", F.from_json("value", schema).alias("d"))
+    sound = F.col("d.type").isNotNull()
+    if not lines:
+        sound = sound & ~F.regexp_replace("value", JSON_STRING, "").rlike(JSON_SEAM)
+    wrong = F.concat(F.lit(f"not one GeoJSON document in a {'line' if lines else 'file'}: "), F.substring("value", 1, 60))
+    doc = doc.select(F.when(sound, F.col("d")).otherwise(F.raise_error(wrong)).alias("d")).select("d.*")
     one = F.array(F.struct("properties", "geometry"))
     f = doc.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one)).alias("f"))
     return f.select(

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem embeddings documents pages labels".split()
 
 
 @pytest.fixture(scope="session")
