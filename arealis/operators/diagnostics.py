@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_cdf, ratio
-from .ranks import cumulative_counts, with_group_totals
+from .ranks import cumulative_counts, exact_quantiles, with_group_totals
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,6 +43,19 @@ def cross_moments(df: DataFrame, columns: Sequence[str], weight: str | None = No
     return m
 
 
+def means_and_moments(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], np.ndarray]:
+    """Means and covariance matrix from one aggregate over the rows."""
+    cols = list(columns)
+    row = df.agg(
+        *[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[a], cols[b]).alias(f"m{a}_{b}") for a, b in _pairs(cols)]
+    ).first()
+    m = np.empty((len(cols), len(cols)))
+    for a, b in _pairs(cols):
+        v = row[f"m{a}_{b}"]
+        m[a, b] = m[b, a] = 0.0 if v is None else v
+    return {c: 0.0 if row[f"a{i}"] is None else row[f"a{i}"] for i, c in enumerate(cols)}, m
+
+
 def correlation_matrix(m: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.diag(m))
     return m / np.outer(sd, sd)
@@ -115,17 +129,24 @@ def sample_skewness(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Counts in equal-width bins over the whole range; the last bin is closed."""
+    """Counts in equal-width bins over the whole range; the last bin is closed.
+
+    Every group has all bins, empty ones with 0. Values that are all equal fall in
+    the first bin; without values there is no row.
+    """
     rng = df.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))).scalar()
     lo, hi = rng.getField("lo"), rng.getField("hi")
     # the range as columns, so the scalar is computed once
     d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.coalesce(F.least(F.floor(ratio(F.col("_v") - F.col("_lo"), width)), F.lit(bins - 1).cast("long")), F.lit(0).cast("long"))
-    return (
-        d.groupBy(*by, b.alias("bin"), "_lo", "_hi")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(*by, "bin", (F.col("_lo") + F.col("bin") * width).alias("left"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("right"), "n")
+    # all bins come out of one row per group: counts by bin as a map
+    counts = d.groupBy(*by, b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy(*by, "_lo", "_hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_c"))
+    every = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")).alias("bin"))
+    n = F.coalesce(F.try_element_at("_c", F.col("bin")), F.lit(0))
+    return every.select(
+        *by, "bin", (F.col("_lo") + F.col("bin") * width).alias("left"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("right"), n.cast("long").alias("n")
     )
 
 
@@ -134,7 +155,9 @@ def density(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 512,
 
     Rows are first counted in ``bins`` narrow bins of their group, so the kernel
     sums touch at most ``bins * grid`` pairs per group however large it is.
-    Bandwidth: 1.06 * sd * n^(-1/5) (normal reference rule).
+    Bandwidth: 0.9 * min(sd, IQR / 1.34) * n^(-1/5), with the sd alone where the
+    IQR is 0 (the usual plotting default). A group of equal values has no density:
+    its rows are NULL.
     """
     by = list(by)
     v = F.col(value).cast("double")
@@ -148,7 +171,20 @@ def density(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 512,
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.least(F.floor(ratio(F.col("_v") - F.col("_lo"), width)), F.lit(bins - 1).cast("long"))
     binned = d.groupBy(*by, "_lo", "_hi", "_n", "_sd", b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    h = F.lit(1.06) * F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    quarters = exact_quantiles(known, "_v", {"_q1": 0.25, "_q3": 0.75}, by)
+    if by:
+        renamed = quarters.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)})
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+        binned = binned.join(renamed, reduce(lambda a, c: a & c, same))
+    else:
+        both = quarters.agg(F.struct(F.max("_q1").alias("_q1"), F.max("_q3").alias("_q3"))).scalar()
+        binned = binned.select("*", both.getField("_q1").alias("_q1"), both.getField("_q3").alias("_q3"))
+    quarter = F.nullif((F.col("_q3") - F.col("_q1")) / F.lit(1.34), F.lit(0.0))
+    spread = F.nullif(F.least("_sd", F.coalesce(quarter, "_sd")), F.lit(0.0))
+    h = F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    # the columns of the sums below
+    binned = binned.select(*by, "_lo", "_hi", "_n", "_b", "_c", h.alias("_h"))
+    h = F.col("_h")
     x = F.col("_lo") - 3 * h + F.col("_g") * (F.col("_hi") - F.col("_lo") + 6 * h) / F.lit(float(grid - 1))
     centre = F.col("_lo") + (F.col("_b") + 0.5) * width
     z = ratio(x - centre, h)

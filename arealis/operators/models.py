@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from .diagnostics import complete_rows, correlation_matrix, cross_moments, vif
+from .diagnostics import complete_rows, correlation_matrix, means_and_moments, vif
 from .ranks import reliable_checkpoint, with_group_totals
 
 # ------------------------------------------------------------------ fixed effects
@@ -50,10 +50,10 @@ class LinearFit:
 def linear_regression(df: DataFrame, label: str, features: Sequence[str]) -> LinearFit:
     """Gaussian regression from the moments of one aggregate (complete rows)."""
     cols = [*features, label]
-    rows = complete_rows(df, cols)
-    m = cross_moments(rows, cols)
-    means = rows.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    means, m = means_and_moments(complete_rows(df, cols), cols)
     p = len(features)
+    if p and not np.linalg.matrix_rank(m[:p, :p]) == p:
+        raise ValueError(f"no unique fit: {list(features)} are linearly dependent or without rows")
     beta = np.linalg.solve(m[:p, :p], m[:p, p]) if p else np.empty(0)
     intercept = means[label] - sum(b * means[f] for b, f in zip(beta, features))
     return LinearFit({"(Intercept)": float(intercept), **{f: float(b) for f, b in zip(features, beta)}})
@@ -91,7 +91,8 @@ def poisson_vif(df: DataFrame, label: str, features: Sequence[str], offset: str)
 
 @dataclass
 class Components:
-    """Principal components of standardised columns."""
+    """Principal components of standardised columns. A missing value scores as
+    the column's mean."""
 
     columns: list[str]
     mean: list[float]
@@ -102,7 +103,7 @@ class Components:
     def score(self, k: int = 0) -> Column:
         out = F.lit(0.0)
         for c, m, s, v in zip(self.columns, self.mean, self.sd, self.vectors[:, k]):
-            out = out + (F.col(c) - F.lit(m)) / F.lit(s) * F.lit(float(v))
+            out = out + F.coalesce((F.col(c) - F.lit(m)) / F.lit(s), F.lit(0.0)) * F.lit(float(v))
         return out
 
     def loadings(self, df: DataFrame) -> DataFrame:
@@ -117,21 +118,28 @@ class Components:
         return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, percent double, cumulative double")
 
 
-def principal_components(df: DataFrame, columns: Sequence[str]) -> Components:
+def principal_components(df: DataFrame, columns: Sequence[str], missing: str = "mean") -> Components:
     """Components of the correlation matrix; population standard deviations.
 
-    The sign of each vector makes its largest absolute loading positive. Rows
-    with a missing value do not enter the moments.
+    The sign of each vector makes its largest absolute loading positive (the first
+    of equal ones). ``missing='mean'`` keeps every row and puts the column's mean
+    in place of what is missing; ``missing='drop'`` takes complete rows only.
     """
     cols = list(columns)
-    rows = complete_rows(df, cols)
-    m = cross_moments(rows, cols)
-    means = rows.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    if missing not in ("mean", "drop"):
+        raise ValueError("missing must be 'mean' or 'drop'")
+    if missing == "mean":
+        average = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+        rows = df.select(*[F.coalesce(F.col(c).cast("double"), average.getField(c)).alias(c) for c in cols])
+    else:
+        rows = complete_rows(df, cols)
+    means, m = means_and_moments(rows, cols)
     values, vectors = np.linalg.eigh(correlation_matrix(m))
     order = np.argsort(values)[::-1]
     values, vectors = values[order], vectors[:, order]
     for k in range(len(cols)):
-        if vectors[np.argmax(np.abs(vectors[:, k])), k] < 0:
+        size = np.abs(vectors[:, k])
+        if vectors[np.flatnonzero(size >= size.max() * (1 - 1e-9))[0], k] < 0:
             vectors[:, k] *= -1
     return Components(cols, [float(means[c]) for c in cols], [float(s) for s in np.sqrt(np.diag(m))], vectors, values)
 
@@ -154,6 +162,21 @@ class Solution:
     iterations: int
     residual: float
     history: list[float] = field(default_factory=list)
+    tol: float = float("inf")
+
+    @property
+    def converged(self) -> bool:
+        return self.residual <= self.tol
+
+    def checked(self) -> Solution:
+        """This solution, or an error if the solver stopped at its cap."""
+        if not self.converged:
+            raise RuntimeError(f"not converged: relative residual {self.residual:.3g} after {self.iterations} steps, wanted {self.tol:.3g}")
+        return self
+
+    def reported(self) -> DataFrame:
+        """The values with ``iterations``, ``residual`` and ``converged``."""
+        return self.values.withColumns({"iterations": F.lit(self.iterations), "residual": F.lit(self.residual), "converged": F.lit(self.converged)})
 
 
 def rw1_matrix(t: int) -> np.ndarray:
@@ -162,7 +185,12 @@ def rw1_matrix(t: int) -> np.ndarray:
 
 
 def _wide(df: DataFrame, area: str, year: str, years: Sequence[int], columns: Mapping[str, str]) -> DataFrame:
-    """One row per area, one column per year and quantity (0 where missing)."""
+    """One row per area, one column per year and quantity (0 where missing).
+
+    A row of a year that is not listed raises.
+    """
+    known = F.col(year).isin([int(y) for y in years])
+    df = df.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a year that is not listed: "), F.coalesce(F.col(year).cast("string"), F.lit("NULL"))))))
     return df.groupBy(area).agg(
         *[
             F.coalesce(F.sum(F.when(F.col(year) == y, F.col(c))), F.lit(0.0)).cast("double").alias(f"{p}{k}")
@@ -289,7 +317,7 @@ def _spatial_cg(
         alpha = over(rz_new, qz - over(beta * rz_new, alpha))
         rz = rz_new
         history.append(relative(rr))
-    return Solution(s.select(area, *[f"x{k}" for k in ks]), it, relative(rr), history)
+    return Solution(s.select(area, *[f"x{k}" for k in ks]), it, relative(rr), history, tol).checked()
 
 
 def smooth_areas(
@@ -305,7 +333,8 @@ def smooth_areas(
     """Structured area effect: solve ``(diag(w) + tau L) x = w y``.
 
     ``df`` may hold many rows per area; they are reduced to the moments
-    ``sum w`` and ``sum w*y`` first. Column ``x0`` is the effect.
+    ``sum w`` and ``sum w*y`` first. Column ``x0`` is the effect. A solver that
+    does not reach ``tol`` within ``max_iter`` steps raises.
     """
     state = df.groupBy(area).agg(
         F.coalesce(F.sum(weight), F.lit(0.0)).cast("double").alias("w0"),
@@ -332,17 +361,24 @@ def smooth_slopes(df: DataFrame, edges: DataFrame, x: str, y: str, tau: float, a
 
 def smooth_years(df: DataFrame, weight: str, value: str, tau: float, year: str = "year") -> dict[int, float]:
     """Random-walk year effect at a fixed precision. The t x t system is tiny;
-    only one row per year reaches the driver."""
+    only one row per year reaches the driver. The walk goes over every year from
+    the first to the last: one without rows has weight 0 and its own effect."""
     rows = (
         df.groupBy(year)
         .agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(value)).alias("b"))
         .orderBy(year)
         .collect()
     )
-    t = len(rows)
-    w, b = np.array([r["w"] for r in rows], float), np.array([r["b"] for r in rows], float)
-    x = np.linalg.solve(np.diag(w) + tau * rw1_matrix(t), b)
-    return {row[year]: float(v) for row, v in zip(rows, x)}
+    rows = [r for r in rows if r[year] is not None]
+    if not rows:
+        return {}
+    first = rows[0][year]
+    t = rows[-1][year] - first + 1
+    w, b = np.zeros(t), np.zeros(t)
+    for r in rows:
+        w[r[year] - first], b[r[year] - first] = r["w"] or 0.0, r["b"] or 0.0
+    x = np.linalg.solve(np.diag(w) + tau * rw1_matrix(t), b) if w.any() else np.zeros(t)
+    return {first + k: float(v) for k, v in enumerate(x)}
 
 
 def smooth_interaction(
@@ -400,7 +436,7 @@ def smooth_interaction(
 
     turned = state.select(area, *[F.col("w0").alias(f"w{k}") for k in ks], *rotate("b", u, "b"))
     sol = _spatial_cg(turned, edges, area, t, tau * lam, None, tol, max_iter)
-    return Solution(sol.values.select(area, *rotate("x", u.T, "x")), sol.iterations, sol.residual, sol.history)
+    return Solution(sol.values.select(area, *rotate("x", u.T, "x")), sol.iterations, sol.residual, sol.history, tol)
 
 
 def _solve_each_area(state: DataFrame, area: str, t: int, tau: float) -> DataFrame:

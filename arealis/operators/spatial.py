@@ -30,13 +30,27 @@ def polygon_edges(vertices: DataFrame, geom: str = "geom") -> DataFrame:
     """One row per directed edge ``(geom, part, ring, x1, y1, x2, y2)``.
 
     The successor of a vertex is found by a join on ``seq + 1``, so a ring with a
-    third of all vertices is spread over all tasks.
+    third of all vertices is spread over all tasks. A ring whose numbers have gaps
+    or repeat, or that does not end where it begins, raises.
     """
     v = vertices.select(geom, *RING, "seq", F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"))
     nxt = v.select(
         geom, *RING, (F.col("seq") - 1).alias("seq"), F.col("x1").alias("x2"), F.col("y1").alias("y2")
     )
-    return v.join(nxt, [geom, *RING, "seq"]).select(geom, *RING, "x1", "y1", "x2", "y2")
+    edges = v.join(nxt, [geom, *RING, "seq"]).select(geom, *RING, "x1", "y1", "x2", "y2")
+    return edges.unionByName(_unsound_rings(vertices, geom))
+
+
+def _unsound_rings(vertices: DataFrame, geom: str) -> DataFrame:
+    """No rows, or an error: one aggregate over the vertices of every ring."""
+    at = F.struct("x", "y")
+    rings = vertices.groupBy(geom, *RING).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_a"), F.max("seq").alias("_b"), F.min_by(at, "seq").alias("_first"), F.max_by(at, "seq").alias("_last")
+    )
+    sound = (F.col("_n") == F.col("_b") - F.col("_a") + 1) & (F.col("_n") > 1) & F.col("_first").eqNullSafe(F.col("_last"))
+    message = F.concat(F.lit("ring with gaps or without end: "), F.to_json(F.struct(geom, *RING)))
+    bad = F.when(sound, F.lit(None)).otherwise(F.raise_error(message)).cast("double")
+    return rings.select(geom, *RING, *[bad.alias(c) for c in ("x1", "y1", "x2", "y2")]).where(F.col("x1").isNotNull())
 
 
 def ring_areas(edges: DataFrame, geom: str = "geom") -> DataFrame:
@@ -263,14 +277,14 @@ def _strip_edges(vertices: DataFrame, h: float, geom: str, tag: str) -> DataFram
     )
     a = F.greatest(F.col("lo"), F.col("strip") * F.lit(h))
     b = F.least(F.col("hi"), (F.col("strip") + 1) * F.lit(h))
-    height = lambda x: F.col("ylo") + F.col("slope") * (x - F.col("lo"))
     return e.where(b > a).select(
         F.col(geom).alias(tag),
         F.col("strip").alias(f"{tag}_strip"),
         F.col("sign").alias(f"{tag}_s"),
         a.alias(f"{tag}_a"),
         b.alias(f"{tag}_b"),
-        height(a).alias(f"{tag}_ya"),
+        F.col("lo").alias(f"{tag}_x"),
+        F.col("ylo").alias(f"{tag}_y"),
         F.col("slope").alias(f"{tag}_m"),
     )
 
@@ -303,7 +317,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, lgeom: str, rgeom: str, h
         a.join(b, ["_bx", "_by"])
         .where((x0 < x1) & (y0 < y1))
         .where((F.floor(x0 / F.lit(h)) == F.col("_bx")) & (F.floor(y0 / F.lit(h)) == F.col("_by")))
-        .select(lgeom, rgeom, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"))
+        .select(
+            lgeom, rgeom, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"),
+            F.greatest(F.col("_ly1") - F.col("_ly0"), F.col("_ry1") - F.col("_ry0")).alias("height"),
+        )
     )
 
 
@@ -314,13 +331,15 @@ def overlay_area(
     rgeom: str = "right_geom",
     strip: float | None = None,
     name: str = "area",
-    tiny: float = 1e-12,
+    noise: float = 1e-12,
 ) -> DataFrame:
     """One row per intersecting pair of polygons with the area they share.
 
     The overlap is ``sum s_e * s_f * integral min(e, f)`` over pairs of edges in
-    the same strip of the same candidate pair. Pairs that only touch are left
-    out (``area <= tiny``).
+    the same strip of the same candidate pair, with heights measured from the
+    pair's own corner. Pairs that only touch, or are apart, are left out: their sum
+    is rounding, which is at most ``noise`` times the width of the boxes' overlap
+    times the height of the taller box, whatever the unit.
     """
     h = float(strip) if strip else mean_edge_length(polygon_edges(right, rgeom))
     grid = max(mean_extent(left, lgeom), mean_extent(right, rgeom))
@@ -333,8 +352,8 @@ def overlay_area(
     )
     a, b = F.greatest("_e_a", "_f_a"), F.least("_e_b", "_f_b")
     # heights are taken relative to the pair's lower bound, which cancels over
-    # closed rings and keeps the sums small
-    at = lambda t, x: F.col(f"{t}_ya") + F.col(f"{t}_m") * (x - F.col(f"{t}_a")) - F.col("y0")
+    # closed rings and keeps the sums, and their rounding, small
+    at = lambda t, x: (F.col(f"{t}_y") - F.col("y0")) + F.col(f"{t}_m") * (x - F.col(f"{t}_x"))
     ea, eb, fa, fb = at("_e", a), at("_e", b), at("_f", a), at("_f", b)
     da, db = F.abs(ea - fa), F.abs(eb - fb)
     same_side = (ea - fa) * (eb - fb) >= 0
@@ -343,8 +362,9 @@ def overlay_area(
     return (
         j.where(b > a)
         .groupBy(lgeom, rgeom)
-        .agg(F.sum(F.col("_e_s") * F.col("_f_s") * low).alias(name))
-        .where(F.col(name) > tiny)
+        .agg(F.sum(F.col("_e_s") * F.col("_f_s") * low).alias(name), F.max((F.col("x1") - F.col("x0")) * F.col("height")).alias("_size"))
+        .where(F.col(name) > F.lit(noise) * F.col("_size"))
+        .drop("_size")
     )
 
 
@@ -357,7 +377,8 @@ def zonal_statistic(cells: DataFrame, vertices: DataFrame, cell: float, geom: st
     ``cells`` has (x, y, value) at cell centres and the ``by`` columns (year).
     ``mean`` and ``sum`` weight by coverage; ``min`` and ``max`` take every cell
     that is touched. The coverage is exact and computed once per grid position,
-    not once per layer.
+    not once per layer. Every polygon has a row under each of the ``by`` keys that
+    occur; without a known cell its value is NULL.
     """
     half = F.lit(cell / 2)
     centres = cells.select("x", "y").distinct()
@@ -378,7 +399,12 @@ def zonal_statistic(cells: DataFrame, vertices: DataFrame, cell: float, geom: st
         "min": F.min("value"),
         "max": F.max("value"),
     }[stat]
-    return v.groupBy(geom, *by).agg(agg.alias("value"))
+    found = v.groupBy(geom, *by).agg(agg.alias("value"))
+    everywhere = vertices.select(geom).distinct()
+    if by:
+        keys = cells.agg(F.collect_set(F.struct(*by))).scalar()
+        everywhere = everywhere.withColumn("_k", F.explode(keys)).select(geom, *[F.col("_k")[k].alias(k) for k in by])
+    return everywhere.join(found, [geom, *by], "left")
 
 
 def facility_density(

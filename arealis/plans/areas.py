@@ -85,7 +85,7 @@ def _park_vertices(spark, sf, public: bool):
 @query("sp4_overlay_area", with_ctes("tracts parks", f"WITH {_OVERLAP_SQL} SELECT geom, park_id, {rnd('area')} AS area FROM ov"))
 def sp4(spark, sf):
     return rounded(
-        spatial.overlay_area(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, False), "geom", "park_id", strip=0.5, tiny=1e-9)
+        spatial.overlay_area(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, False), "geom", "park_id", strip=0.5)
     )
 
 
@@ -102,37 +102,104 @@ def cv3(spark, sf):
     return rounded(spatial.park_share(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, True), strip=0.5))
 
 
-@query("cv4_raster_zonal_mean", with_ctes("raster", f"SELECT geom, year, {rnd('avg(value)')} AS value FROM raster GROUP BY 1, 2"))
+@query(
+    "cv4_raster_zonal_mean",
+    with_ctes(
+        "tracts raster",
+        f"""SELECT t.geom, k.year, {rnd('avg(value)')} AS value FROM tracts t CROSS JOIN (SELECT DISTINCT year FROM raster) k
+        LEFT JOIN raster r ON r.geom = t.geom AND r.year = k.year AND t.geom % 7 <> 3 GROUP BY 1, 2""",
+    ),
+)
 def cv4(spark, sf):
-    return rounded(spatial.zonal_statistic(fx.raster(spark, sf), fx.tract_vertices(spark, sf), 0.25, by=["year"]))
+    # some tracts lie outside the raster
+    tract = F.floor("x") + 10 * F.floor("y")
+    return rounded(spatial.zonal_statistic(fx.raster(spark, sf).where(tract % 7 != 3), fx.tract_vertices(spark, sf), 0.25, by=["year"]))
 
 
-INDEX_COLUMNS = ["income", "elder", "ue", "mortrate"]
+def _triangles(df, geom, corner_x, corner_y, leg):
+    """Right triangles with legs along the axes, in metres of a national grid."""
+    corner = lambda s, dx, dy: F.struct(F.lit(s).alias("seq"), (F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"))
+    ring = F.array(corner(0, 0.0, 0.0), corner(1, leg, 0.0), corner(2, 0.0, leg), corner(3, 0.0, 0.0))
+    placed = df.select(geom, (corner_x - 2_000_000).cast("double").alias("_x"), (corner_y + 2_500_000).cast("double").alias("_y"))
+    return placed.select(geom, F.lit(0).alias("part"), F.lit(0).alias("ring"), F.explode(ring).alias("v")).select(geom, "part", "ring", "v.seq", "v.x", "v.y")
+
+
+@query(
+    "sp4_overlay_of_triangles",
+    """WITH a AS (SELECT s_suppkey AS zone, s_suppkey % 10 * 3000 AS x, s_suppkey // 10 * 3000 AS y, 4000 AS leg FROM supplier),
+    b AS (SELECT p_partkey AS plot, p_partkey * 37 % 300 * 100 AS x, p_partkey * 53 % 100 * 300 AS y, 1000 AS leg FROM part),
+    o AS (SELECT zone, plot, least(a.x + a.y + a.leg, b.x + b.y + b.leg) - greatest(a.x, b.x) - greatest(a.y, b.y) AS side FROM a, b)
+    SELECT zone, plot, round(side * side / 2.0, 3) AS area FROM o WHERE side > 0""",
+)
+def sp4_triangles(spark, sf):
+    # boxes of many pairs overlap although the triangles are apart
+    z, q = F.col("zone"), F.col("plot")
+    zones = _triangles(fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("zone")), "zone", z % 10 * 3000, F.floor(z / 10) * 3000, 4000.0)
+    plots = _triangles(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("plot")), "plot", q * 37 % 300 * 100, q * 53 % 100 * 300, 1000.0)
+    return rounded(spatial.overlay_area(zones, plots, "zone", "plot"), 3)
 
 
-def _index_panel(spark, sf):
-    return fx.panel(spark, sf).dropna(subset=INDEX_COLUMNS)
+INDEX_COLUMNS = ["income", "elder", "ue", "mortrate"]
 
 
 @query("cv5_composite_index")
 def cv5(spark, sf):
-    pc = models.principal_components(_index_panel(spark, sf), INDEX_COLUMNS)
-    return rounded(_index_panel(spark, sf).select("tract", "year", "disease", pc.score().alias("SES")))
+    d = fx.panel(spark, sf)
+    pc = models.principal_components(d, INDEX_COLUMNS)
+    return rounded(d.select("tract", "year", "disease", pc.score().alias("SES")))
 
 
 @query("cv6_recomputed_index")
 def cv6(spark, sf):
-    d = _index_panel(spark, sf).withColumn("SES_old", F.lit(0.0))
+    d = fx.panel(spark, sf).withColumn("SES_old", F.lit(0.0))
     return rounded(models.composite_index(d, ["income", "elder", "ue"]).select("tract", "year", "disease", "SES"))
 
 
 @query("cv7_loadings_and_eigenvalues")
 def cv7(spark, sf):
-    d = _index_panel(spark, sf)
+    d = fx.panel(spark, sf)
     pc = models.principal_components(d, INDEX_COLUMNS)
     return rounded(pc.loadings(d).join(pc.eigen_table(d), "component"))
 
 
+def _pair_sql(a: str, b: str) -> str:
+    """Two columns: components (1, 1) and (1, -1) over the root of two, with the
+    eigenvalues 1 + r and 1 - r. Missing values take the column's mean."""
+    return f"""f AS (SELECT tract, year, disease, coalesce({a}, (SELECT avg({a}) FROM panel)) AS a, coalesce({b}, (SELECT avg({b}) FROM panel)) AS b FROM panel),
+    st AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r FROM f)"""
+
+
+_PAIR_SCORE = "((a - ma) / sa + CASE WHEN r >= 0 THEN 1 ELSE -1 END * (b - mb) / sb) / sqrt(2)"
+
+
+@query("cv5_index_of_two_columns", with_ctes("panel", f"WITH {_pair_sql('income', 'ue')} SELECT tract, year, disease, {rnd(_PAIR_SCORE)} AS \"SES\" FROM f, st"))
+def cv5_two(spark, sf):
+    d = fx.panel(spark, sf)
+    return rounded(d.select("tract", "year", "disease", models.principal_components(d, ["income", "ue"]).score().alias("SES")))
+
+
+@query("cv6_recomputed_index_of_two_columns", with_ctes("panel", f"WITH {_pair_sql('ue', 'elder')} SELECT tract, year, disease, {rnd(_PAIR_SCORE)} AS \"SES\" FROM f, st"))
+def cv6_two(spark, sf):
+    d = fx.panel(spark, sf).withColumn("SES_old", F.lit(0.0))
+    return rounded(models.composite_index(d, ["ue", "elder"]).select("tract", "year", "disease", "SES"))
+
+
+@query(
+    "cv7_loadings_of_two_columns",
+    with_ctes(
+        "panel",
+        f"""WITH {_pair_sql('income', 'ue')}, e AS (SELECT 1 AS component, 1 + abs(r) AS v FROM st UNION ALL SELECT 2, 1 - abs(r) FROM st)
+        SELECT component, variable, {rnd("sqrt(v / 2) * CASE WHEN variable = 'ue' AND (component = 1) <> (r >= 0) THEN -1 ELSE 1 END")} AS loading,
+               {rnd('v')} AS eigenvalue, {rnd('50 * v')} AS percent, {rnd('CASE component WHEN 1 THEN 50 * v ELSE 100 END')} AS cumulative
+        FROM e, st, (SELECT unnest(['income', 'ue']) AS variable) n""",
+    ),
+)
+def cv7_two(spark, sf):
+    d = fx.panel(spark, sf)
+    pc = models.principal_components(d, ["income", "ue"])
+    return rounded(pc.loadings(d).join(pc.eigen_table(d), "component"))
+
+
 _STUDY_SQL = f"""{_STATE_SQL},
 study AS (SELECT geoid, year, county, income, elder, n_outcome, CASE WHEN geoid LIKE '41%' THEN 'Oregon' ELSE 'Washington' END AS state
   FROM asm WHERE year IN (1996, 1997, 1998, 1999, 2000))"""
@@ -223,7 +290,21 @@ def sp6(spark, sf):
     return rounded(d.select("rec_id", x.alias("merc_x"), y.alias("merc_y")), 3)
 
 
-@query("sp6_reproject_equal_area")
+_ALBERS_SQL = """k AS (SELECT 0.006694380022903416 AS e2, sqrt(0.006694380022903416) AS e),
+lat AS (SELECT unnest([29.5, 45.5, 23.0]) AS d, unnest(['1', '2', '0']) AS n),
+par AS (SELECT n, cos(radians(d)) / sqrt(1 - e2 * sin(radians(d)) ^ 2) AS m,
+  (1 - e2) * (sin(radians(d)) / (1 - e2 * sin(radians(d)) ^ 2) - ln((1 - e * sin(radians(d))) / (1 + e * sin(radians(d)))) / (2 * e)) AS q FROM lat, k),
+three AS (SELECT max(m) FILTER (n = '1') AS m1, max(m) FILTER (n = '2') AS m2, max(q) FILTER (n = '1') AS q1, max(q) FILTER (n = '2') AS q2, max(q) FILTER (n = '0') AS q0 FROM par),
+cone AS (SELECT (m1 ^ 2 - m2 ^ 2) / (q2 - q1) AS n, m1 ^ 2 + (m1 ^ 2 - m2 ^ 2) / (q2 - q1) * q1 AS c, q0 FROM three),
+pts AS (SELECT rec_id, n, 6378137.0 * sqrt(c - n * q0) / n AS rho0, n * radians(lon + 96) AS theta,
+  6378137.0 * sqrt(c - n * (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) ^ 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e))) / n AS rho
+  FROM reg, cone, k WHERE lon IS NOT NULL)"""
+
+
+@query(
+    "sp6_reproject_equal_area",
+    with_ctes("reg", f"WITH {_ALBERS_SQL} SELECT rec_id, {rnd('rho * sin(theta)', 3)} AS albers_x, {rnd('rho0 - rho * cos(theta)', 3)} AS albers_y FROM pts"),
+)
 def sp6_albers(spark, sf):
     d = fx.registry(spark, sf).where(F.col("lon").isNotNull())
     x, y = spatial.lonlat_to_albers(F.col("lon"), F.col("lat"))

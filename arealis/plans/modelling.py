@@ -87,6 +87,42 @@ def md1(spark, sf):
     return rounded(models.poisson_regression(d, "n_rec", ["elder", "income"], "log_pop").table(d))
 
 
+_CAUSES_SQL = """lv AS (SELECT disease, sum(n_rec) / sum(pop) AS rate FROM panel GROUP BY 1),
+rt AS (SELECT max(rate) FILTER (disease = 'Neoplasms') AS base, max(rate) FILTER (disease = 'Allcauses') AS every, max(rate) FILTER (disease = 'Mentalhealth') AS mental FROM lv)"""
+CAUSE_MARKS = ["every", "mental"]
+
+
+def _cause_panel(spark, sf):
+    marks = {"every": F.col("disease") == "Allcauses", "mental": F.col("disease") == "Mentalhealth"}
+    return _poisson_panel(spark, sf).withColumns({k: c.cast("double") for k, c in marks.items()})
+
+
+@query(
+    "md1_poisson_by_cause",
+    with_ctes(
+        "panel",
+        f"""WITH {_CAUSES_SQL} SELECT '(Intercept)' AS term, {rnd('ln(base)')} AS estimate FROM rt UNION ALL SELECT 'every', {rnd('ln(every / base)')} FROM rt
+        UNION ALL SELECT 'mental', {rnd('ln(mental / base)')} FROM rt""",
+    ),
+)
+def md1_causes(spark, sf):
+    # a factor alone has a closed form: the log rates of its levels
+    d = _cause_panel(spark, sf)
+    return rounded(models.poisson_regression(d, "n_rec", CAUSE_MARKS, "log_pop").table(d))
+
+
+@query("md1_poisson_score_sums", "SELECT unnest(['(Intercept)', 'elder', 'income']) AS term, CAST(0 AS DOUBLE) AS score")
+def md1_scores(spark, sf):
+    # at the maximum the residuals are orthogonal to every covariate
+    d = _poisson_panel(spark, sf)
+    fit = models.poisson_regression(d, "n_rec", ["elder", "income"], "log_pop")
+    left = F.col("n_rec") - F.exp(fit.linear_predictor() + F.col("log_pop"))
+    share = lambda x: F.sum(left * x) / F.sum(F.col("n_rec") * x)
+    sums = d.agg(share(F.lit(1.0)).alias("a"), share(F.col("elder")).alias("b"), share(F.col("income")).alias("c"))
+    named = F.array(*[F.struct(F.lit(t).alias("term"), F.col(c).alias("score")) for t, c in (("(Intercept)", "a"), ("elder", "b"), ("income", "c"))])
+    return sums.select(F.inline(named)).select("term", (F.round("score", 6) + 0.0).alias("score"))
+
+
 @query(
     "md2_gaussian_regression",
     with_ctes(
@@ -99,7 +135,24 @@ def md2(spark, sf):
     return rounded(models.linear_regression(d, "mortrate", ["income"]).table(d), 4)
 
 
-@query("md2_gaussian_regression_many")
+def _cramer_sql() -> str:
+    """Three covariates by Cramer's rule on the covariances of complete rows."""
+    x = COVARIATES
+    cells = ", ".join(f"covar_pop({a}, {b}) AS {a}_{b}" for a in x for b in [*x, "mortrate"])
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in [*x, "mortrate"])
+
+    def det(cols):
+        a, b, c = ([f"{r}_{k}" for r in x] for k in cols)
+        return f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+
+    betas = ", ".join(f"{det([*x[:i], 'mortrate', *x[i + 1:]])} / {det(x)} AS b_{c}" for i, c in enumerate(x))
+    inner = f"cv AS (SELECT {cells}, {means} FROM panel WHERE ue IS NOT NULL), be AS (SELECT *, {betas} FROM cv)"
+    fitted = " - ".join(f"b_{c} * m_{c}" for c in x)
+    rows = [f"SELECT '(Intercept)' AS term, {rnd(f'm_mortrate - {fitted}', 4)} AS estimate FROM be", *[f"SELECT '{c}', {rnd(f'b_{c}', 4)} FROM be" for c in x]]
+    return f"WITH {inner} " + " UNION ALL ".join(rows)
+
+
+@query("md2_gaussian_regression_many", with_ctes("panel", _cramer_sql()))
 def md2_many(spark, sf):
     d = fx.panel(spark, sf)
     return rounded(models.linear_regression(d, "mortrate", COVARIATES).table(d), 4)
@@ -423,6 +476,21 @@ def dg2(spark, sf):
     return rounded(models.poisson_vif(_poisson_panel(spark, sf), "n_rec", ["elder", "income"], "log_pop"))
 
 
+@query(
+    "dg2_variance_inflation_by_cause",
+    with_ctes(
+        "panel",
+        f"""WITH {_CAUSES_SQL}, w AS (SELECT CAST(disease = 'Allcauses' AS INTEGER) AS a, CAST(disease = 'Mentalhealth' AS INTEGER) AS b, sum(n_rec) AS mu FROM panel GROUP BY disease),
+        c AS (SELECT sum(mu * a * b) / sum(mu) - sum(mu * a) / sum(mu) * (sum(mu * b) / sum(mu)) AS ab,
+                     sum(mu * a) / sum(mu) * (1 - sum(mu * a) / sum(mu)) AS aa, sum(mu * b) / sum(mu) * (1 - sum(mu * b) / sum(mu)) AS bb FROM w)
+        SELECT unnest(['every', 'mental']) AS term, {rnd('1 / (1 - ab * ab / aa / bb)')} AS vif FROM c""",
+    ),
+)
+def dg2_causes(spark, sf):
+    # with a factor alone the fitted means of a level sum to its count
+    return rounded(models.poisson_vif(_cause_panel(spark, sf), "n_rec", CAUSE_MARKS, "log_pop"))
+
+
 _CORR = ["ue", "elder", "income", "mortrate"]
 
 
@@ -498,9 +566,10 @@ def dg7(spark, sf):
     "dg8_histogram_by_year",
     with_ctes(
         "panel",
-        f"""SELECT year, bin, count(*) AS n, {rnd('lo + bin * w')} AS "left", {rnd('lo + (bin + 1) * w')} AS "right" FROM (
-        SELECT year, lo, (hi - lo) / 30 AS w, least(CAST(floor((mortrate - lo) / ((hi - lo) / 30)) AS BIGINT), 29) AS bin
-        FROM panel, (SELECT min(mortrate) AS lo, max(mortrate) AS hi FROM panel) r) q GROUP BY year, bin, lo, w""",
+        f"""WITH r AS (SELECT min(mortrate) AS lo, (max(mortrate) - min(mortrate)) / 30 AS w FROM panel)
+        SELECT y.year, b.bin, (SELECT count(*) FROM panel p, r WHERE p.year = y.year AND least(CAST(floor((mortrate - lo) / w) AS BIGINT), 29) = b.bin) AS n,
+               {rnd('lo + bin * w')} AS "left", {rnd('lo + (bin + 1) * w')} AS "right"
+        FROM (SELECT DISTINCT year FROM panel) y, (SELECT unnest(range(30)) AS bin) b, r""",
     ),
 )
 def dg8(spark, sf):
@@ -512,7 +581,7 @@ def dg8(spark, sf):
     with_ctes(
         "panel",
         f"""WITH l AS (SELECT 'income' AS name, income AS v FROM panel UNION ALL SELECT 'elder', elder FROM panel),
-        s AS (SELECT name, min(v) AS lo, max(v) AS hi, CAST(count(*) AS DOUBLE) AS n, 1.06 * stddev_samp(v) * pow(count(*), -0.2) AS h FROM l GROUP BY 1),
+        s AS (SELECT name, min(v) AS lo, max(v) AS hi, CAST(count(*) AS DOUBLE) AS n, 0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM l GROUP BY 1),
         b AS (SELECT l.name, least(CAST(floor((v - lo) / ((hi - lo) / 256)) AS BIGINT), 255) AS bin, count(*) AS c FROM l JOIN s ON l.name = s.name GROUP BY 1, 2),
         k AS (SELECT s.name, g AS grid, lo - 3 * h + g * (hi - lo + 6 * h) / 31 AS x, lo + (bin + 0.5) * (hi - lo) / 256 AS c0, c, h, n
               FROM b JOIN s ON b.name = s.name, range(0, 32) t(g))
