@@ -63,11 +63,17 @@ def fill_then_recode(
 DAYS_PER_YEAR = 365.24
 
 
-def age_years(unit: str | Column, number: str | Column, unknown: int = UNKNOWN_AGE) -> Column:
-    """Completed years of age from (unit, number); ``unknown`` where not stated."""
+def age_years(unit: str | Column, number: str | Column, unknown: int = UNKNOWN_AGE, unknown_first: bool = True) -> Column:
+    """Completed years of age from (unit, number); ``unknown`` where not stated.
+
+    A missing or 999 number is unknown whatever the unit. With
+    ``unknown_first=False`` the unit decides first: hours and minutes are 0 even
+    without a number, and only what no unit settles is unknown.
+    """
     unit, number = as_col(unit), as_col(number)
+    stated = number.isNotNull() & (number != 999) if unknown_first else F.lit(True)
     return (
-        F.when(number.isNull() | (number == 999), F.lit(unknown))
+        F.when(~stated, F.lit(unknown))
         .when(unit == 1, number)
         .when(unit == 2, F.floor(30 * number / F.lit(DAYS_PER_YEAR)))
         .when(unit == 4, F.floor(number / F.lit(DAYS_PER_YEAR)))

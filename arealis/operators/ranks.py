@@ -9,7 +9,6 @@ rows, and one dominating group cost no more than any other input.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,7 @@ from pyspark.sql import functions as F
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared checkpoint folder of the session.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -35,8 +33,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arealis-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 

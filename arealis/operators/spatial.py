@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp_zero, per_unit, ratio, strict_sum
+from .ranks import reliable_checkpoint
 
 RING = ("part", "ring")
 
@@ -110,16 +111,29 @@ def mean_edge_length(edges: DataFrame) -> float:
     return float(value) if value else 1.0
 
 
+def grid_size(edges: DataFrame, geom: str = "geom") -> float:
+    """Cell size of a layer: the mean edge length, or the side of the square that
+    an edge has to itself where that is more. The cells that cover the layer are
+    then at most about as many as its edges, whatever the detail of its borders.
+    """
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
+    rings = edges.groupBy(geom, *RING).agg(area.alias("a"), F.sum(length).alias("l"), F.count(F.lit(1)).alias("n"))
+    a, l, n = rings.agg(F.sum(F.abs("a")), F.sum("l"), F.sum("n")).first()
+    return max(l / n, math.sqrt(a / n)) or 1.0 if n else 1.0
+
+
 def polygon_cells(vertices: DataFrame, cell: float | None = None, geom: str = "geom", max_edges: int = 4096) -> tuple[DataFrame, float]:
     """Grid cells of every polygon: ``(geom, cx, cy, inside, edges)``.
 
     ``inside`` is the parity of the cell's lower line right of the cell, the
     ``edges`` array holds the edges that run through the cell (empty for cells in
-    the interior). The cell size is the mean edge length unless given, and is
-    halved while some cell of one polygon holds more than ``max_edges`` edges.
+    the interior). The cell size is that of ``grid_size`` unless given, and is
+    halved while some cell of one polygon holds more than ``max_edges`` edges; if
+    that does not end (edges on top of each other), it raises.
     """
-    edges = polygon_edges(vertices, geom)
-    size = float(cell) if cell else mean_edge_length(edges)
+    edges = reliable_checkpoint(polygon_edges(vertices, geom))
+    size = float(cell) if cell else grid_size(edges, geom)
     pieces = _edge_cells(edges, size, geom)
     for _ in range(16):
         most = pieces.groupBy(geom, "cx", "cy").count().agg(F.max("count")).first()[0]
@@ -127,6 +141,8 @@ def polygon_cells(vertices: DataFrame, cell: float | None = None, geom: str = "g
             break
         size /= 2
         pieces = _edge_cells(edges, size, geom)
+    else:
+        raise ValueError(f"over {max_edges} edges of one polygon cross in one place")
 
     border = pieces.groupBy(geom, "cx", "cy").agg(
         F.collect_list(F.struct("xl", "yl", "xr", "yr", "crosses")).alias("edges"),
@@ -251,10 +267,9 @@ def _strips(lo: Column, hi: Column, h: float) -> Column:
     return F.sequence(F.floor(lo / F.lit(h)), F.floor(hi / F.lit(h)))
 
 
-def _strip_edges(vertices: DataFrame, h: float, geom: str, tag: str) -> DataFrame:
+def _strip_edges(edges: DataFrame, h: float, geom: str, tag: str) -> DataFrame:
     """Signed edge pieces per vertical strip: the area of a polygon is the sum of
     ``sign * integral of the edge``. Vertical edges carry no area."""
-    edges = polygon_edges(vertices, geom)
     turn = ring_areas(edges, geom).select(
         F.col(geom).alias("_g"),
         F.col("part").alias("_p"),
@@ -289,23 +304,28 @@ def _strip_edges(vertices: DataFrame, h: float, geom: str, tag: str) -> DataFram
     )
 
 
-def mean_extent(vertices: DataFrame, geom: str = "geom") -> float:
-    """Average side of the bounding boxes of a layer."""
+def edge_boxes(edges: DataFrame, geom: str = "geom") -> DataFrame:
+    """Bounding boxes from the edges: every vertex begins one."""
+    return bounding_boxes(edges.select(geom, F.col("x1").alias("x"), F.col("y1").alias("y")), geom)
+
+
+def mean_extent(boxes: DataFrame) -> float:
+    """Average side of bounding boxes."""
     side = (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2
-    value = bounding_boxes(vertices, geom).agg(F.avg(side)).first()[0]
+    value = boxes.agg(F.avg(side)).first()[0]
     return float(value) if value else 1.0
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, lgeom: str, rgeom: str, h: float) -> DataFrame:
-    """Pairs whose bounding boxes overlap, found through shared grid cells.
+    """Pairs of two tables of boxes that overlap, found through shared grid cells.
 
     ``h`` should be near the extent of the larger layer: its boxes then take a
     few cells each and the boxes of the other layer one. A pair is kept only in
     the cell that holds the lower-left corner of the overlap, so no distinct is
     needed.
     """
-    def cells(v: DataFrame, geom: str, p: str) -> DataFrame:
-        box = bounding_boxes(v, geom).withColumnsRenamed({c: p + c for c in ("x0", "y0", "x1", "y1")})
+    def cells(boxes: DataFrame, geom: str, p: str) -> DataFrame:
+        box = boxes.withColumnsRenamed({c: p + c for c in ("x0", "y0", "x1", "y1")})
         return box.select(
             "*", F.explode(_strips(F.col(p + "x0"), F.col(p + "x1"), h)).alias("_bx")
         ).select("*", F.explode(_strips(F.col(p + "y0"), F.col(p + "y1"), h)).alias("_by"))
@@ -341,9 +361,12 @@ def overlay_area(
     is rounding, which is at most ``noise`` times the width of the boxes' overlap
     times the height of the taller box, whatever the unit.
     """
-    h = float(strip) if strip else mean_edge_length(polygon_edges(right, rgeom))
-    grid = max(mean_extent(left, lgeom), mean_extent(right, rgeom))
-    pairs = candidate_pairs(left, right, lgeom, rgeom, grid).withColumn(
+    # edges and boxes of both layers are built once
+    left, right = (reliable_checkpoint(polygon_edges(v, g)) for v, g in ((left, lgeom), (right, rgeom)))
+    lbox, rbox = edge_boxes(left, lgeom), edge_boxes(right, rgeom)
+    h = float(strip) if strip else mean_edge_length(right)
+    grid = max(mean_extent(lbox), mean_extent(rbox))
+    pairs = candidate_pairs(lbox, rbox, lgeom, rgeom, grid).withColumn(
         "_strip", F.explode(_strips(F.col("x0"), F.col("x1"), h))
     )
     le, re_ = _strip_edges(left, h, lgeom, "_e"), _strip_edges(right, h, rgeom, "_f")

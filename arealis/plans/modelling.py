@@ -219,6 +219,59 @@ def md4(spark, sf):
     return rounded(sol.values.withColumnRenamed("x0", "slope"))
 
 
+def _left_over(d, edges, effect, w, b, tau):
+    """What the normal equations ``(w + tau (deg - A)) x = b`` leave per area."""
+    deg = edges.groupBy(F.col("i").alias("_i")).agg(F.count(F.lit(1)).alias("deg"))
+    around = edges.join(effect.select(F.col("area").alias("j"), "x0"), "j").groupBy(F.col("i").alias("_a")).agg(F.sum("x0").alias("near"))
+    m = d.groupBy("area").agg(F.sum(w).alias("w"), F.sum(b).alias("b")).join(effect, "area")
+    m = m.join(deg, F.col("area") == F.col("_i"), "left").join(around, F.col("area") == F.col("_a"), "left")
+    rest = F.col("w") * F.col("x0") + F.lit(tau) * (F.coalesce("deg", F.lit(0)) * F.col("x0") - F.coalesce("near", F.lit(0.0))) - F.col("b")
+    return m.select("area", (F.round(rest, 4) + 0.0).alias("left_over"))
+
+
+_NOTHING_LEFT_SQL = "SELECT DISTINCT l_suppkey AS area, CAST(0 AS DOUBLE) AS left_over FROM lineitem"
+
+
+@query("md3_area_normal_equations", _NOTHING_LEFT_SQL)
+def md3_area_equations(spark, sf):
+    edges, _, _ = tract_graph(spark, sf)
+    d = _scaled_panel(spark, sf)
+    effect = models.smooth_areas(d, edges, "w", "y", tau=0.5).values
+    return _left_over(d, edges, effect, F.col("w"), F.col("w") * F.col("y"), 0.5)
+
+
+@query("md4_slope_normal_equations", _NOTHING_LEFT_SQL)
+def md4_equations(spark, sf):
+    edges, _, _ = tract_graph(spark, sf)
+    d = _scaled_panel(spark, sf)
+    effect = models.smooth_slopes(d, edges, "x", "y", tau=0.5).values
+    return _left_over(d, edges, effect, F.col("x") * F.col("x"), F.col("x") * F.col("y"), 0.5)
+
+
+@query(
+    "md3_interaction_normal_equations",
+    """SELECT k.kind, s_suppkey AS area, CAST(y.year AS INTEGER) AS year, CAST(0 AS DOUBLE) AS left_over FROM supplier,
+    (SELECT unnest(['II', 'III', 'IV']) AS kind) k, (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y
+    WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)""",
+)
+def md3_interaction_equations(spark, sf):
+    # every cell of an area and year has weight 1 or, without a row, 0
+    edges, n, t = tract_graph(spark, sf)
+    d, years = _scaled_panel(spark, sf), _years(spark, sf)
+    lap = structure.laplacian(edges)
+    out = None
+    for kind in ("II", "III", "IV"):
+        sol = models.smooth_interaction(d, edges, kind, "w", "y", 0.25, years, tol=1e-6)
+        x = models.to_area_year(sol.values, years).withColumn("i", (F.col("year") - years[0]) * n + F.col("area"))
+        m, _ = structure.interaction(kind, lap, n, t)
+        pull = m.join(x.select(F.col("i").alias("j"), "effect"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("effect")).alias("pull"))
+        all_ = x.join(pull, "i", "left").join(d.select("area", "year", "y", "w"), ["area", "year"], "left")
+        rest = F.coalesce("w", F.lit(0.0)) * (F.col("effect") - F.coalesce("y", F.lit(0.0))) + 0.25 * F.coalesce("pull", F.lit(0.0))
+        part = all_.select(F.lit(kind).alias("kind"), "area", "year", (F.round(rest, 3) + 0.0).alias("left_over"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("md5_refit_until_criterion")
 def md5(spark, sf):
     """Refit with a growing precision until the effects vary little enough."""
@@ -237,6 +290,22 @@ def md5(spark, sf):
     return rounded(values.select("area", F.col("x0").alias("effect"), F.lit(fit.iterations).alias("iterations"), F.lit(fit.converged).alias("converged")), 4)
 
 
+@query("md5_conserved_total", "SELECT CAST(0 AS DOUBLE) AS left_over, true AS converged FROM (SELECT 1)")
+def md5_total(spark, sf):
+    # the structure has zero column sums, so at any precision the sum of w * x is that of w * y
+    edges, _, _ = tract_graph(spark, sf)
+    d = _scaled_panel(spark, sf).select("area", "w", "y")
+
+    def step(state, i):
+        effect = models.smooth_areas(d, edges, "w", "y", tau=0.5 * 4.0**i).values
+        return (i, effect, effect.agg(F.stddev_pop("x0")).first()[0] or 0.0)
+
+    fit = models.repeat_until(step, (0, None, float("inf")), lambda s: s[2] < 0.5, max_iter=8)
+    joined = d.join(fit.result[1], "area")
+    rest = F.sum(F.col("w") * (F.col("x0") - F.col("y")))
+    return joined.agg((F.round(rest, 3) + 0.0).alias("left_over")).withColumn("converged", F.lit(fit.converged))
+
+
 @query("md6_model_family")
 def md6(spark, sf):
     edges, _, _ = tract_graph(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,6 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def local_checkpoints(spark: SparkSession) -> None:
+    """A folder for a local session that names none; a cluster must name its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)``; without SQL only its rows are checked."""
 
@@ -24,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            local_checkpoints(spark)
             return fn(tune(spark), sf_dir)
 
         QUERIES[name] = run

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import reliable_checkpoint
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV with a header, typed by the given schema, columns picked by name."""
@@ -96,34 +99,49 @@ def read_ascii_grids(spark: SparkSession, folder: str, skip_last: bool = False,
     """ASCII-grid rasters of a folder as (file, row, col, x, y, value).
 
     x and y are cell centres; the no-data value becomes NULL. The format has no
-    row numbers, so one file is read by one task and many files (years, tiles)
-    spread over the cluster; the cells are rows from there on.
+    row numbers: a file is split by Spark into blocks of lines, lines are numbered
+    inside their block, and a small table says how many lines of the file come
+    before it. The numbered lines are stored, so that a lost executor cannot number
+    them otherwise. Header lines begin with a letter; blank lines may only follow
+    the last row.
     """
     lines = (
         spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), r"\r?\n").alias("line"))
+        .text(folder)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("id"),
+            F.trim(F.regexp_replace("value", r"\r$", "")).alias("text"),
+        )
     )
     if skip_last:
         last = lines.agg(F.max("file")).scalar()
         lines = lines.where(F.col("file") < last)
+    lines = reliable_checkpoint(lines)
+    is_head = F.col("text").rlike("^[A-Za-z]")
 
     def header(key: str):
-        found = F.filter("line", lambda s: F.lower(s).startswith(key))
-        return F.get(F.split(F.trim(F.try_element_at(found, F.lit(1))), r"\s+"), F.lit(1)).try_cast("double")
-
-    body = F.filter("line", lambda s: ~F.trim(s).rlike("^[A-Za-z]"))
-    grid = lines.select(
-        "file",
-        header("xllcorner").alias("x0"),
-        header("yllcorner").alias("y0"),
-        header("cellsize").alias("size"),
-        header("nrows").alias("nrows"),
-        header("nodata").alias("nodata"),
-        F.posexplode(body).alias("row", "text"),
+        found = F.max(F.when(F.lower("text").startswith(key), F.col("text")))
+        return F.get(F.split(found, r"\s+"), F.lit(1)).try_cast("double").alias(key)
+
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    heads = lines.where(is_head).groupBy("file").agg(
+        *[header(k) for k in ("xllcorner", "yllcorner", "cellsize", "nrows", "nodata")], F.count(F.lit(1)).alias("heads")
+    )
+    grid = (
+        lines.where(~is_head & (F.col("text") != ""))
+        .join(blocks, ["file", "block"])
+        .join(heads, "file")
+        .select(
+            "file", F.col("xllcorner").alias("x0"), F.col("yllcorner").alias("y0"), F.col("cellsize").alias("size"), "nrows", "nodata",
+            (F.col("id") + F.col("shift") - F.col("heads")).cast("int").alias("row"), "text",
+        )
     )
-    cells = grid.select("*", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("col", "v"))
+    cells = grid.select("*", F.posexplode(F.split("text", r"\s+")).alias("col", "v"))
     value = F.col("v").try_cast("double")
     return cells.select(
         "file",

@@ -170,3 +170,107 @@ def test_albers_keeps_area(spark):
     q = lambda s: spatial._q_const(np.radians(s))
     true = spatial.GRS80_A**2 / 2 * np.radians(0.01) * (q(44.01) - q(44.0))
     assert shoelace == pytest.approx(true, rel=1e-6)
+
+
+def disc(n, radius=1.0):
+    a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    return [(float(radius * np.cos(t)), float(radius * np.sin(t))) for t in a]
+
+
+def test_cells_grow_with_the_edges(spark):
+    n = [spatial.polygon_cells(vertex_table(spark, {"d": [disc(k)]}))[0].count() for k in (500, 1000, 2000, 4000)]
+    assert all(b <= 2.3 * a for a, b in zip(n, n[1:])) and n[-1] < 4 * 4000
+
+
+def test_points_in_detailed_polygons(spark):
+    rng = np.random.default_rng(9)
+    shapes = {"d": [disc(700)], "wavy": [[((3 + (1 + 0.2 * np.sin(31 * t)) * np.cos(t)), (1 + 0.2 * np.sin(31 * t)) * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 900, endpoint=False)]]}
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform((-1.3, -1.3), (4.4, 1.3), size=(500, 2)))]
+    d = spark.createDataFrame(pts, "id int, x double, y double")
+    got = {(r["id"], r["geom"]) for r in spatial.point_in_polygon(d, vertex_table(spark, shapes)).collect()}
+    want = set()
+    for i, x, y in pts:
+        hits = [g for g, rings in shapes.items() if inside(rings, x, y)]
+        want |= {(i, g) for g in hits} or {(i, None)}
+    assert got == want
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, (-2e6, 2.5e6)), (1e-5, (-120.0, 44.0))])
+def test_triangles_that_only_share_a_box_do_not_overlap(spark, scale, shift):
+    def triangle(x, y, leg):
+        return [[(shift[0] + scale * a, shift[1] + scale * b) for a, b in ((x, y), (x + leg, y), (x, y + leg))]]
+
+    rng = np.random.default_rng(4)
+    left = {f"l{i}": (int(x), int(y), 3000) for i, (x, y) in enumerate(rng.integers(0, 60, (60, 2)) * 500)}
+    right = {f"r{i}": (int(x), int(y), 1500) for i, (x, y) in enumerate(rng.integers(0, 60, (60, 2)) * 500)}
+    tables = [vertex_table(spark, {k: triangle(*v) for k, v in t.items()}) for t in (left, right)]
+    got = {(r["a"], r["b"]): r["area"] for r in spatial.overlay_area(tables[0].withColumnRenamed("geom", "a"), tables[1].withColumnRenamed("geom", "b"), "a", "b").collect()}
+    want = {}
+    for a, (x1, y1, l1) in left.items():
+        for b, (x2, y2, l2) in right.items():
+            side = min(x1 + y1 + l1, x2 + y2 + l2) - max(x1, x2) - max(y1, y2)
+            if side > 0:
+                want[a, b] = side * side / 2 * scale * scale
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, rel=1e-6) for k, v in want.items())
+
+
+@pytest.mark.parametrize("seqs", [[0, 10, 20, 30, 40], [0, 1, 1, 2, 3], [0, 1, 2, 3]])
+def test_unsound_rings_raise(spark, seqs):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    rows = [("s", 0, 0, q, x, y) for q, (x, y) in zip(seqs, square)]
+    v = spark.createDataFrame(rows, "geom string, part int, ring int, seq int, x double, y double")
+    with pytest.raises(Exception, match="ring with gaps or without end"):
+        spatial.polygon_area(v).collect()
+
+
+def test_zonal_rows_for_polygons_without_cells(spark):
+    v = vertex_table(spark, {"a": [[(0, 0), (1, 0), (1, 1), (0, 1)]], "b": [[(5, 5), (6, 5), (6, 6), (5, 6)]]})
+    cells = spark.createDataFrame([(0.5, 0.5, y, float(y)) for y in (2000, 2001)], "x double, y double, year int, value double")
+    got = {(r["geom"], r["year"]): r["value"] for r in spatial.zonal_statistic(cells, v, 1.0, by=["year"]).collect()}
+    assert got == {("a", 2000): 2000.0, ("a", 2001): 2001.0, ("b", 2000): None, ("b", 2001): None}
+
+
+def test_solver_says_when_it_stops_early(spark):
+    edges = grid_graph(spark, 5)
+    d = spark.createDataFrame([(i, float(i % 7), 1.0) for i in range(25)], "area long, y double, w double")
+    with pytest.raises(RuntimeError, match="not converged"):
+        models.smooth_areas(d, edges, "w", "y", 50.0, tol=1e-12, max_iter=2)
+    done = models.smooth_areas(d, edges, "w", "y", 50.0).reported().first()
+    assert done["converged"] and done["residual"] <= 1e-8 and done["iterations"] > 2
+    late = spark.createDataFrame([(0, 2000, 1.0, 1.0), (0, 2005, 1.0, 1.0)], "area long, year int, y double, w double")
+    with pytest.raises(Exception, match="a year that is not listed"):
+        models.smooth_interaction(late, edges, "I", "w", "y", 1.0, [2000, 2001]).values.collect()
+
+
+def test_year_walk_keeps_gaps(spark):
+    d = spark.createDataFrame([(2000, 1.0, 1.0), (2001, 2.0, 1.0), (2004, 8.0, 1.0)], "year int, y double, w double")
+    x = models.smooth_years(d, "w", "y", 0.5)
+    w = np.array([1.0, 1, 0, 0, 1])
+    want = np.linalg.solve(np.diag(w) + 0.5 * models.rw1_matrix(5), w * np.array([1.0, 2, 0, 0, 8]))
+    assert list(x) == list(range(2000, 2005)) and np.allclose(list(x.values()), want)
+
+
+def test_family_of_models_nests(spark):
+    rng = np.random.default_rng(6)
+    edges = grid_graph(spark, 3)
+    rows = [(i, y, float(rng.normal() + i + y - 2000), float(rng.normal())) for i in range(9) for y in (2000, 2001, 2002)]
+    panel = spark.createDataFrame(rows, "area long, year int, y double, x double")
+    family = [models.ModelSpec("base"), models.ModelSpec("slope", area_slope=True), models.ModelSpec("all", True, True, "I")]
+    fits = models.FamilyFit(panel, edges, "y", "x", ["x"], dict.fromkeys(("area", "year", "area_slope", "year_slope", "interaction"), 0.5), [2000, 2001, 2002])
+    got = {r["model"]: r for r in models.compare_models(fits, family).collect()}
+    assert all(r["n"] == 27 and r["rmse"] == pytest.approx((r["rss"] / 27) ** 0.5) for r in got.values())
+    assert got["base"]["rss"] > got["slope"]["rss"] > got["all"]["rss"]
+
+
+def test_index_of_rows_with_missing_values(spark):
+    rows = [(1.0, 5.0), (2.0, None), (3.0, 9.0), (None, 7.0), (7.0, 1.0)]
+    d = spark.createDataFrame(rows, "a double, b double")
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    x = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    z = (x - x.mean(0)) / x.std(0)
+    r = (z[:, 0] * z[:, 1]).mean()
+    want = (z[:, 0] + np.sign(r) * z[:, 1]) / np.sqrt(2)
+    got = [row["SES"] for row in models.composite_index(d, ["a", "b"]).collect()]
+    assert np.allclose(got, want)
+    dropped = models.principal_components(d, ["a", "b"], missing="drop")
+    assert dropped.mean == pytest.approx([11 / 3, 5.0])
