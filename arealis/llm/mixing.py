@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+#: Sources whose plan is sent to every task.
+SENT = 20_000
 
 
 def word_count(text: str) -> Column:
@@ -103,7 +105,7 @@ def repetitions(
             F.col("_source").alias("e_source"), F.col("__bucket").alias("e_bucket"), (F.col("_upto") - F.col("_words")).alias("e_before")
         )
     )
-    plan = _named(wanted, "w_").join(ends, F.col("w__source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    plan = _sent(_named(wanted, "w_").join(ends, F.col("w__source").eqNullSafe(F.col("e_source")), "left").drop("e_source"))
     inside = W.partitionBy("_source").orderBy("__hash", "__size").rangeBetween(W.unboundedPreceding, W.currentRow)
     equal = F.count(F.lit(1)).over(W.partitionBy("_source", "__hash", "__size"))
     edge = (
@@ -117,8 +119,10 @@ def repetitions(
         .agg(F.min(F.struct("__hash", "__size", F.floor(F.col("_left") / F.col("_equal")).alias("share"))).alias("_edge"))
         .select(F.col("_source").alias("n_source"), F.struct("_edge.__hash", "_edge.__size").alias("_edge"), F.col("_edge.share").alias("_share"))
     )
-    plan = plan.join(edge, F.col("w__source").eqNullSafe(F.col("n_source")), "left").select(
-        "w__source", "w_source_size", "w_target", "w__whole", "w__part", "e_bucket", "_edge", "_share"
+    plan = _sent(
+        plan.join(edge, F.col("w__source").eqNullSafe(F.col("n_source")), "left").select(
+            "w__source", "w_source_size", "w_target", "w__whole", "w__part", "e_bucket", "_edge", "_share"
+        )
     )
     row = F.struct("__hash", "__size")
     drawn = (F.col("w__part") > 0) & (
@@ -135,6 +139,13 @@ def repetitions(
     )
 
 
+def _sent(plan: DataFrame) -> DataFrame:
+    """One row per source: sent to every task if its counted rows are few, so that
+    no document moves; else joined as it is."""
+    plan = stored(plan)
+    return F.broadcast(plan) if plan.count() <= SENT else plan
+
+
 def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
