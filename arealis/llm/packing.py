@@ -34,6 +34,8 @@ SEQUENCE = 1024
 END = 2
 #: Pieces of one length ranked in one task.
 RANKED = 100_000
+#: Slots that are sent to every task; more are joined.
+SENT = 50_000
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 500_000
 ID = "<u4"
@@ -236,11 +238,10 @@ def packed(
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = F.ceil(F.col("n") / ranked).cast("int")
     counts = spark.createDataFrame([(int(k), int(v)) for k, v in histogram.items()], "length long, n long")
-    slots = spark.createDataFrame(
-        plan(histogram, sequence), "length long, first long, n long, sequence long, offset long"
-    )
+    planned = plan(histogram, sequence)
+    slots = spark.createDataFrame(planned, "length long, first long, n long, sequence long, offset long")
     salted = (
-        made.join(counts.withColumn("salts", salts).drop("n"), "length")
+        made.join(F.broadcast(counts.withColumn("salts", salts).drop("n")), "length")  # a row per length at most
         .withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.col("salts")).cast("int"))
         .drop("salts")
     )
@@ -256,7 +257,7 @@ def packed(
         "step", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor((F.col("first") + F.col("n") - 1) / step)))
     ).alias("s")
     return ranks.join(
-        stepped,
+        F.broadcast(stepped) if len(planned) + sum(histogram.values()) // ranked <= SENT else stepped,
         (F.col("a.length") == F.col("s.length"))
         & (F.floor(F.col("a.rank") / step) == F.col("s.step"))
         & (F.col("a.rank") >= F.col("s.first"))
