@@ -202,20 +202,27 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int,
                 room = rooms[0]
                 first, count = open_runs[room].pop()
             else:
-                room, first, count = sequence, sequences, left
-                sequences += left
-            take = min(left, count)
-            slots.append((length, rank, take, first, sequence - room))
-            if take < count:
-                open_runs[room].append((first + take, count - take))
-            rest = room - length
-            if rest:
-                if rest not in open_runs:
-                    heappush(rooms, rest)
-                    open_runs[rest] = []
-                open_runs[rest].append((first, take))
-            rank += take
-            left -= take
+                room, first, count = sequence, sequences, -(-left // (sequence // length))
+                sequences += count
+            each = room // length
+            full = min(count, left // each)
+            used = [(first, full, each)] if full else []
+            if full < count and left > full * each:
+                used.append((first + full, 1, left - full * each))
+            for start, n, times in used:
+                for k in range(times):
+                    slots.append((length, rank, n, start, sequence - room + k * length))
+                    rank += n
+                    left -= n
+                rest = room - times * length
+                if rest:
+                    if rest not in open_runs:
+                        heappush(rooms, rest)
+                        open_runs[rest] = []
+                    open_runs[rest].append((start, n))
+            taken = sum(n for _, n, _ in used)
+            if taken < count:
+                open_runs[room].append((first + taken, count - taken))
         rooms.extend(small)
         heapify(rooms)
     return slots
