@@ -56,7 +56,11 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form
 HOME_TAGS = frozenset(("article", "main"))
 HOME_WORDS = frozenset("article content main body post entry story text prose".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quoted value begins behind an equals sign; possessive repeats keep a page without
+# closing brackets or quotes linear.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:=\s*+"[^"]*"|=\s*+'[^']*'|[^>])*+)>""", re.S
+)
 MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -92,6 +96,7 @@ def blocks(page: str) -> list[Block]:
     root = Node("", None, 0, 0)
     at, out, current, links, number, place = root, [], None, 0, 0, 0
     end = len(page)
+    closed = page.rfind(">")
 
     def say(text: str) -> None:
         nonlocal current
@@ -110,7 +115,7 @@ def blocks(page: str) -> list[Block]:
             current.linked += len(text)
 
     while place < end:
-        m = TOKEN.search(page, place)
+        m = TOKEN.search(page, place) if place <= closed or "<!--" in page[place:] else None
         say(page[place : m.start() if m else end])
         if m is None:
             break

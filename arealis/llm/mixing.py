@@ -150,16 +150,21 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, with its own columns.
 
     Whole documents only: the one at the edge comes if half of it is taken.
     """
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"),
+    )
+    edge = (F.col("__words") > 0) & (2 * F.col("__words") >= F.col("__size"))
     return (
-        repetitions(docs, **options)
-        .withColumn("__times", F.col("__times") + F.when((F.col("__words") > 0) & (2 * F.col("__words") >= F.col("__size")), 1).otherwise(0))
+        repetitions(rows, "id", "text", source_col="source", **options)
+        .withColumn("__times", F.col("__times") + F.when(edge, 1).otherwise(0))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.when(F.col("__times") > 0, F.col("__times")))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select("doc.*")
     )
 
 

@@ -183,10 +183,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     none, the one that sorts first by its columns.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__r1": F.xxhash64(*columns), "__r2": F.xxhash64(F.lit(1), *reversed(columns))})
-    rows = stored(keyed.select(F.col(id_col).alias("i"), "__r1", "__r2", fingerprint_column()(F.col(text_col)).alias("fp")))
-    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "__r1", "__r2")).alias("best"))
+    keyed = docs.select(F.struct(*columns).alias("doc"), F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(1), *reversed(columns)).alias("r2"))
+    found = fingerprint_column()(F.col("doc")[text_col])
+    rows = stored(keyed.select(F.col("doc")[id_col].alias("i"), "r1", "r2", found.alias("fp")))
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "r1", "r2")).alias("best"))
     root = components(links(nodes.select("fp")))
     placed = nodes.join(root, nodes.fp == root.node, "left").select("best", F.coalesce("root", "fp").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("best").alias("best")).select("best.__r1", "best.__r2")
-    return keyed.join(kept, ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).drop("__r1", "__r2")
+    kept = placed.groupBy("root").agg(F.min("best").alias("best")).select("best.r1", "best.r2")
+    return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("doc.*")

@@ -26,7 +26,7 @@ def test_article_without_what_surrounds_it():
     assert html.main_text(ARTICLE, html.PRIOR) == want
 
 
-@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</div>", "<!--", "<script>x", "<p class='a>b</p>", "<![CDATA[ x ]]>", "&#x110000; &bogus;", "<a" * 50, "<div>" * 3000 + "x"])
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</div>", "<!--", "<script>x", "<p class='a>b</p>", "<![CDATA[ x ]]>", "&#x110000; &bogus;", "<a" * 200_000, "<a \"" * 100_000, "<a =\"" * 50_000 + ">", "<!-" * 100_000, "<div>" * 3000 + "x", "x" * 3_000_000])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html.main_text(page, html.PRIOR), str)
 

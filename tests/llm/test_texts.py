@@ -158,7 +158,11 @@ def test_mix_takes_what_is_wanted(spark):
     again = mixing.repetitions(df.repartition(5)).collect()
     key = lambda rs: Counter((r.doc_id, r["__times"], r["__words"], r["__size"]) for r in rs)
     assert key(out) == key(again)
-    assert mixing.mixed(df).columns == df.columns
+    again = frame(spark, [(*r, None, None, None, "x")[:10] for r in rows])
+    mixed = mixing.mixed(again)
+    assert mixed.columns == again.columns and {r["__size"] for r in mixed.collect()} == {"x"}
+    whole = sum(r["__times"] + (0 < 2 * r["__words"] >= r["__size"]) for r in out)
+    assert mixed.count() == whole
     assert mixing.repetitions(frame(spark, []).drop("__size")).count() == 0
     only = mixing.repetitions(frame(spark, [(1, None, None, None), (2, "", None, "a")]).drop("__size")).collect()
     assert [(r["__times"], r["__words"], r["__target"]) for r in only] == [(0, 0, 0.0)] * 2
