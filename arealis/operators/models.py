@@ -617,13 +617,14 @@ def pointwise_criteria(draws: DataFrame, obs: str = "obs", loglik: str = "loglik
     )
 
 
-def information_criteria(draws: DataFrame, at_mean: DataFrame, obs: str = "obs", draw: str = "draw", loglik: str = "loglik") -> DataFrame:
+def information_criteria(draws: DataFrame, at_mean: DataFrame, obs: str = "obs", loglik: str = "loglik") -> DataFrame:
     """WAIC and DIC from log-likelihood draws and the log-likelihood at the
     posterior mean (obs, loglik_at_mean)."""
     point = pointwise_criteria(draws, obs, loglik).agg(
         F.sum("lppd").alias("lppd"), F.sum("p_waic").alias("p_waic"), F.sum(F.log("cpo")).alias("log_cpo")
     )
-    total = draws.agg((F.lit(-2.0) * F.sum(loglik) / F.count_distinct(draw)).alias("d_bar"))
+    # the mean of each observation over its own draws, so one that lacks some counts fully
+    total = draws.groupBy(obs).agg(F.avg(loglik).alias("_m")).agg((F.lit(-2.0) * F.sum("_m")).alias("d_bar"))
     mean = at_mean.agg((F.lit(-2.0) * F.sum("loglik_at_mean")).alias("d_hat"))
     d_bar, d_hat = total.scalar(), mean.scalar()
     return point.select(

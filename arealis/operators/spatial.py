@@ -32,8 +32,11 @@ def polygon_edges(vertices: DataFrame, geom: str = "geom") -> DataFrame:
 
     The successor of a vertex is found by a join on ``seq + 1``, so a ring with a
     third of all vertices is spread over all tasks. A ring whose numbers have gaps
-    or repeat, or that does not end where it begins, raises.
+    or repeat, or that does not end where it begins, raises. A table of edges is
+    returned as it is, so every operator takes a layer either way.
     """
+    if "x1" in vertices.columns:
+        return vertices
     v = vertices.select(geom, *RING, "seq", F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"))
     nxt = v.select(
         geom, *RING, (F.col("seq") - 1).alias("seq"), F.col("x1").alias("x2"), F.col("y1").alias("y2")
@@ -42,6 +45,11 @@ def polygon_edges(vertices: DataFrame, geom: str = "geom") -> DataFrame:
     return edges.unionByName(_unsound_rings(vertices, geom))
 
 
+def stored_edges(vertices: DataFrame, geom: str = "geom") -> DataFrame:
+    """The edges of a layer, built and checked once for all operators that need them."""
+    return vertices if "x1" in vertices.columns else reliable_checkpoint(polygon_edges(vertices, geom))
+
+
 def _unsound_rings(vertices: DataFrame, geom: str) -> DataFrame:
     """No rows, or an error: one aggregate over the vertices of every ring."""
     at = F.struct("x", "y")
@@ -132,7 +140,7 @@ def polygon_cells(vertices: DataFrame, cell: float | None = None, geom: str = "g
     halved while some cell of one polygon holds more than ``max_edges`` edges; if
     that does not end (edges on top of each other), it raises.
     """
-    edges = reliable_checkpoint(polygon_edges(vertices, geom))
+    edges = stored_edges(vertices, geom)
     size = float(cell) if cell else grid_size(edges, geom)
     pieces = _edge_cells(edges, size, geom)
     for _ in range(16):
@@ -263,6 +271,13 @@ def rectangles_to_vertices(rects: DataFrame, geom: str) -> DataFrame:
     )
 
 
+def rectangles_to_edges(rects: DataFrame, geom: str) -> DataFrame:
+    """Edge table of axis-aligned rectangles ``(geom, x0, y0, x1, y1)``."""
+    edge = lambda *c: F.struct(*[F.col(n).cast("double").alias(a) for n, a in zip(c, ("x1", "y1", "x2", "y2"))])
+    ring = F.array(edge("x0", "y0", "x1", "y0"), edge("x1", "y0", "x1", "y1"), edge("x1", "y1", "x0", "y1"), edge("x0", "y1", "x0", "y0"))
+    return rects.select(geom, F.lit(0).alias("part"), F.lit(0).alias("ring"), F.explode(ring).alias("e")).select(geom, *RING, "e.*")
+
+
 def _strips(lo: Column, hi: Column, h: float) -> Column:
     return F.sequence(F.floor(lo / F.lit(h)), F.floor(hi / F.lit(h)))
 
@@ -362,7 +377,7 @@ def overlay_area(
     times the height of the taller box, whatever the unit.
     """
     # edges and boxes of both layers are built once
-    left, right = (reliable_checkpoint(polygon_edges(v, g)) for v, g in ((left, lgeom), (right, rgeom)))
+    left, right = stored_edges(left, lgeom), stored_edges(right, rgeom)
     lbox, rbox = edge_boxes(left, lgeom), edge_boxes(right, rgeom)
     h = float(strip) if strip else mean_edge_length(right)
     grid = max(mean_extent(lbox), mean_extent(rbox))
@@ -412,7 +427,8 @@ def zonal_statistic(cells: DataFrame, vertices: DataFrame, cell: float, geom: st
         (F.col("x") + half).alias("x1"),
         (F.col("y") + half).alias("y1"),
     )
-    cover = overlay_area(vertices, rectangles_to_vertices(rects, "_cell"), geom, "_cell", strip=cell, name="_cover")
+    squares = reliable_checkpoint(rectangles_to_edges(rects, "_cell"))
+    cover = overlay_area(vertices, squares, geom, "_cell", strip=cell, name="_cover")
     v = cover.select(geom, F.col("_cell.x").alias("x"), F.col("_cell.y").alias("y"), "_cover").join(cells, ["x", "y"])
     weight = F.col("_cover") / F.lit(cell * cell)
     known = F.when(F.col("value").isNotNull(), weight)
@@ -476,6 +492,7 @@ def water_share(non_water: DataFrame, non_sea: DataFrame, geom: str, digits: int
 
 def park_share(areas: DataFrame, parks: DataFrame, geom: str = "geom", park: str = "park_id", unit: float = 1.0, strip: float | None = None) -> DataFrame:
     """Park number, area, density and percentage for every area (0 without parks)."""
+    areas = stored_edges(areas, geom)
     overlap = overlay_area(areas, parks, geom, park, strip=strip, name="_a")
     by_area = overlap.groupBy(geom).agg(F.count(F.lit(1)).alias("n_parks"), (F.sum("_a") / F.lit(unit)).alias("park_area"))
     size = polygon_area(areas, geom, unit, "_size")

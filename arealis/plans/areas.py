@@ -229,7 +229,7 @@ def cv8(spark, sf):
     ),
 )
 def cv9(spark, sf):
-    v = fx.tract_vertices(spark, sf)
+    v = spatial.stored_edges(fx.tract_vertices(spark, sf))
     parks = spatial.park_share(v, _park_vertices(spark, sf, True), strip=0.5)
     pm25 = spatial.zonal_statistic(fx.raster(spark, sf), v, 0.25, by=["year"]).withColumnRenamed("value", "pm25_mean")
     study = _study_panel(spark, sf).withColumn("geom", F.substring("geoid", 3, 10).cast("long"))
