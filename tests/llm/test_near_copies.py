@@ -1,0 +1,85 @@
+"""Near copies at a Jaccard similarity of 0.8: brute force over all pairs."""
+
+import random
+
+import pytest
+
+from arealis.llm import near_copies, simhash
+from arealis.llm.common import components
+
+
+def slow_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def slow_kept(docs):
+    """Smallest id of every class of links at 5-word Jaccard >= 0.8."""
+    ids = sorted(docs)
+    sets = [slow_set(docs[i]) for i in ids]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+                continue
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {ids[find(i)] for i in range(len(ids))}
+
+
+def copies(rng, n):
+    """Texts around the threshold: words replaced, cut off and added."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = [word() for _ in range(12)]
+    out = {}
+    for i in range(n):
+        base = [word() for _ in range(rng.choice([6, 12, 40, 200]))] + line
+        for k in range(5):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = word()
+            w = w[: len(w) - rng.randint(0, len(w) // 8)] + [word() for _ in range(rng.randint(0, len(w) // 12))]
+            out[5 * i + k] = " ".join(w)
+    return out
+
+
+def test_all_pairs_at_the_similarity_are_linked(spark):
+    docs = copies(random.Random(3), 60)
+    docs |= {1000: None, 1001: "", 1002: "one two", 1003: "One  two", 1004: "one two three"}
+    kept = simhash.one_of_each(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == slow_kept(docs)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_one_of_each_of_the_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    docs = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == slow_kept(docs)
+
+
+def test_tiles_and_large_groups_lose_no_link(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    heads = [near_copies._head(t, 5) for t in texts]
+    nodes = spark.createDataFrame(heads, near_copies.HEAD)
+    sets = spark.createDataFrame([(h[0], bytearray(near_copies.shingles(t).tobytes())) for h, t in zip(heads, texts)], "node long, s binary")
+    met = near_copies.groups(nodes)
+    whole, tiled = (
+        {(r.node, r.root) for r in components(near_copies.links(met, sets, *tile)).collect()} for tile in ((10_000, 10**9), (40, 3_000))
+    )
+    assert whole == tiled
+    kept = slow_kept(dict(enumerate(texts)))
+    assert len({h[0] for h in heads}) - len(whole) + len({r for _, r in whole}) == len(kept)
