@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+HASHES = 1 << 62
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,8 +43,12 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFra
     n = df.count()
     if n <= rows:
         return df
-    keep = int(1_000_000 * rows / n)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < keep)
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(HASHES)) < sample_bound(rows, n))
+
+
+def sample_bound(rows: int, n: int) -> int:
+    """Hashes below it, of ``HASHES``, keep about ``rows`` of ``n`` rows at every size."""
+    return HASHES * rows // n
 
 
 def column_map(fn: Callable[[list], list], kind: T.DataType, setup: Callable[[], object] | None = None):

@@ -215,6 +215,8 @@ def calibrate(rows: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: f
     """Leaves to visit so that the mean recall of sampled queries is reached."""
     some = bounded_sample(queries, "id", probes, seed=13).limit(4 * probes).toPandas().sort_values("id", kind="stable")
     if not len(some):
+        if queries.limit(1).count():
+            raise RuntimeError("queries exist, but no probe was drawn from them")
         return 1
     q, q_ids = np.array(some["v"].tolist(), float), some["id"].to_numpy()
 
