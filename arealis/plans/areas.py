@@ -116,6 +116,18 @@ def cv4(spark, sf):
     return rounded(spatial.zonal_statistic(fx.raster(spark, sf).where(tract % 7 != 3), fx.tract_vertices(spark, sf), 0.25, by=["year"]))
 
 
+@query(
+    "cv4_whole_raster_zonal_mean",
+    with_ctes(
+        "tracts raster",
+        f"""SELECT t.geom, k.year, {rnd('avg(value)')} AS value FROM tracts t CROSS JOIN (SELECT DISTINCT year FROM raster) k
+        LEFT JOIN raster r ON r.geom = t.geom AND r.year = k.year GROUP BY 1, 2""",
+    ),
+)
+def cv4_whole(spark, sf):
+    return rounded(spatial.zonal_statistic(fx.raster(spark, sf), fx.tract_vertices(spark, sf), 0.25, by=["year"]))
+
+
 def _triangles(df, geom, corner_x, corner_y, leg):
     """Right triangles with legs along the axes, in metres of a national grid."""
     corner = lambda s, dx, dy: F.struct(F.lit(s).alias("seq"), (F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"))
