@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASHES = 1 << 62
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,18 @@ def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def salted_lookup(rows: DataFrame, on: list[str], found: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row per key), null where there is none.
+
+    Many rows may ask for one key: they ask under one of ``salts`` numbers, and what
+    is looked up are the distinct questions. ``rows`` is read twice.
+    """
+    rest = [c for c in rows.columns if c not in on]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    asked = salted.select(*on, "_salt").distinct().join(found, on)
+    return salted.join(asked, [*on, "_salt"], "left").drop("_salt")
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest node reachable from each of ``n`` nodes over the links a-b."""
     root = np.arange(n)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, kmeans_tree, language, mixing, packing, quality, rotation_codes, simhash, toxicity, warc
+from . import html, kmeans_tree, language, mixing, packing, prefix_trie, quality, rotation_codes, simhash, toxicity, warc
 from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,10 @@ def op2_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of all vectors."""
     return rotation_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(prefix_trie.ORACLE)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, rebuilt to share heads."""
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns))
