@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, kmeans_tree, language, mixing, packing, prefix_trie, quality, rotation_codes, simhash, toxicity, warc
+from . import collocations, html, kmeans_tree, language, mixing, packing, prefix_trie, quality, rotation_codes, simhash, toxicity, warc
 from .common import in_checkpoint_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all conversations, rebuilt to share heads."""
     turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns))
+
+
+@query(collocations.ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language whose words stand together."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
