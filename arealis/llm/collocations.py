@@ -8,8 +8,10 @@ language are its dictionary and their counts the frequencies of the parse. Phras
 are counted inside distinct chunks only, weighted by frequency. A phrase belongs
 to the chunk that holds its last word past the overlap, so each occurrence counts once.
 
-Counts of a batch are added up before rows leave a task, and again before they are
-shuffled. A common phrase is one row per task; the parts of candidates are looked up
+Lengths are counted one after the other, longer phrases only where the parts of one
+word less may be frequent, which a bitmap of bounded size tells: what it lets through
+is counted exactly, so it spares work and decides nothing. Counts of a batch are added
+up before rows leave a task, and again before they are shuffled. A common phrase is one row per task; the parts of candidates are looked up
 under salts; a language is ranked in salted shares first.
 
 Words are compared as UTF-8 bytes after A-Z are lower-cased. Null and empty texts have
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SALTS, salted_lookup, stored
+from .common import SALTS, salted_lookup, stored, written
 
 WORDS = 3
 LEAST = 10
@@ -39,10 +41,15 @@ DROP_PERCENT = 50
 TOP = 2_000
 SCALE = 1_000_000
 #: One in so many windows ends a chunk.
-MODULUS = 6
+MODULUS = 16
 SEED = 42
+ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number
+#: Bits of the sketch of frequent phrases: 16 MB are sent to a task at most.
+MOST_BITS = 1 << 27
+#: Bits of one row of it (fixed by Spark's bitmap functions).
+BLOCK = 32_768
 #: Bytes of text, or of chunks, counted at once (a single longer one is taken whole).
-BATCH = 16 << 20
+BATCH = 4 << 20
 
 BREAK = ord(".")  # stands for all separators of pieces, so it is never part of a word
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -95,7 +102,7 @@ def chunk_places(words: Words, modulus: int) -> tuple[np.ndarray, np.ndarray, np
     """(first word, last word, whether it continues a piece) of every chunk."""
     stop = np.array([w == b". " for w in words.distinct], bool)[words.code]
     h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words.distinct], np.uint64)[words.code]
-    mixed = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]  # any odd number
+    mixed = h[:-1] * ODD + h[1:]
     mixed ^= mixed >> np.uint64(29)
     ends = np.zeros(len(words), bool)
     ends[1:] = (mixed % np.uint64(modulus) == 0) & ~stop[:-1]
@@ -156,47 +163,80 @@ def _weighted(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[starts], np.add.reduceat(weight[order], starts), number
 
 
-def phrase_counts(dictionary: DataFrame, most: int = WORDS, batch: int = BATCH) -> DataFrame:
-    """(lang, phrase, f) of all phrases of 1 to ``most`` words, and the number of all
-    words of a language under the empty phrase."""
+def _hashes(words: Words, langs: np.ndarray, n: int) -> np.ndarray:
+    """A number for the phrase of ``n`` words that ends at each word of a language."""
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words.distinct], np.uint64)[words.code]
+    out = langs.copy()
+    for back in range(n - 1, -1, -1):
+        out[n - 1 :] = (out[n - 1 :] ^ h[n - 1 - back : len(h) - back]) * ODD
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _hashed_langs(langs: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in langs.to_pylist()], np.uint64)
+
+
+def sketch(frequent: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the phrases of ``n`` words in ``frequent``, and its size in bits.
+
+    It has 16 bits for each phrase but no more than ``MOST_BITS``. A phrase that
+    isn't in it is not frequent; one that is in it gets counted.
+    """
+    bits = min(max(1 << 16, 1 << (16 * frequent.count()).bit_length()), MOST_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                words = Words(b" ".join(b.column("phrase").cast(pa.binary()).to_pylist()) + b" ")
+                h = _hashes(words, np.repeat(_hashed_langs(b.column("lang")), n), n)[n - 1 :: n]
+                yield pa.RecordBatch.from_pydict({"at": pa.array((h & np.uint64(bits - 1)).view(np.int64) + 1)})  # counted from 1
+
+    set_ = frequent.select("lang", "phrase").mapInArrow(places, "at long")
+    blocks = set_.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((max(1, bits // BLOCK), BLOCK // 8), np.uint8)
+    for r in blocks.toLocalIterator():
+        out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel(), bits
+
+
+def counts_of_length(dictionary: DataFrame, n: int, shorter: tuple | None = None, batch: int = BATCH) -> DataFrame:
+    """(lang, phrase, f) of the phrases of ``n`` words. With ``shorter``, a broadcast
+    ``sketch()`` of the phrases of one word less, only of those whose two such parts
+    may be in it. For one word, the number of all words of a language comes as well,
+    under the empty phrase."""
 
     def counted(lang: pa.Array, chunks: list[bytes], weight: np.ndarray) -> Iterator[pa.RecordBatch]:
         words = Words(b" ".join(chunks) + b" ")
         size = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        begin = np.cumsum(size) - size
         on = np.fromiter((c.startswith(b". ") for c in chunks), bool, len(chunks))
         chunk = np.repeat(np.arange(len(chunks)), size)
-        begin += on  # past the mark
-        # A phrase of a continued chunk must end past the two shared words.
-        place = np.arange(len(words)) - begin[chunk]
-        owned = place >= np.where(on, 2, 0)[chunk]
+        # Places from the first word past the mark; phrases of a continued chunk end past the shared words.
+        place = np.arange(len(words)) - (np.cumsum(size) - size + on)[chunk]
+        at = np.flatnonzero(place >= np.maximum(np.where(on, 2, 0)[chunk], n - 1))
         coded = lang.dictionary_encode()
         langs = coded.indices.to_numpy().astype(np.int64)[chunk]
         w = weight[chunk]
-        some = np.flatnonzero(place >= 0)
-        key = np.full(len(words), -1, np.int64)
-        key[some] = langs[some] * len(words.distinct) + words.code[some]
-        total = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(total, langs[owned], w[owned])
-        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "f"])
-        for n in range(1, most + 1):
-            # Numbers of all phrases inside chunks, the next length builds on them.
-            at = np.flatnonzero(place >= n - 1)
-            if n > 1:
-                key[at] = number[at - 1] * len(words.distinct) + words.code[at]
-            if not len(at):
-                return
-            mine = np.where(owned[at], w[at], 0)
-            one, f, code = _weighted(key[at], mine)
-            number = np.full(len(words), -1, np.int64)
-            number[at] = code
-            one, f = one[f > 0], f[f > 0]
-            for a in range(0, len(one), 100_000):
-                i = at[one[a : a + 100_000]]
-                yield pa.RecordBatch.from_arrays(
-                    [coded.dictionary.take(pa.array(langs[i])), words.gathered(i - n + 1, i).cast(pa.string()), pa.array(f[a : a + 100_000])],
-                    ["lang", "phrase", "f"],
-                )
+        if n == 1:
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, langs[at], w[at])
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "f"])
+        if shorter:
+            bitmap, bits = shorter[0].value, np.uint64(shorter[1] - 1)
+            h = _hashes(words, _hashed_langs(coded.dictionary)[langs], n - 1) & bits
+            may = (bitmap[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            at = at[may[at] & may[at - 1]]
+        if not len(at):
+            return
+        code = langs[at]
+        for back in range(n - 1, -1, -1):
+            one, f, code = _weighted(code * len(words.distinct) + words.code[at - back], w[at])
+        for a in range(0, len(one), 50_000):
+            i = at[one[a : a + 50_000]]
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(langs[i])), words.gathered(i - n + 1, i).cast(pa.string()), pa.array(f[a : a + 50_000])],
+                ["lang", "phrase", "f"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -212,13 +252,29 @@ def phrase_counts(dictionary: DataFrame, most: int = WORDS, batch: int = BATCH)
 
     def whole(held):
         t = pa.Table.from_batches(held).combine_chunks()
-        chunks = t.column("chunk").cast(pa.large_binary()).to_pylist()
-        yield from counted(t.column("lang").combine_chunks(), chunks, t.column("n").to_numpy())
+        yield from counted(t.column("lang").combine_chunks(), t.column("chunk").cast(pa.large_binary()).to_pylist(), t.column("n").to_numpy())
 
     counted_rows = dictionary.select("lang", "chunk", "n").mapInArrow(run, "lang string, phrase string, f long")
     return counted_rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def phrase_counts(dictionary: DataFrame, most: int = WORDS, least: int = LEAST) -> DataFrame:
+    """(lang, phrase, f) of the phrases of 1 to ``most`` words with f >= ``least``,
+    and the number of all words under the empty phrase.
+
+    A phrase is as frequent as ``least`` only if its parts are: each length is
+    counted where the parts one word shorter may be frequent.
+    """
+    out, shorter = None, None
+    for n in range(1, most + 1):
+        found = stored(counts_of_length(dictionary, n, shorter).where((F.col("f") >= least) | (F.col("phrase") == "")))
+        out = found if out is None else out.unionByName(found)
+        if n < most:
+            bitmap, bits = sketch(found.where("phrase != ''"), n)
+            shorter = (dictionary.sparkSession.sparkContext.broadcast(bitmap), bits)
+    return out
+
+
 def _words(phrase: str | Column) -> Column:
     return F.split(phrase, " ")
 
@@ -275,8 +331,7 @@ def collocations(
     """
     if not 2 <= most <= 3:
         raise ValueError("chunks share two words, so phrases have two or three")
-    counts = phrase_counts(parse(docs, text_col, lang_col, modulus), most)
-    kept = stored(counts.where((F.col("f") >= least) | (F.col("phrase") == "")))
+    kept = phrase_counts(written(parse(docs, text_col, lang_col, modulus)), most, least)
     frequent = kept.where((F.col("phrase") != "") & (F.col("f") >= least))
     total = kept.where("phrase = ''").select("lang", F.col("f").alias("n"))
     inside = covered(frequent)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,14 @@ def stored(df: DataFrame) -> DataFrame:
     return in_checkpoint_dir(df.sparkSession) and df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``stored()``, as a compressed table: for wide rows of which few columns are read."""
+    spark = df.sparkSession
+    path = f"{in_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def in_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
     sc = spark.sparkContext
