@@ -8,12 +8,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASHES = 1 << 62
 SALTS = 64
+#: Bytes of text that become Python objects at once.
+SLICE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +75,25 @@ def column_map(fn: Callable[[list], list], kind: T.DataType, setup: Callable[[],
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = setup() if setup else None
         for a in batches:
-            yield pa.array(fn(a.to_pylist(), state) if setup else fn(a.to_pylist()), type=arrow)
+            some = (a.slice(i, j - i).to_pylist() for i, j in text_slices(a))
+            parts = [pa.array(fn(texts, state) if setup else fn(texts), type=arrow) for texts in some]
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
     return run
 
 
+def text_slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``most`` bytes of text; a longer text is one of its own."""
+    if not len(texts):
+        return
+    total = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -8,8 +8,9 @@ plan is a table of slots (length, first rank, count, first sequence, offset)
 whose size depends on the sequence length, not on the number of documents. Pieces
 then take their slots by joining on their rank within their length.
 
-Ranks are counted in salted groups of a length, so a length that holds a third of
-all pieces is spread over tasks like any other.
+The task that makes pieces numbers those of each length, and what the tasks before it
+made of that length is added: no piece moves to be ranked, so a length that holds a
+third of all pieces costs like any other.
 
 A null text is an empty document: its end token alone. Repeated rows are packed
 as often as they occur. Without documents the result is empty. Other columns are
@@ -20,38 +21,31 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import column_map, stored
+from .common import stored, text_slices
 
 SEQUENCE = 1024
 END = 2
-#: Pieces of one length ranked in one task.
+#: Ranks of a length that meet its slots under one key.
 RANKED = 100_000
-#: Slots that are sent to every task; more are joined.
+#: Slots, and counts of a task and length, that are sent to every task; more are joined.
 SENT = 50_000
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 500_000
+SENT_COUNTS = 400_000
+#: Bytes of words and ids that a worker remembers, with what an entry costs besides.
+KEPT = 64 << 20
+KEPT_ENTRY = 150
 ID = "<u4"
 TOKENIZER = "byte_bpe_50k.json"
 
-PIECES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("piece", T.IntegerType()),
-            T.StructField("start", T.LongType()),
-            T.StructField("length", T.LongType()),
-            T.StructField("ids_crc32", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
-        ]
-    )
-)
 # Word pattern of byte-level vocabularies of this kind (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -83,64 +77,89 @@ class Encoder:
 
     A byte-level vocabulary never merges across its words, and a single blank
     between two visible characters always begins a word. So texts are cut at such
-    blanks and the ids of a cut are remembered; what is new goes to the tokenizer.
+    blanks, all at once; each distinct cut is encoded once and its ids are remembered
+    in a memory bounded in bytes.
     """
 
     def __init__(self, path: str):
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        self.np = np
         self.words = regex.compile(WORD)
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)) if special else None
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _packed(self, ids) -> bytes:
-        return self.np.array(ids, dtype=ID).tobytes()
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Remember the ids of what stands between two blanks, its first blank included."""
-        parts = {c: self.words.findall(" " + c) for c in chunks}
-        known = self._known(w for p in parts.values() for w in p)
-        for c, p in parts.items():
-            self.chunks[c] = b"".join([known[w] for w in p])
-
-    def _known(self, words: Iterable[str]) -> dict[str, bytes]:
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        known = self.pieces
-        for w in words:
-            if w not in known:
-                visible = w.encode().decode("latin-1").translate(BYTES)
-                known[w] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(visible)])
-        return known
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _ids(self, word: bytes) -> bytes:
+        """Ids of one word of the vocabulary's pattern, or of what stands between two blanks."""
+        ids = self.known.get(word)
+        if ids is None:
+            parts = self.words.findall(word.decode())
+            if len(parts) > 1:
+                ids = b"".join([self._ids(w.encode()) for w in parts])
+            else:
+                visible = word.decode("latin-1").translate(BYTES)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(visible)])
+            self.held += len(word) + len(ids) + KEPT_ENTRY
+            if self.held > KEPT:
+                self.known, self.held = {}, 0
+            self.known[word] = ids
+        return ids
+
+    def _plain(self, text: str) -> bool:
+        """Whether the text may be cut at its single blanks."""
+        if text[:1].isspace() or text[-1:].isspace() or any(s in text for s in RUNS):
+            return False
+        return text.isascii() or not any(s in text for s in WIDE)
 
     def encode(self, text: str) -> bytes:
-        if self.special is not None and self.special.search(text):
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if text[:1].isspace() or text[-1:].isspace() or any(s in text for s in RUNS) or (not text.isascii() and any(s in text for s in WIDE)):
-            return self._spaced(text)
-        head, *cuts = text.split(" ")
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        known = self.chunks
-        ids = list(map(known.get, cuts))
-        if None in ids:
-            self._learn({c for c, i in zip(cuts, ids) if i is None})
-            ids = [known[c] if i is None else i for c, i in zip(cuts, ids)]
-        return self._spaced(head) + b"".join(ids)
-
-    def _spaced(self, text: str) -> bytes:
-        """Texts with runs of white space: word by word."""
-        words = self.words.findall(text)
-        known = self._known(words)
-        return b"".join([known[w] for w in words])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of all texts: the distinct words of those that may be cut are encoded once."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = b""
+            elif self.special is not None and self.special.search(t):
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=ID).tobytes()
+            elif self._plain(t):
+                plain.append(i)
+            else:
+                out[i] = b"".join([self._ids(w.encode()) for w in self.words.findall(t)])
+        if plain:
+            for i, ids in zip(plain, self._cut([texts[i].encode() for i in plain])):
+                out[i] = ids
+        return out
+
+    def _cut(self, texts: list[bytes]) -> list[bytes]:
+        data = b" ".join(texts) + b" "
+        blank = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        offsets = np.concatenate([[0], blank + 1]).astype(np.int64)
+        array = pa.Array.from_buffers(pa.large_binary(), len(blank), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = array.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        words = [w[:-1] for w in coded.dictionary.to_pylist()]
+        # the first word of a text has no blank before it: a second set of words
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        first = np.searchsorted(offsets, ends - [len(t) + 1 for t in texts])
+        heads, own = np.unique(code[first], return_inverse=True)
+        code[first] = len(words) + own
+        ids = [self._ids(b" " + w) for w in words] + [self._ids(words[h]) for h in heads.tolist()]
+        size = np.fromiter((len(x) for x in ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), ID)
+        begin = np.cumsum(size) - size
+        count = size[code]
+        total = np.cumsum(count)
+        at = np.arange(total[-1]) + np.repeat(begin[code] - (total - count), count)
+        tokens = flat[at]
+        cuts = total[np.append(first[1:], len(code)) - 1]
+        return [tokens[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
 
 def cut(ids: bytes, sequence: int, with_ids: bool) -> list[tuple]:
@@ -166,17 +185,36 @@ def pieces(
     with_ids: bool = False,
 ) -> DataFrame:
     """The pieces of all documents: id, piece, start, length, ids_crc32, ids
-    (little-endian 32-bit ids; null unless ``with_ids``)."""
+    (little-endian 32-bit ids; null unless ``with_ids``), and the task that made a
+    piece with its number among that task's pieces of one length."""
     path = tokenizer or tokenizer_path()
     close = end.to_bytes(4, "little")
 
-    def tokenized(texts, encoder):
-        return [cut((encoder.encode(t) if t else b"") + close, sequence, with_ids) for t in texts]
-
-    made = column_map(tokenized, PIECES, lambda: Encoder(path))
-    return docs.select(F.col(id_col).alias("_id"), F.explode(made(F.col(text_col))).alias("p")).select(
-        F.col("_id").alias(id_col), "p.*"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, made = Encoder(path), np.zeros(sequence + 1, np.int64)
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            for i, j in text_slices(b.column("text")):
+                id_ = b.column("id").slice(i, j - i)
+                ids = encoder.encode_all(b.column("text").slice(i, j - i).to_pylist())
+                cuts = [cut(x + close, sequence, with_ids) for x in ids]
+                doc = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+                piece, start, length, crc, kept = zip(*(p for c in cuts for p in c))
+                number = []
+                for n in length:
+                    number.append(made[n])
+                    made[n] += 1
+                columns = [
+                    id_.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()), pa.array(kept, pa.binary()), pa.array([part] * len(doc), pa.int32()), pa.array(number, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "ids", "part", "number"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(
+        run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary, part int, number long"
+    ).withColumnRenamed("id", id_col)
 
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -241,23 +279,16 @@ def packed(
     """All pieces with ``sequence_id`` and ``offset``."""
     made = stored(pieces(docs, id_col, text_col, sequence, end, tokenizer, with_ids))
     spark = docs.sparkSession
+    # What a task made of a length is one row; ranks add what the tasks before it made.
+    counts = stored(made.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     # At most one row per length comes to the driver.
-    histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salts = F.ceil(F.col("n") / ranked).cast("int")
-    counts = spark.createDataFrame([(int(k), int(v)) for k, v in histogram.items()], "length long, n long")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     planned = plan(histogram, sequence)
     slots = spark.createDataFrame(planned, "length long, first long, n long, sequence long, offset long")
-    salted = (
-        made.join(F.broadcast(counts.withColumn("salts", salts).drop("n")), "length")  # a row per length at most
-        .withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.col("salts")).cast("int"))
-        .drop("salts")
-    )
-    before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c"))
-    running = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("length", "salt", F.coalesce(F.sum("c").over(running), F.lit(0)).alias("before"))
-    inside = W.partitionBy("length", "salt").orderBy(id_col, "piece", "ids_crc32")
-    ranks = salted.withColumn("r", F.row_number().over(inside) - 1).join(before, ["length", "salt"])
-    ranks = ranks.withColumn("rank", F.col("r") + F.col("before")).alias("a")
+    running = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("part", "length", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
+    ranks = made.join(F.broadcast(before) if counts.count() <= SENT_COUNTS else before, ["part", "length"])
+    ranks = ranks.withColumn("rank", F.col("number") + F.col("before")).alias("a")
     # Slots are cut at steps of ranks, so that the join has an equal key.
     step = F.lit(ranked)
     stepped = slots.withColumn(

@@ -180,8 +180,21 @@ def test_encoder_gives_the_tokenizer_s_ids():
     rng = random.Random(2)
     alphabet = "ab 'st.,\n\t\r!0é\xa0  日🙂_-"
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(400)]
-    for t in texts * 2:
-        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip(texts * 2, want * 2):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == ids, repr(t)
+    together = encoder.encode_all([None, *texts, "x"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in together] == [[], *want, tok.encode("x").ids]
+
+
+def test_encoder_forgets_within_its_bound(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 3_000)
+    encoder = packing.Encoder(packing.tokenizer_path())
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    for k in range(40):
+        text = f"word{k} of text {k * k} x-{k}"
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tok.encode(text).ids
+        assert encoder.held <= 3_000 + 400
 
 
 def test_plan_places_every_piece_once():
