@@ -1,8 +1,9 @@
 """Phrases that stand together more often than their parts, by prefix-free parsing.
 
-Texts are cut into pieces at punctuation and pieces into words. A window of two words
-whose hash is a multiple of ``modulus`` ends a chunk, and the next chunk begins with
-the words of that window: so what is cut depends on content alone, and a passage that
+Texts are cut into pieces at punctuation and pieces into words. A window of two words of
+a piece whose hash is a multiple of ``modulus`` ends a chunk, and the next chunk begins
+with the words of that window; breaks between pieces stay in the chunk. So what is cut
+depends on content alone, and a passage that
 many documents share gives the same chunks in all of them. The distinct chunks of a
 language are its dictionary and their counts the frequencies of the parse. Phrases
 are counted inside distinct chunks only, weighted by frequency. A phrase belongs
@@ -15,9 +16,8 @@ up before rows leave a task, and again before they are shuffled. A common phrase
 under salts; a language is ranked in salted shares first.
 
 Words are compared as UTF-8 bytes after A-Z are lower-cased. Null and empty texts have
-no words; a null language is ``und``. Repeated rows count as often as they occur. A
-piece without a window that ends a chunk is one chunk, however long; a text is held
-whole. Ties in score and count go by the phrase's bytes. Without words the result is
+no words; a null language is ``und``. Repeated rows count as often as they occur. A text
+without a window that ends a chunk is one chunk, however long. Ties in score and count go by the phrase's bytes. Without words the result is
 empty. Other columns are ignored. Counts must stay below 10**15 (the score is computed
 in decimals of 38 digits; beyond, it raises).
 """
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SALTS, salted_lookup, stored, written
+from .common import SALTS, salted_lookup, stored, text_slices, written
 
 WORDS = 3
 LEAST = 10
@@ -41,7 +41,7 @@ DROP_PERCENT = 50
 TOP = 2_000
 SCALE = 1_000_000
 #: One in so many windows ends a chunk.
-MODULUS = 16
+MODULUS = 32
 SEED = 42
 ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 #: Bits of the sketch of frequent phrases: 16 MB are sent to a task at most.
@@ -52,22 +52,13 @@ BLOCK = 32_768
 BATCH = 4 << 20
 
 BREAK = ord(".")  # stands for all separators of pieces, so it is never part of a word
+CLOSE = b"!"  # another separator: it closes a text
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(
     SEPARATORS + bytes(range(65, 91)) + b"\t", bytes([BREAK]) * len(SEPARATORS) + bytes(range(97, 123)) + b" "
 )
 
 
-def _slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``most`` bytes."""
-    total = np.cumsum(lengths)
-    a = 0
-    while a < len(lengths):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 class Words:
     """The words of a buffer in which a blank follows each of them."""
 
@@ -98,48 +89,49 @@ class Words:
         return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
 
 
-def chunk_places(words: Words, modulus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, last word, whether it continues a piece) of every chunk."""
-    stop = np.array([w == b". " for w in words.distinct], bool)[words.code]
+def normal(text: bytes) -> bytes:
+    """Lower-cased words with single blanks; a lone break stands between pieces."""
+    text = b" ".join(text.translate(TABLE).replace(b".", b" . ").split())
+    while b". ." in text:
+        text = text.replace(b". .", b".")
+    return text.strip(b" .")
+
+
+def chunk_places(words: Words, modulus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, last word, whether it continues a text, text) of every chunk of texts
+    that are each closed by ``CLOSE``."""
+    over = np.array([w == CLOSE + b" " for w in words.distinct], bool)[words.code]
+    stop = over | np.array([w == b". " for w in words.distinct], bool)[words.code]
     h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words.distinct], np.uint64)[words.code]
     mixed = h[:-1] * ODD + h[1:]
     mixed ^= mixed >> np.uint64(29)
     ends = np.zeros(len(words), bool)
     ends[1:] = (mixed % np.uint64(modulus) == 0) & ~stop[:-1]
-    ends[:-1] |= stop[1:]
-    ends[-1] = True
+    ends[:-1] |= over[1:]
     ends &= ~stop
     last = np.flatnonzero(ends)
-    piece = np.cumsum(stop)[last]
-    begins = np.concatenate([[0], np.flatnonzero(stop) + 1])
-    first = begins[piece]
+    text = np.cumsum(over)[last]
+    first = np.concatenate([[0], np.flatnonzero(over) + 1])[text]
     on = np.zeros(len(last), bool)
-    on[1:] = piece[1:] == piece[:-1]
+    on[1:] = text[1:] == text[:-1]
     first[1:][on[1:]] = last[:-1][on[1:]] - 1
-    return first, last, on
+    return first, last, on, text
 
 
 def parse(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", modulus: int = MODULUS, batch: int = BATCH) -> DataFrame:
     """The dictionary (lang, chunk, n): distinct chunks and how often they occur. A
-    chunk that continues a piece begins with a separator and the two shared words."""
+    chunk that continues a text begins with a break and the two shared words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = b.column("text").cast(pa.binary()).fill_null(b"")
-            sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int32)[lengths.offset : lengths.offset + len(lengths) + 1])
-            for i, j in _slices(sizes, batch):
-                texts = [t.translate(TABLE) for t in lengths.slice(i, j - i).to_pylist()]
-                # A break closes each text; so breaks before a word tell its text's number.
-                own = np.array([t.count(b".") + 1 for t in texts])
-                data = b" ".join((b" ".join(texts[k : k + 1]) + b".").replace(b".", b" . ") for k in range(len(texts)))
-                words = Words(b" ".join(data.split()) + b" ")
-                first, last, on = chunk_places(words, modulus)
+            column = b.column("text").cast(pa.binary()).fill_null(b"")
+            for i, j in text_slices(column, batch):
+                texts = [normal(t) for t in column.slice(i, j - i).to_pylist()]
+                words = Words(b"".join([t + b" " + CLOSE + b" " if t else CLOSE + b" " for t in texts]))
+                first, last, on, doc = chunk_places(words, modulus)
                 if not len(last):
                     continue
-                stops = np.cumsum(words.code == words.distinct.index(b". "))
-                doc = np.searchsorted(np.cumsum(own), stops[last], "right")
-                text = words.joined(first, last)
-                chunk = [b". " + c if k else c for c, k in zip(text, on.tolist())]
+                chunk = [b". " + c if k else c for c, k in zip(words.joined(first, last), on.tolist())]
                 lang = b.column("lang").slice(i, j - i).dictionary_encode()
                 code = lang.indices.take(pa.array(doc))
                 t = pa.table({"c": code, "chunk": pa.array(chunk, pa.binary())}).group_by(["c", "chunk"]).aggregate([([], "count_all")])
@@ -211,9 +203,13 @@ def counts_of_length(dictionary: DataFrame, n: int, shorter: tuple | None = None
         size = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
         on = np.fromiter((c.startswith(b". ") for c in chunks), bool, len(chunks))
         chunk = np.repeat(np.arange(len(chunks)), size)
-        # Places from the first word past the mark; phrases of a continued chunk end past the shared words.
-        place = np.arange(len(words)) - (np.cumsum(size) - size + on)[chunk]
-        at = np.flatnonzero(place >= np.maximum(np.where(on, 2, 0)[chunk], n - 1))
+        # Places count from the last break, or the begin of the chunk; a phrase of a
+        # continued chunk ends past the mark and the two shared words.
+        here = np.arange(len(words))
+        stop = np.array([w == b". " for w in words.distinct], bool)[words.code]
+        begin = (np.cumsum(size) - size)[chunk]
+        place = here - np.maximum(np.maximum.accumulate(np.where(stop, here, -1)), begin - 1) - 1
+        at = np.flatnonzero((place >= n - 1) & (here - begin >= np.where(on, 3, 0)[chunk]))
         coded = lang.dictionary_encode()
         langs = coded.indices.to_numpy().astype(np.int64)[chunk]
         w = weight[chunk]

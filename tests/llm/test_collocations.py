@@ -77,9 +77,9 @@ def test_batches_of_any_size_give_the_same_counts(spark):
 
 
 def test_copies_share_their_chunks(spark):
-    long = " ".join(f"w{i * i % 97}" for i in range(3000))
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(3000))
     docs = spark.createDataFrame([(i, f"{'pad ' * i} {long}", "en") for i in range(20)], SCHEMA)
-    assert collocations.parse(docs).where("n >= 20").count() > 100
+    assert collocations.parse(docs).where("n >= 20").count() > 40
 
 
 def test_empty_table_and_clashing_columns(spark):
