@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import near_copies
 from .common import column_map, components, forest, stored, whole_groups
 
 SEED = 42
@@ -177,29 +176,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = near_copies.WORDS) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: one of each.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stand for their class of ``near_duplicates()``: one of each.
 
-    Classes are those of links between texts whose sets of ``words``-word
-    shingles have a Jaccard similarity of 0.8 or more (``near_copies``), not those
-    of fingerprints: two bits are far less than such pairs differ in. The row with
-    the smallest id stays; of rows that repeat that id, or have none, the one that
-    sorts first by its columns.
+    The row with the smallest id stays; of rows that repeat that id, or have none, the
+    one that sorts first by its columns.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*columns).alias("doc"), F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(1), *reversed(columns)).alias("r2"))
-    rows = keyed.select(F.col("doc")[id_col].alias("i"), "r1", "r2", near_copies.head_column(words)(F.col("doc")[text_col]).alias("k"))
-    nodes = stored(
-        rows.groupBy(F.col("k.node").alias("node")).agg(
-            F.min(F.struct(F.col("i").isNull().alias("none"), "i", "r1", "r2")).alias("best"),
-            F.first("k.n").alias("n"), F.first("k.head").alias("head"),
-        )
-    )
-    met = stored(near_copies.groups(nodes.select("node", "n", "head")))
-    meeting = nodes.join(met.select("node").distinct(), "node").select("node", "best.r1", "best.r2")
-    texts = keyed.join(meeting, ["r1", "r2"]).dropDuplicates(["node"])
-    sets = texts.select("node", near_copies.set_column(words)(F.col("doc")[text_col]).alias("s"))
-    root = components(near_copies.links(met, sets))
-    placed = nodes.select("node", "best").join(root, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+    rows = keyed.select(F.struct(F.col("doc")[id_col].isNull().alias("none"), F.col("doc")[id_col].alias("i"), "r1", "r2").alias("row"), F.col("doc")[text_col].alias("text"))
+    numbered = stored(rows.select("row", fingerprint_column()(F.col("text")).alias("fp")))
+    nodes = numbered.groupBy("fp").agg(F.min("row").alias("best"))
+    root = components(links(nodes.select("fp"), radius))
+    placed = nodes.join(root, nodes.fp == root.node, "left").select("best", F.coalesce("root", "fp").alias("root"))
     kept = placed.groupBy("root").agg(F.min("best").alias("best")).select("best.r1", "best.r2")
     return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("doc.*")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
-from test_near_copies import slow_kept
+from test_texts import slow_classes, slow_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -29,7 +29,7 @@ def test_stages_keep_the_rows_of_brute_force(spark):
     assert Counter(stages[0]) == Counter(rows)
     rows = [r for r in rows if ranking.score(np.array([quality.measures(r.text)]))[0] >= quality.CUT]
     assert Counter(stages[1]) == Counter(rows)
-    kept = slow_kept({r.doc_id: r.text for r in rows})
+    kept = set(slow_classes([r.doc_id for r in rows], [slow_fingerprint(r.text) for r in rows]))
     rows = [r for r in rows if r.doc_id in kept]
     assert Counter(stages[2]) == Counter(rows)
 
