@@ -23,7 +23,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (5-word Jaccard of 0.8 or more) stays."""
+    """One document of each class of SimHash near-duplicates stays."""
     return simhash.one_of_each(docs)
 
 
@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", drop_low_quality),
-    ("near_copies", drop_near_duplicates),
+    ("simhash", drop_near_duplicates),
     ("mixing", mix_sources),
     ("packing", pack),
 ]
