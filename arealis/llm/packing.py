@@ -41,7 +41,7 @@ RANKED = 100_000
 SENT = 50_000
 SENT_COUNTS = 400_000
 #: Bytes of words and ids that a worker remembers, with what an entry costs besides.
-KEPT = 64 << 20
+KEPT = 96 << 20
 KEPT_ENTRY = 150
 ID = "<u4"
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,9 @@ def _visible_bytes() -> dict[int, int]:
 
 
 BYTES = _visible_bytes()
+BLANK = chr(BYTES[32])
+#: Marks that are a word of their own behind letters.
+STOPS = b".,;:!?)"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -91,25 +94,40 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in special)) if special else None
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _ids(self, word: bytes) -> bytes:
-        """Ids of one word of the vocabulary's pattern, or of what stands between two blanks."""
+    def _piece(self, word: bytes) -> bytes:
+        """Ids of one word of the vocabulary's pattern."""
         ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        ids = self.older.get(word)
         if ids is None:
-            parts = self.words.findall(word.decode())
-            if len(parts) > 1:
-                ids = b"".join([self._ids(w.encode()) for w in parts])
+            if 32 <= word[0] < 127 and (len(word) == 1 or word[1:].isalpha()):
+                visible = word.decode().replace(" ", BLANK)
             else:
                 visible = word.decode("latin-1").translate(BYTES)
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(visible)])
-            self.held += len(word) + len(ids) + KEPT_ENTRY
-            if self.held > KEPT:
-                self.known, self.held = {}, 0
-            self.known[word] = ids
+            table = self.id_bytes
+            ids = b"".join([table[t.id] for t in self.merge(visible)])
+        # Half of what is kept is young; words met again stay, others go.
+        self.held += len(word) + len(ids) + KEPT_ENTRY
+        if 2 * self.held > KEPT:
+            self.known, self.older, self.held = {}, self.known, 0
+        self.known[word] = ids
         return ids
 
+    def _between(self, chunk: bytes) -> bytes:
+        """Ids of what stands between two blanks, its first blank included."""
+        body = chunk[1:]
+        if body.isalpha():
+            return self._piece(chunk)
+        if body[:-1].isalpha() and body[-1] in STOPS:
+            return self._piece(chunk[:-1]) + self._piece(chunk[-1:])
+        return b"".join([self._piece(w.encode()) for w in self.words.findall(chunk.decode())])
+
     def _plain(self, text: str) -> bool:
         """Whether the text may be cut at its single blanks."""
         if text[:1].isspace() or text[-1:].isspace() or any(s in text for s in RUNS):
@@ -131,7 +149,7 @@ class Encoder:
             elif self._plain(t):
                 plain.append(i)
             else:
-                out[i] = b"".join([self._ids(w.encode()) for w in self.words.findall(t)])
+                out[i] = b"".join([self._piece(w.encode()) for w in self.words.findall(t)])
         if plain:
             for i, ids in zip(plain, self._cut([texts[i].encode() for i in plain])):
                 out[i] = ids
@@ -150,7 +168,9 @@ class Encoder:
         first = np.searchsorted(offsets, ends - [len(t) + 1 for t in texts])
         heads, own = np.unique(code[first], return_inverse=True)
         code[first] = len(words) + own
-        ids = [self._ids(b" " + w) for w in words] + [self._ids(words[h]) for h in heads.tolist()]
+        between = self._between
+        ids = [between(b" " + w) for w in words]
+        ids += [b"".join([self._piece(w.encode()) for w in self.words.findall(words[h].decode())]) for h in heads.tolist()]
         size = np.fromiter((len(x) for x in ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), ID)
         begin = np.cumsum(size) - size
