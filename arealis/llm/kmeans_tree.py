@@ -13,9 +13,13 @@ visit it meet in blocks; leaves and visits that are too many for one block are
 salted. Each block gives its best rows by matrix product, with a margin for
 rounding, and these get their exact score in double precision.
 
-Vectors that are null, zero, hold null or non-finite components, or have another
-length than most take no part, nor do rows without an id. Repeated ids are
-separate candidates; a query's own id is none. Ties go to the smaller id. Other
+Past the calibrated visits a query goes on until its leaves hold ``k`` candidates, so it
+gets as many rows as there are, however few vectors lie around it. Every length of
+vectors that a hundredth of the rows has gets a tree of its own; queries of rarer lengths
+meet all vectors of their length in blocks. Lengths do not meet: they have no product.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do
+rows without an id. Repeated ids are separate candidates; a query's own id is none. Ties go to the smaller id. Other
 columns are ignored.
 """
 
@@ -42,6 +46,8 @@ RECALL = 0.97
 BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 8_192
 MARGIN = 1e-9
+#: Lengths that one in so many rows has get a tree.
+COMMON = 100
 
 
 def sound(vector: str) -> Column:
@@ -59,12 +65,6 @@ def sound_vectors(df: DataFrame, id_col: str, vector_col: str, *more: str) -> Da
     return rows.where(F.forall("v", lambda x: F.abs(x) < float("inf")))
 
 
-def usual_length(vectors: DataFrame) -> int:
-    """The length that most vectors have (the smaller of equals), 0 without any."""
-    found = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return found["n"] if found else 0
-
-
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column of equal lengths as a matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,15 +104,17 @@ class Tree:
             open_rows = open_rows[[bool(self.children[n]) for n in at[open_rows]]]
         return np.array(self.leaf, int)[at]
 
-    def visits(self, q: np.ndarray, most: int) -> np.ndarray:
-        """The first ``most`` leaves of a query, best bin first."""
+    def visits(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """The first ``most`` leaves of a query, best bin first, and further ones until
+        they hold ``least`` of ``rows`` (a number for each leaf)."""
         q = np.append(q, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, node = heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf[node])
+                held += int(rows[self.leaf[node]]) if rows is not None else 0
                 continue
             away = self.centres[kids] - q
             for kid, d in zip(kids, (away * away).sum(1).tolist()):
@@ -247,8 +249,21 @@ def search(
     """The ``k`` nearest found for every row that ``queries`` marks: query_id, rank,
     vec_id, score. ``queries`` is a condition on the column ``id``."""
     rows = stored(sound_vectors(vectors, id_col, vector_col))
-    length = usual_length(rows)
-    rows = rows.where(F.size("v") == length)
+    sizes = rows.groupBy(F.size("v").alias("n")).count()
+    common = sorted(r["n"] for r in sizes.where(F.col("count") * COMMON >= F.lit(rows.count())).collect())
+    found = [_by_tree(rows.where(F.size("v") == n), n, queries, k, recall, leaves) for n in common]
+    rest = rows.where(~F.size("v").isin(common))
+    if not common or rest.limit(1).count():
+        rest = rest.select(F.size("v").alias("group"), "id", "v")
+        found.append(_met(rest, rest.where(queries).select("group", F.col("id").alias("q_id"), F.col("v").alias("q")), k))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return _ranked(out, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _by_tree(rows: DataFrame, length: int, queries: Column, k: int, recall: float, leaves: int) -> DataFrame:
+    """What the queries among ``rows`` of one length find in the leaves they visit."""
     tree = build(rows, length, leaves)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,31 +274,42 @@ def search(
     placed = stored(rows.mapInArrow(place, "id long, v array<double>, leaf int"))
     asked = placed.where(queries).select("id", "v")
     most = calibrate(placed, asked, tree, k, recall)
+    held = np.zeros(max(1, tree.leaves), np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # one row per leaf of the fitted tree
+        held[r["leaf"]] = r["count"]
+    own = asked.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             v = matrix(b.column(1))
-            path = pa.array([tree.visits(x, most).tolist() for x in v], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), path], names=["id", "v", "path"])
+            path = [tree.visits(x, most, held, k + n).tolist() for x, n in zip(v, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(path, pa.list_(pa.int32()))], names=["id", "v", "path"])
 
-    visits = asked.mapInArrow(walk, "id long, v array<double>, path array<int>").select(
-        F.col("id").alias("q_id"), F.col("v").alias("q"), F.explode("path").alias("leaf")
+    visits = asked.join(own, "id").mapInArrow(walk, "id long, v array<double>, path array<int>").select(
+        F.explode("path").alias("group"), F.col("id").alias("q_id"), F.col("v").alias("q")
     )
-    # One row per leaf: how many blocks its vectors and its queries make.
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("vs"))
-    asks = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qs"))
-    shape = stored(blocks.join(asks, "leaf"))
+    return _met(placed.select(F.col("leaf").alias("group"), "id", "v"), visits, k)
+
+
+def _met(placed: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """Best rows of every block where vectors (group, id, v) and visits (group, q_id, q)
+    of one group meet."""
+    # One row per group: how many blocks its vectors and its queries make.
+    blocks = placed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("vs"))
+    asks = visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qs"))
+    shape = stored(blocks.join(asks, "group"))
     left = (
-        placed.join(shape, "leaf")
+        placed.join(shape, "group")
         .withColumn("vb", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int"))
-        .select("leaf", "vb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "id", "v")
+        .select("group", "vb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "id", "v")
     )
     right = (
-        visits.join(shape, "leaf")
+        visits.join(shape, "group")
         .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.col("qs")).cast("int"))
-        .select("leaf", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"), "qb", "q_id", "q")
+        # a column of its own: queries may come from the same rows
+        .select((F.col("group") + 0).alias("group"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"), "qb", "q_id", "q")
     )
 
     def meet(block: pa.Table, asking: pa.Table) -> pa.Table:
@@ -292,6 +318,5 @@ def search(
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.Table.from_batches([answers(x, block.column("id").to_numpy(), q, asking.column("q_id").to_numpy(), k)])
 
-    key = ["leaf", "vb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, FOUND)
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    key = ["group", "vb", "qb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, FOUND)
