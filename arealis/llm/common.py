@@ -116,7 +116,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
         if n < rows:
             continue
         t = pa.Table.from_batches(held)
-        starts = _starts(t, keys)
+        starts = group_starts(t, keys)
         if len(starts) > 1:
             last = int(starts[-1])
             yield t.slice(0, last), starts[:-1]
@@ -124,10 +124,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
             n -= last
     if held:
         t = pa.Table.from_batches(held)
-        yield t, _starts(t, keys)
+        yield t, group_starts(t, keys)
 
 
-def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     new[0] = True
     for k in keys:

@@ -15,8 +15,8 @@ first table it shares. Rows of one key beyond ``TILE`` are compared in tiles of
 chunks, so no task holds more than two chunks, whatever the size of a group. A
 tile gives counts per vector and a forest of its links, never its pairs.
 
-Vectors that are null, zero, hold null or non-finite components, or have another
-length than most link with nothing, nor do rows without a label; they are classes
+Vectors meet inside their label and length. Those that are null, zero, or hold null or
+non-finite components link with nothing, nor do rows without a label; they are classes
 of their own. Rows without an id link like others and count, their class id is
 the smallest id reachable, or null. Repeated rows link with each other. Other
 columns are ignored.
@@ -26,14 +26,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, stored, whole_groups
-from .kmeans_tree import matrix, sound, usual_length
+from .common import components, forest, group_starts, stored, whole_groups
+from .kmeans_tree import matrix, sound
 
 THRESHOLD = 0.98
 MISS = 1e-7
@@ -43,6 +44,7 @@ TILE = 4_096
 SEED = 29
 
 
+@lru_cache(maxsize=16)
 def rotations(length: int, count: int, seed: int = SEED) -> np.ndarray:
     """``count`` random orthogonal matrices side by side."""
     rng = np.random.default_rng(seed)
@@ -122,6 +124,13 @@ def links(unit: np.ndarray, keys: np.ndarray, table: np.ndarray, starts: np.ndar
                         yield u, v
 
 
+def by_length(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, pa.RecordBatch | pa.Table]]:
+    """The rows of each length, in their order."""
+    lengths = rows.column("len").to_numpy()
+    for n in np.unique(lengths).tolist():
+        yield n, rows if (lengths == n).all() else rows.filter(pa.array(lengths == n))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -135,55 +144,56 @@ def near_duplicates(
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")
     ).withColumn("ok", F.coalesce(F.col("label").isNotNull() & sound("v"), F.lit(False)))
-    length = usual_length(rows.where("ok"))
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == length))
     # Two hashes stand for a vector of a label.
     rows = stored(
         rows.withColumn("h1", F.when(F.col("ok"), F.xxhash64("label", "v")))
         .withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "v", "label")))
     )
     single = rows.where("ok").groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.first("v").alias("v"))
-    single = stored(single)
-    most = single.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, count = tables(most, length, threshold, miss)
+    # Vectors of one label and length meet; every length has rotations and tables of its own.
+    single = stored(single.withColumn("len", F.size("v")))
+    most = single.groupBy("label", "len").count().agg(F.max("count")).first()[0] or 0
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 4096):
-                part = b.slice(a, 4096)
-                v = matrix(part.column(1))
-                k = keys_of(units(v), bits, count)
-                n = len(k)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "label": part.column(0).take(pa.array(np.repeat(np.arange(n), count))),
-                        "t": np.tile(np.arange(count, dtype=np.int32), n),
-                        "key": k.ravel(),
-                        "h1": np.repeat(part.column(2).to_numpy(), count),
-                    }
-                )
+                for length, part in by_length(b.slice(a, 4096)):
+                    bits, count = tables(most, length, threshold, miss)
+                    k = keys_of(units(matrix(part.column("v"))), bits, count)
+                    n = len(k)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "label": part.column("label").take(pa.array(np.repeat(np.arange(n), count))),
+                            "len": np.full(n * count, length, np.int32),
+                            "t": np.tile(np.arange(count, dtype=np.int32), n),
+                            "key": k.ravel(),
+                            "h1": np.repeat(part.column("h1").to_numpy(), count),
+                        }
+                    )
 
     kind = single.schema["label"].dataType.simpleString()
-    keyed = single.select("label", "v", "h1").mapInArrow(spread, f"label {kind}, t int, key long, h1 long")
+    keyed = single.select("label", "len", "v", "h1").mapInArrow(spread, f"label {kind}, len int, t int, key long, h1 long")
     # Rows that share a key with another; a key of many rows is dealt in tiles.
-    shared = keyed.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = keyed.groupBy("label", "len", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = (
-        keyed.join(shared, ["label", "t", "key"])
+        keyed.join(shared, ["label", "len", "t", "key"])
         .withColumn("c", F.ceil(F.col("n") / tile).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("h1"), F.col("c")).cast("int"))
-        .select("label", "t", "key", "h1", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-        .select("label", "t", F.xxhash64("label", "t", "key").alias("g"), "h1", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("label", "len", "t", "key", "h1", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+        .select("label", "t", F.xxhash64("label", "len", "t", "key").alias("g"), "h1", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     blocks = (
-        met.join(single.select(F.col("h1").alias("h"), "v", "copies"), F.col("h1") == F.col("h"))
-        .select("g", "i", "j", "t", "h1", "own", "copies", "v")
+        met.join(single.select(F.col("h1").alias("h"), "len", "v", "copies"), F.col("h1") == F.col("h"))
+        .select("g", "i", "j", "t", "h1", "own", "copies", "len", "v")
         .repartition("g", "i", "j")
         .sortWithinPartitions("g", "i", "j", "h1")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(length, ROTATIONS)
-        for part, starts in whole_groups(batches, ["g", "i", "j"], 4096):
+        groups = (x for part, _ in whole_groups(batches, ["g", "i", "j"], 4096) for x in by_length(part))
+        for length, part in groups:
+            bits, count = tables(most, length, threshold, miss)
+            starts = group_starts(part, ["g", "i", "j"])
             unit = units(matrix(part.column("v")))
             h, copies = part.column("h1").to_numpy(), part.column("copies").to_numpy()
             i, j, own = (part.column(c).to_numpy() for c in ("i", "j", "own"))
@@ -192,7 +202,7 @@ def near_duplicates(
             ends = np.append(starts[1:], len(h))
             n = np.zeros(len(h), np.int64)
             found = []
-            keys, coded = keys_of(unit, bits, count), encode(unit, turn)
+            keys, coded = keys_of(unit, bits, count), encode(unit, rotations(length, ROTATIONS))
             for u, w in links(unit, keys, part.column("t").to_numpy(), starts, ends, coded, threshold):
                 new = (i[u] == j[u]) | (own[u] != own[w])
                 u, w = u[new], w[new]
