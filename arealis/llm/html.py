@@ -14,7 +14,8 @@ sampled page has keep their prior.
 
 What is never text (scripts, styles, forms' controls, comments in the markup) is
 left out before. A null or empty page, or one without content, gives an empty
-text. Pages are read whole; unclosed or misplaced tags close with what encloses
+text. Inside a content element a name that content bears too (``related``, ``discussion``)
+tells nothing by itself. Pages are read whole, in time linear in their length; unclosed or misplaced tags close with what encloses
 them. Repeated rows give repeated results; other columns are ignored.
 """
 
@@ -37,11 +38,12 @@ SAMPLE = 400
 TIE, KIN, FADE = 0.3, 0.9, 0.5
 
 # Names of the standard and of common practice (fixed values).
-UNSEEN = frozenset("script style noscript template svg math iframe object canvas head select textarea button datalist audio video map".split())
+UNSEEN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas head select textarea button datalist audio video map".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -52,6 +54,8 @@ AWAY_WORDS = frozenset(
     "notices popup modal overlay newsletter subscribe signup login comment comments discussion respond replies reply disqus share sharing social related recommended "
     "breadcrumb breadcrumbs pagination pager widget toolbar skip legal copyright disclaimer tags toc search form".split()
 )
+# Of these, those that an article's own sections and paragraphs also bear.
+MAYBE_WORDS = frozenset("discussion related search form legal notice notices side overlay menu share tags toc reply header footer banner".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HOME_TAGS = frozenset(("article", "main"))
 HOME_WORDS = frozenset("article content main body post entry story text prose".split())
@@ -77,6 +81,7 @@ class Node:
     away: int = 0
     home: int = 0
     sections: int = 0
+    box: Node | None = None  # the nearest element that isn't inline
 
 
 @dataclass
@@ -94,6 +99,11 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order."""
     root = Node("", None, 0, 0)
+    root.box = root
+    opened: dict[str, list[Node]] = {}
+    # Sections that never end are markup of no kind.
+    ended = page.rfind("]]>") + 1
+    page = page[:ended] + page[ended:].replace("<![CDATA[", "<!")
     at, out, current, links, number, place = root, [], None, 0, 0, 0
     end = len(page)
     closed = page.rfind(">")
@@ -105,10 +115,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            box = at
-            while box.tag in INLINE:
-                box = box.parent
-            current = Block(box, box.tag)
+            current = Block(at.box, at.box.tag)
             out.append(current)
         current.parts.append(text)
         if links:
@@ -126,17 +133,16 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[3].lower()
         if m[2]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is root:
+            if not opened.get(tag):
                 if tag not in INLINE:
                     current = None
                 continue
+            node = opened[tag][-1]
             while at is not node.parent:
                 links -= at.tag == "a"
                 if at.tag not in INLINE:
                     current = None
+                opened[at.tag].pop()
                 at = at.parent
             continue
         if tag == "br":
@@ -148,14 +154,16 @@ def blocks(page: str) -> list[Block]:
             continue
         # An open paragraph, list item or cell ends where the next one begins.
         if tag in CLOSES_P:
-            at, links = _closed(at, ("p",), links, stop=CLOSES_P)
+            at, links = _closed(at, ("p",), links, CLOSES_P, opened)
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            at, links = _closed(at, ("p", "li") if tag == "li" else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p", "td", "th", "tr") if tag == "tr" else ("p", "td", "th"), links, stop=frozenset(("ul", "ol", "menu", "dl", "table", "tr" if tag in ("td", "th") else "table")))
+            at, links = _closed(at, ("p", "li") if tag == "li" else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p", "td", "th", "tr") if tag == "tr" else ("p", "td", "th"), links, frozenset(("ul", "ol", "menu", "dl", "table", "tr" if tag in ("td", "th") else "table")), opened)
         number += 1
         node = Node(tag, at, number, at.depth + 1, at.unseen or tag in UNSEEN, at.away, at.home, at.sections)
         _describe(node, tag, m[4])
         if m[4].endswith("/") and tag in ("svg", "math", "path"):
             continue
+        node.box = at.box if tag in INLINE else node
+        opened.setdefault(tag, []).append(node)
         at = node
         links += tag == "a"
         if tag in RAW:
@@ -166,19 +174,16 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def _closed(at: Node, tags: tuple, links: int, stop: frozenset) -> tuple[Node, int]:
-    """Close an open element of ``tags`` that nothing in ``stop`` shields."""
-    node = at
-    while node.parent is not None and node.tag not in tags:
-        if node.tag in stop:
-            return at, links
-        node = node.parent
-    if node.parent is None:
-        return at, links
-    while at is not node.parent:
-        links -= at.tag == "a"
-        at = at.parent
-    return _closed(at, tags, links, stop)
+def _closed(at: Node, tags: tuple, links: int, stop: frozenset, opened: dict[str, list[Node]]) -> tuple[Node, int]:
+    """Close open elements of ``tags`` that nothing in ``stop`` shields. The nearest of
+    each kind is at hand, so what else is open costs nothing."""
+    depth = lambda names: max((opened[t][-1].depth for t in names if opened.get(t)), default=-1)
+    while (near := depth(tags)) > max(0, depth(t for t in stop if t not in tags)):
+        while at.depth >= near:
+            links -= at.tag == "a"
+            opened[at.tag].pop()
+            at = at.parent
+    return at, links
 
 
 def _describe(node: Node, tag: str, marks: str) -> None:
@@ -200,7 +205,7 @@ def _describe(node: Node, tag: str, marks: str) -> None:
         elif tag not in ("html", "body"):
             words = set(NAME.findall(value))
             if node.home or words & HOME_WORDS:
-                words.discard("header")
+                words -= MAYBE_WORDS
             node.away += bool(words & AWAY_WORDS)
             node.home += bool(words & HOME_WORDS) and not words & AWAY_WORDS
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -108,3 +109,39 @@ def test_damaged_archives_are_found():
             list(warc._parsed("f", bad))
     with pytest.raises(ValueError, match="payload digest"):
         list(warc._parsed("f", flipped))
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<section id="discussion"><h2>Discussion</h2><p>Short paragraph.</p></section>', "Discussion Short paragraph."),
+        ('<p class="related">Two sentences stand here. Both of them belong to the text.</p>', "Two sentences stand here. Both of them belong to the text."),
+        ("<p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> is positive.</p>", "The sum a+b is positive."),
+        ('<div class="comments"><p>I liked this one.</p></div><aside>More</aside>', ""),
+    ],
+)
+def test_article_keeps_what_only_a_name_speaks_against(inner, want):
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>First paragraph of the text, with a sentence.</p>{inner}</article><footer>Imprint</footer></body>"
+    assert html.main_text(page, html.PRIOR) == f"Title First paragraph of the text, with a sentence. {want}".strip()
+
+
+@pytest.mark.parametrize(
+    "made",
+    [
+        lambda n: "<div>" * n + "</span>" * (2 * n),
+        lambda n: "<b>" * n + "<p>x" * n,
+        lambda n: "<![CDATA[x>" * n,
+        lambda n: "<b>" * n + "x</div>" * n,
+        lambda n: "<table><tr>" + "<b>" * n + "<td>x" * n,
+    ],
+)
+def test_broken_pages_take_linear_time(made):
+    def seconds(n):
+        page, best = made(n), 9e9
+        for _ in range(3):
+            start = time.process_time()
+            html.blocks(page)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(8000) < 8 * seconds(2000) + 0.05
