@@ -33,7 +33,8 @@ from .common import column_map
 BUCKETS = 1 << 13
 SLICE = 400_000
 STEPS = 12
-MOST = 3
+#: Sizes of language sets tried for every text; beyond, while the likelihood rises.
+TRIED = 3
 #: A further language must gain so many times log(words).
 PENALTY = 3.0
 UNKNOWN = "und"
@@ -119,27 +120,35 @@ class Languages:
         which = np.repeat(np.arange(len(docs)), counts)
         base = np.add.reduceat(top[:, 0], starts)
 
-        def fit(allowed):
+        def fit(allowed, some):
+            """Shares and likelihood of the documents ``some``."""
+            row = np.isin(which, some) if len(some) < len(docs) else slice(None)
+            own, n = like[row], counts[some]
+            at = np.repeat(np.arange(len(some)), n)
+            begin = np.cumsum(n) - n
             share = allowed / allowed.sum(1, keepdims=True)
             for _ in range(STEPS):
-                r = like * share[which]
+                r = own * share[at]
                 r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-                share = np.add.reduceat(r, starts, axis=0) / counts[:, None]
-            value = np.add.reduceat(np.log(np.maximum((like * share[which]).sum(1), 1e-300)), starts) + base
+                share = np.add.reduceat(r, begin, axis=0) / n[:, None]
+            value = np.add.reduceat(np.log(np.maximum((own * share[at]).sum(1), 1e-300)), begin) + base[some]
             return share, value
 
-        share, _ = fit(np.ones((len(docs), len(self.names))))
+        every = np.arange(len(docs))
+        share, _ = fit(np.ones((len(docs), len(self.names))), every)
         order = np.argsort(-share, axis=1, kind="stable")
         rank = np.argsort(order, axis=1, kind="stable")
-        best_value = best = None
-        for k in range(1, min(MOST, len(self.names)) + 1):
-            got, value = fit((rank < k).astype(float))
-            value = value - PENALTY * (k - 1) * np.log(counts + 1)
-            if best is None:
-                best_value, best = value, got
-            else:
-                more = value > best_value
-                best_value, best = np.where(more, value, best_value), np.where(more[:, None], got, best)
+        best, best_value, size = share, np.full(len(docs), -np.inf), np.zeros(len(docs), int)
+        for k in range(1, len(self.names) + 1):
+            # Sets of three are tried for all; larger ones while the last one was better.
+            some = every if k <= TRIED else np.flatnonzero(size == k - 1)
+            if not len(some):
+                break
+            got, value = fit((rank[some] < k).astype(float), some)
+            value = value - PENALTY * (k - 1) * np.log(counts[some] + 1)
+            more = value > best_value[some]
+            won = some[more]
+            best_value[won], best[won], size[won] = value[more], got[more], k
         for d, p in zip(docs, best):
             have = np.argsort(-p, kind="stable")
             have = have[p[have] > 1e-6]

@@ -118,3 +118,38 @@ def test_language_of_odd_rows(spark):
     some = language.train(spark.createDataFrame([("word text", "en"), ("mot texte", "fr"), (None, "fr"), ("x", None)], "text string, lang string"))
     got = [r.g.lang for r in d.select(language.guess_column(some)("text").alias("g")).collect()]
     assert got[:4] == ["und"] * 4 and set(got[4:]) <= {"en", "fr"}
+
+
+def test_language_sets_match_a_plain_loop():
+    """EM and penalised sets, one document and one word at a time, with more than three languages."""
+    rng = np.random.default_rng(6)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    word = lambda k: "".join(rng.choice(list(letters[k]), 6))
+    logs = np.zeros((5, language.BUCKETS))
+    for k in range(5):
+        n = np.bincount(language.grams([" ".join(word(k) for _ in range(3000))])[0], minlength=language.BUCKETS)
+        logs[k] = np.log((n + 0.5) / (n.sum() + 0.5 * language.BUCKETS))
+    model = language.Languages(list("vwxyz"), logs.astype(np.float32))
+    texts = [" ".join(word(k % (m + 1)) for k in range(60)) for m in range(5)] + ["abc", "abc pqr"]
+    for text, got in zip(texts, model.mixtures(texts)):
+        words = [logs[:, language.grams([w])[0]].sum(1) for w in text.split()]
+        like = np.exp(np.array(words) - np.max(words, axis=1, keepdims=True))
+        rest = np.max(words, axis=1).sum()
+
+        def em(allowed):
+            share = allowed / allowed.sum()
+            for _ in range(language.STEPS):
+                share = np.mean([w * share / (w * share).sum() for w in like], axis=0)
+            return share, np.log((like * share).sum(1)).sum() + rest
+
+        order = np.argsort(-em(np.ones(5))[0], kind="stable")
+        best = (-np.inf, None, 0)
+        for k in range(1, 6):
+            if k > 3 and best[2] < k - 1:
+                break
+            share, value = em(np.isin(np.arange(5), order[:k]).astype(float))
+            value -= language.PENALTY * (k - 1) * np.log(len(words) + 1)
+            best = max(best, (value, share, k), key=lambda b: b[0])
+        want = {model.names[j]: best[1][j] for j in range(5) if best[1][j] > 1e-6}
+        assert set(got[2]) == set(want) and got[3] == pytest.approx([want[x] for x in got[2]], abs=1e-3)
+    assert [len(m[2]) for m in model.mixtures(texts[:5])] == [1, 2, 3, 4, 5]
