@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import normal_cdf, ratio
 from .ranks import cumulative_counts, exact_quantiles, with_group_totals
@@ -96,10 +100,51 @@ def _kolmogorov_p(d, n, terms: int = 100):
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(k, F.lit(0.0), term)))
 
 
-def ks_normal(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def kolmogorov_cdf(n: int, d: float) -> float:
+    """P(D_n < d), exact: the middle entry of the n-th power of a banded matrix
+    (Marsaglia, Tsang and Wang, 2003), scaled as it grows."""
+    if d <= 0.5 / n:
+        return 0.0
+    if d >= 1:
+        return 1.0
+    k = int(n * d) + 1
+    h, m = k - n * d, 2 * k - 1
+    factorial = np.array([math.factorial(i) for i in range(m + 2)], float)
+    i, j = np.indices((m, m))
+    step = np.tril(np.ones((m, m)), 1)
+    powers = h ** np.arange(1, m + 1)
+    step[:, 0] -= powers
+    step[-1] -= powers[::-1]
+    step[-1, 0] += max(2 * h - 1, 0.0) ** m
+    step /= np.where(i - j + 1 > 0, factorial[np.maximum(i - j + 1, 0)], 1.0)
+    power, exponent, out, shift = step, 0, np.eye(m), 0
+    left = n
+    while left:
+        if left & 1:
+            out, shift = out @ power, shift + exponent
+        power, exponent, left = power @ power, 2 * exponent, left >> 1
+        if power[k - 1, k - 1] > 1e140:
+            power, exponent = power / 1e140, exponent + 140
+        if out[k - 1, k - 1] > 1e140:
+            out, shift = out / 1e140, shift + 140
+    return float(min(1.0, math.exp(math.log(out[k - 1, k - 1]) + shift * math.log(10) + math.lgamma(n + 1) - n * math.log(n))))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(n: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or pd.isna(k) else 1 - kolmogorov_cdf(int(k), float(x)) for k, x in zip(n, d)], dtype="float64")
+
+
+#: Groups of fewer values, without ties, get the exact distribution.
+EXACT = 100
+
+
+def ks_normal(df: DataFrame, value: str, by: Sequence[str] = (), exact: int = EXACT) -> DataFrame:
     """One-sample Kolmogorov-Smirnov distance from N(mean, sd) per group.
 
-    Ties and hot groups are handled by exact distributed cumulative counts.
+    Ties and hot groups are handled by exact distributed cumulative counts. The
+    p-value is that of the exact distribution in groups of fewer than ``exact``
+    values without ties, else that of the asymptotic series; ``method`` says which.
     """
     by = list(by)
     known = df.where(F.col(value).isNotNull()).select(*by, value)
@@ -111,8 +156,12 @@ def ks_normal(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     stats = with_group_totals(stats, by, {"_sd": sd}) if by else stats.withColumn("_sd", stats.agg(sd).scalar())
     cdf = normal_cdf(ratio(F.col(value) - F.col("_m"), "_sd"))
     gap = F.greatest(F.col("cum") / F.col("total") - cdf, cdf - (F.col("cum") - F.col("n")) / F.col("total"))
-    out = stats.groupBy(*by).agg(F.max("total").alias("n"), F.max(gap).alias("d"))
-    return out.select(*by, "n", "d", _kolmogorov_p(F.col("d"), F.col("n")).alias("p_value"))
+    out = stats.groupBy(*by).agg(F.max("total").alias("n"), F.max(gap).alias("d"), F.max("n").alias("_ties"))
+    small = (F.col("n") < exact) & (F.col("_ties") == 1)
+    series = _kolmogorov_p(F.col("d"), F.col("n"))
+    return out.withColumn("_e", _exact_p(F.when(small, F.col("n")), F.when(small, F.col("d")))).select(
+        *by, "n", "d", F.when(small, F.col("_e")).otherwise(series).alias("p_value"), F.when(small, "exact").otherwise("asymptotic").alias("method")
+    )
 
 
 def jarque_bera(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from . import blocks
 from .diagnostics import complete_rows, correlation_matrix, means_and_moments, vif
 from .ranks import reliable_checkpoint, with_group_totals
 
@@ -74,6 +75,8 @@ def poisson_regression(df: DataFrame, label: str, features: Sequence[str], offse
         maxIter=max_iter,
         tol=tol,
     ).fit(frame)
+    if fit.summary.numIterations >= max_iter:
+        raise RuntimeError(f"not converged: {max_iter} steps")
     return LinearFit(
         {"(Intercept)": float(fit.intercept), **{f: float(b) for f, b in zip(features, fit.coefficients.toArray())}}
     )
@@ -144,6 +147,32 @@ def principal_components(df: DataFrame, columns: Sequence[str], missing: str = "
     return Components(cols, [float(means[c]) for c in cols], [float(s) for s in np.sqrt(np.diag(m))], vectors, values)
 
 
+def supplementary(df: DataFrame, pc: Components, numeric: Sequence[str] = (), categorical: Sequence[str] = (), k: int = 3) -> DataFrame:
+    """Columns that take no part in the components, on the first ``k`` of them:
+    (variable, level, component, value, n).
+
+    A numeric column has its correlation with the scores, over the rows where it is
+    known. A category has its barycentre, the mean score of its rows; a missing one
+    is a level of its own, NULL.
+    """
+    k = min(k, len(pc.columns))
+    d = df.select(*numeric, *categorical, *[pc.score(i).alias(f"_s{i}") for i in range(k)])
+    out = None
+    if numeric:
+        cells = [
+            F.struct(F.lit(c).alias("variable"), F.lit(None).cast("string").alias("level"), F.lit(i + 1).alias("component"),
+                     F.corr(c, f"_s{i}").alias("value"), F.count(c).alias("n"))
+            for c in numeric for i in range(k)
+        ]
+        out = d.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    for c in categorical:
+        means = d.groupBy(F.col(c).cast("string").alias("level")).agg(*[F.avg(f"_s{i}").alias(f"m{i}") for i in range(k)], F.count(F.lit(1)).alias("n"))
+        cells = F.array(*[F.struct(F.lit(i + 1).alias("component"), F.col(f"m{i}").alias("value")) for i in range(k)])
+        part = means.select(F.lit(c).alias("variable"), "level", "n", F.inline(cells)).select("variable", "level", "component", "value", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def composite_index(df: DataFrame, columns: Sequence[str], name: str = "SES") -> DataFrame:
     """First component score as a column; older columns of that prefix go."""
     pc = principal_components(df, columns)
@@ -200,124 +229,15 @@ def _wide(df: DataFrame, area: str, year: str, years: Sequence[int], columns: Ma
     )
 
 
-def _dots(df: DataFrame, pairs: Sequence[tuple[str, str]], t: int) -> np.ndarray:
-    """Column-wise dot products, one row for all years."""
-    row = df.agg(*[F.sum(F.col(f"{a}{k}") * F.col(f"{b}{k}")).alias(f"d{q}_{k}") for q, (a, b) in enumerate(pairs) for k in range(t)]).first()
-    return np.array([[row[f"d{q}_{k}"] or 0.0 for k in range(t)] for q in range(len(pairs))])
-
-
-def _spatial_cg(
-    state: DataFrame,
-    edges: DataFrame,
-    area: str,
-    t: int,
-    tau: np.ndarray,
-    mix: np.ndarray | None,
-    tol: float,
-    max_iter: int,
-) -> Solution:
-    """Preconditioned conjugate gradients for ``(W + A) x = b``.
-
-    ``state`` holds w_k (weights) and b_k per area. Without ``mix`` the years are
-    independent systems ``diag(w_k) + tau_k * L`` and each has its own step; with
-    ``mix`` they are one system ``diag(w) + tau * (mix (x) L)``.
-
-    The single-reduction form is used: a step is one stored product (one shuffle
-    of map-side sums) and one row of dot products. Edges and state are hashed
-    alike on the area, so the join of the step moves nothing.
-    """
-    ks = range(t)
-    one_system = mix is not None
-    diag_mix = np.diag(mix) if one_system else np.ones(t)
-    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = edges.groupBy("i").agg(F.count(F.lit(1)).cast("double").alias("_deg")).withColumnRenamed("i", area)
-    edges = reliable_checkpoint(edges.select("i", "j").repartition(parts, "j"))
-
-    def vector(values) -> Column:
-        # an array literal is passed to the generated code by reference, so the
-        # code of all steps is the same and is compiled once
-        return F.array(*[F.lit(float(v)) for v in values])
-
-    def preconditioned(k: int) -> Column:
-        return F.coalesce(ratio(F.col(f"r{k}"), F.col(f"m{k}")), F.lit(0.0))
-
-    def with_product(d: DataFrame) -> DataFrame:
-        """Add u = r/m and q = (W + A) u."""
-        d = d.select("*", *[preconditioned(k).alias(f"u{k}") for k in ks])
-        near = d.select(F.col(area).alias("j"), *[f"u{k}" for k in ks])
-        sums = edges.join(near, "j").groupBy("i").agg(*[F.sum(f"u{k}").alias(f"_n{k}") for k in ks])
-        lap = [F.col("_deg") * F.col(f"u{k}") - F.coalesce(f"_n{k}", F.lit(0.0)) for k in ks]
-        if one_system:
-            spatial = []
-            for k in ks:
-                acc = F.lit(0.0)
-                for l in ks:
-                    if mix[k, l] != 0:
-                        acc = acc + F.lit(float(tau[k] * mix[k, l])) * lap[l]
-                spatial.append(acc)
-        else:
-            spatial = [F.lit(float(tau[k])) * lap[k] for k in ks]
-        return d.join(sums.withColumnRenamed("i", area), area, "left").select(
-            *d.columns, *[(F.col(f"w{k}") * F.col(f"u{k}") + spatial[k]).alias(f"q{k}") for k in ks]
-        )
-
-    s = state.repartition(parts, area).join(degree, area, "left").fillna(0.0, ["_deg"])
-    s = s.select(
-        area,
-        "_deg",
-        *[F.col(f"w{k}") for k in ks],
-        # an area without weight and neighbours has no information: it keeps 0
-        *[(F.col(f"w{k}") + F.lit(float(tau[k] * diag_mix[k])) * F.col("_deg")).alias(f"m{k}") for k in ks],
-        *[F.lit(0.0).alias(f"{c}{k}") for c in ("x", "p", "s") for k in ks],
-        *[F.col(f"b{k}").alias(f"r{k}") for k in ks],
-    )
-    s = reliable_checkpoint(with_product(s))
-    rz, qz, rr = _dots(s, [("r", "u"), ("q", "u"), ("r", "r")], t)
-    norm = rr.copy()
-    history: list[float] = []
-
-    def relative(rr: np.ndarray) -> float:
-        if one_system:
-            return float(np.sqrt(rr.sum() / norm.sum())) if norm.sum() > 0 else 0.0
-        ok = norm > 0
-        return float(np.sqrt((rr[ok] / norm[ok]).max())) if ok.any() else 0.0
-
-    def spread(v: np.ndarray) -> np.ndarray:
-        return np.full(t, v.sum()) if one_system else v
-
-    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.divide(a, b, out=np.zeros(t), where=b != 0)
-
-    rz, qz = spread(rz), spread(qz)
-    alpha, beta = over(rz, qz), np.zeros(t)
-    it = 0
-    while it < max_iter and relative(rr) > tol:
-        it += 1
-        d = s.select("*", vector(alpha).alias("_a"), vector(beta).alias("_b"))
-        d = d.select(
-            area,
-            "_deg",
-            "_a",
-            *[F.col(f"{c}{k}") for c in ("w", "m", "x", "r") for k in ks],
-            *[(F.col(f"u{k}") + F.get("_b", F.lit(k)) * F.col(f"p{k}")).alias(f"p{k}") for k in ks],
-            *[(F.col(f"q{k}") + F.get("_b", F.lit(k)) * F.col(f"s{k}")).alias(f"s{k}") for k in ks],
-        ).select(
-            area,
-            "_deg",
-            *[F.col(f"{c}{k}") for c in ("w", "m", "p", "s") for k in ks],
-            *[(F.col(f"x{k}") + F.get("_a", F.lit(k)) * F.col(f"p{k}")).alias(f"x{k}") for k in ks],
-            *[(F.col(f"r{k}") - F.get("_a", F.lit(k)) * F.col(f"s{k}")).alias(f"r{k}") for k in ks],
-        )
-        # stored every step: the product reads its input twice, so an uncut plan
-        # would double with each step
-        s = reliable_checkpoint(with_product(d))
-        rz_new, qz, rr = _dots(s, [("r", "u"), ("q", "u"), ("r", "r")], t)
-        rz_new, qz = spread(rz_new), spread(qz)
-        beta = over(rz_new, rz)
-        alpha = over(rz_new, qz - over(beta * rz_new, alpha))
-        rz = rz_new
-        history.append(relative(rr))
-    return Solution(s.select(area, *[f"x{k}" for k in ks]), it, relative(rr), history, tol).checked()
+def _in_blocks(state: DataFrame, edges: DataFrame, area: str, k1: np.ndarray, tol: float, max_iter: int) -> Solution:
+    """Solve ``diag(w_k) + K1 (x) L`` for ``state(area, w0.., b0..)``, in blocks of areas."""
+    t = len(k1)
+    zero = F.lit(0.0)
+    w = F.array(*[F.col(f"w{k}") if k == l else zero for k in range(t) for l in range(t)])
+    systems = state.select(area, w.alias("w"), F.array(*[F.col(f"b{k}") for k in range(t)]).alias("b"))
+    sol = blocks.solve(systems, blocks.dealt(edges, state.select(area), t), k1, None, tol, max_iter)
+    values = sol.values.select(area, *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(t)])
+    return Solution(values, sol.iterations, sol.residual, sol.history, tol).checked()
 
 
 def smooth_areas(
@@ -340,7 +260,7 @@ def smooth_areas(
         F.coalesce(F.sum(weight), F.lit(0.0)).cast("double").alias("w0"),
         F.coalesce(F.sum(F.col(weight) * F.col(value)), F.lit(0.0)).cast("double").alias("b0"),
     )
-    return _spatial_cg(state, edges, area, 1, np.array([tau]), None, tol, max_iter)
+    return _in_blocks(reliable_checkpoint(state), edges, area, np.array([[float(tau)]]), tol, max_iter)
 
 
 def slope_moments(df: DataFrame, area: str, x: str, y: str) -> DataFrame:
@@ -354,9 +274,7 @@ def smooth_slopes(df: DataFrame, edges: DataFrame, x: str, y: str, tau: float, a
     state = slope_moments(df, area, x, y).select(
         area, F.col("sxx").cast("double").alias("w0"), F.col("sxy").cast("double").alias("b0")
     )
-    return _spatial_cg(
-        state, edges, area, 1, np.array([tau]), None, kw.get("tol", 1e-8), kw.get("max_iter", 500)
-    )
+    return _in_blocks(reliable_checkpoint(state), edges, area, np.array([[float(tau)]]), kw.get("tol", 1e-8), kw.get("max_iter", 500))
 
 
 def smooth_years(df: DataFrame, weight: str, value: str, tau: float, year: str = "year") -> dict[int, float]:
@@ -391,7 +309,6 @@ def smooth_interaction(
     years: Sequence[int],
     area: str = "area",
     year: str = "year",
-    equal_weights: bool | None = None,
     tol: float = 1e-8,
     max_iter: int = 500,
 ) -> Solution:
@@ -399,9 +316,7 @@ def smooth_interaction(
 
     The result has one row per area and a column ``x<k>`` per year. I is closed
     form. II couples only the years of one area, so each area is solved on its
-    own. III is a set of independent spatial systems. IV with weights that do not
-    change over time is rotated to the eigenvectors of the year structure, which
-    leaves independent spatial systems; with changing weights it is one system.
+    own. III and IV are systems over the graph, solved in blocks.
     """
     t = len(years)
     rows = df.select(area, year, F.col(weight).cast("double").alias("_w"), (F.col(weight) * F.col(value)).cast("double").alias("_b"))
@@ -412,31 +327,10 @@ def smooth_interaction(
         return Solution(state.select(area, *x), 0, 0.0)
     if kind == "II":
         return Solution(_solve_each_area(state, area, t, tau), 0, 0.0)
-    if kind == "III":
-        return _spatial_cg(state, edges, area, t, np.full(t, float(tau)), None, tol, max_iter)
-    if kind != "IV":
+    if kind not in ("III", "IV"):
         raise ValueError("kind must be I, II, III or IV")
-    if equal_weights is None:
-        spread = state.agg(F.max(F.greatest(*[F.abs(F.col(f"w{k}") - F.col("w0")) for k in ks]))).first()[0]
-        equal_weights = (spread or 0.0) == 0.0
-    r = rw1_matrix(t)
-    if not equal_weights:
-        return _spatial_cg(state, edges, area, t, np.full(t, float(tau)), r, tol, max_iter)
-    lam, u = np.linalg.eigh(r)
-    lam = np.maximum(lam, 0.0)
-
-    def rotate(src: str, m: np.ndarray, dst: str) -> list[Column]:
-        out = []
-        for k in ks:
-            acc = F.lit(0.0)
-            for q in ks:
-                acc = acc + F.lit(float(m[q, k])) * F.col(f"{src}{q}")
-            out.append(acc.alias(f"{dst}{k}"))
-        return out
-
-    turned = state.select(area, *[F.col("w0").alias(f"w{k}") for k in ks], *rotate("b", u, "b"))
-    sol = _spatial_cg(turned, edges, area, t, tau * lam, None, tol, max_iter)
-    return Solution(sol.values.select(area, *rotate("x", u.T, "x")), sol.iterations, sol.residual, sol.history, tol)
+    k1 = float(tau) * (np.eye(t) if kind == "III" else rw1_matrix(t))
+    return _in_blocks(reliable_checkpoint(state), edges, area, k1, tol, max_iter)
 
 
 def _solve_each_area(state: DataFrame, area: str, t: int, tau: float) -> DataFrame:
@@ -502,6 +396,8 @@ class ModelSpec:
     area_slope: bool = False
     year_slope: bool = False
     interaction: str | None = None
+    area: bool = True
+    year: bool = True
 
 
 # the nested family: base, one slope, the other, both, and both with each type

@@ -8,8 +8,9 @@ is equi-joins on grid keys:
   knows the few edges that run through it and, for each polygon, whether its
   lower edge line is inside. A point meets only the rows of its own cell, so
   points are never paired with whole polygons.
-* ``overlay_area`` sums closed-form integrals over pairs of edges that share a
-  vertical strip. It is exact for any simple polygons, with holes.
+* ``overlay_area`` meets two layers in the cells of one grid: a cell inside a polygon
+  counts whole, and only in cells where both have a border do edges meet, in closed form. It
+  is exact for any simple polygons, with holes.
 """
 
 from __future__ import annotations
@@ -113,12 +114,6 @@ def _edge_right(e: Column, x: Column, y: Column) -> Column:
     )
 
 
-def mean_edge_length(edges: DataFrame) -> float:
-    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    value = edges.agg(F.avg(length)).first()[0]
-    return float(value) if value else 1.0
-
-
 def grid_size(edges: DataFrame, geom: str = "geom") -> float:
     """Cell size of a layer: the mean edge length, or the side of the square that
     an edge has to itself where that is more. The cells that cover the layer are
@@ -271,92 +266,86 @@ def rectangles_to_vertices(rects: DataFrame, geom: str) -> DataFrame:
     )
 
 
-def rectangles_to_edges(rects: DataFrame, geom: str) -> DataFrame:
-    """Edge table of axis-aligned rectangles ``(geom, x0, y0, x1, y1)``."""
-    edge = lambda *c: F.struct(*[F.col(n).cast("double").alias(a) for n, a in zip(c, ("x1", "y1", "x2", "y2"))])
-    ring = F.array(edge("x0", "y0", "x1", "y0"), edge("x1", "y0", "x1", "y1"), edge("x1", "y1", "x0", "y1"), edge("x0", "y1", "x0", "y0"))
-    return rects.select(geom, F.lit(0).alias("part"), F.lit(0).alias("ring"), F.explode(ring).alias("e")).select(geom, *RING, "e.*")
+_PIECES = "array<struct<w:double,a:double,b:double,fa:double,fb:double>>"
 
 
-def _strips(lo: Column, hi: Column, h: float) -> Column:
-    return F.sequence(F.floor(lo / F.lit(h)), F.floor(hi / F.lit(h)))
+def covered_cells(edges: DataFrame, size: float, geom: str = "geom", x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """What every polygon covers of the cells of a grid: ``(geom, cx, cy, n, cover, pieces)``.
 
-
-def _strip_edges(edges: DataFrame, h: float, geom: str, tag: str) -> DataFrame:
-    """Signed edge pieces per vertical strip: the area of a polygon is the sum of
-    ``sign * integral of the edge``. Vertical edges carry no area."""
+    Cell (cx, cy) begins at ``(x0 + cx * size, y0 + cy * size)``. A cell in the interior
+    has no ``pieces`` and is covered whole. In a border cell the polygon is a sum of
+    pieces: ``w`` times the part of the cell above a line from ``fa`` under the top at
+    x = a to ``fb`` at x = b. There is one for each edge in the cell, one left of each
+    crossing with the lower line, and one for the state of that line at the right end.
+    ``cover`` is the area, ``n`` the number of pieces.
+    """
+    h = F.lit(float(size))
     turn = ring_areas(edges, geom).select(
-        F.col(geom).alias("_g"),
-        F.col("part").alias("_p"),
-        F.col("ring").alias("_r"),
+        F.col(geom).alias("_g"), F.col("part").alias("_p"), F.col("ring").alias("_r"),
         (F.signum("signed_area") * F.when(F.col("ring") == 0, 1).otherwise(-1)).alias("_turn"),
-    )
-    e = edges.where(F.col("x1") != F.col("x2")).join(
-        turn, (edges[geom] == F.col("_g")) & (F.col("part") == F.col("_p")) & (F.col("ring") == F.col("_r"))
-    )
-    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    )
+    e = edges.join(turn, (edges[geom] == F.col("_g")) & (F.col("part") == F.col("_p")) & (F.col("ring") == F.col("_r")))
+    e = e.select(geom, "_turn", *[(F.col(c) - F.lit(float(o))).alias(c) for c, o in (("x1", x0), ("y1", y0), ("x2", x0), ("y2", y0))])
+    swap = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    # u is 1 where the polygon lies left of the edge as it goes right (or up)
     e = e.select(
-        geom,
-        (F.col("_turn") * F.when(F.col("x2") < F.col("x1"), 1).otherwise(-1)).alias("sign"),
-        lo.alias("lo"),
-        hi.alias("hi"),
-        slope.alias("slope"),
-        F.when(F.col("x1") <= F.col("x2"), F.col("y1")).otherwise(F.col("y2")).alias("ylo"),
-        F.explode(_strips(lo, hi, h)).alias("strip"),
-    )
-    a = F.greatest(F.col("lo"), F.col("strip") * F.lit(h))
-    b = F.least(F.col("hi"), (F.col("strip") + 1) * F.lit(h))
-    return e.where(b > a).select(
-        F.col(geom).alias(tag),
-        F.col("strip").alias(f"{tag}_strip"),
-        F.col("sign").alias(f"{tag}_s"),
-        a.alias(f"{tag}_a"),
-        b.alias(f"{tag}_b"),
-        F.col("lo").alias(f"{tag}_x"),
-        F.col("ylo").alias(f"{tag}_y"),
-        F.col("slope").alias(f"{tag}_m"),
-    )
-
-
-def edge_boxes(edges: DataFrame, geom: str = "geom") -> DataFrame:
-    """Bounding boxes from the edges: every vertex begins one."""
-    return bounding_boxes(edges.select(geom, F.col("x1").alias("x"), F.col("y1").alias("y")), geom)
-
-
-def mean_extent(boxes: DataFrame) -> float:
-    """Average side of bounding boxes."""
-    side = (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2
-    value = boxes.agg(F.avg(side)).first()[0]
-    return float(value) if value else 1.0
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, lgeom: str, rgeom: str, h: float) -> DataFrame:
-    """Pairs of two tables of boxes that overlap, found through shared grid cells.
-
-    ``h`` should be near the extent of the larger layer: its boxes then take a
-    few cells each and the boxes of the other layer one. A pair is kept only in
-    the cell that holds the lower-left corner of the overlap, so no distinct is
-    needed.
-    """
-    def cells(boxes: DataFrame, geom: str, p: str) -> DataFrame:
-        box = boxes.withColumnsRenamed({c: p + c for c in ("x0", "y0", "x1", "y1")})
-        return box.select(
-            "*", F.explode(_strips(F.col(p + "x0"), F.col(p + "x1"), h)).alias("_bx")
-        ).select("*", F.explode(_strips(F.col(p + "y0"), F.col(p + "y1"), h)).alias("_by"))
-
-    a, b = cells(left, lgeom, "_l"), cells(right, rgeom, "_r")
-    x0, y0 = F.greatest("_lx0", "_rx0"), F.greatest("_ly0", "_ry0")
-    x1, y1 = F.least("_lx1", "_rx1"), F.least("_ly1", "_ry1")
-    return (
-        a.join(b, ["_bx", "_by"])
-        .where((x0 < x1) & (y0 < y1))
-        .where((F.floor(x0 / F.lit(h)) == F.col("_bx")) & (F.floor(y0 / F.lit(h)) == F.col("_by")))
-        .select(
-            lgeom, rgeom, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"),
-            F.greatest(F.col("_ly1") - F.col("_ly0"), F.col("_ry1") - F.col("_ry0")).alias("height"),
-        )
-    )
+        geom, pick("x1", "x2").alias("xl"), pick("y1", "y2").alias("yl"), pick("x2", "x1").alias("xr"), pick("y2", "y1").alias("yr"),
+        (F.col("_turn") * F.when(swap, -1).otherwise(1)).alias("u"),
+    )
+    low, high = F.least("yl", "yr"), F.greatest("yl", "yr")
+    rows = e.select("*", F.explode(F.sequence(F.floor(low / h), F.floor(high / h))).alias("cy"))
+    bottom, top = F.col("cy") * h, (F.col("cy") + 1) * h
+    within = lambda x: F.greatest(F.col("xl"), F.least(F.col("xr"), x))
+    x_at = lambda y: within(F.when(F.col("yl") != F.col("yr"), F.col("xl") + (F.col("xr") - F.col("xl")) * (y - F.col("yl")) / F.nullif(F.col("yr") - F.col("yl"), F.lit(0.0))))
+    a, b = F.greatest(low, F.least(bottom, high)), F.least(high, F.greatest(top, low))
+    flat = F.col("yl") == F.col("yr")
+    xa, xb = F.when(flat, F.col("xl")).otherwise(x_at(a)), F.when(flat, F.col("xr")).otherwise(x_at(b))
+    crossing = F.when((low <= bottom) & (bottom < high), x_at(bottom))
+    rows = rows.select(
+        "*", F.least(xa, xb).alias("_from"), F.greatest(xa, xb).alias("_to"), crossing.alias("_x"),
+    ).withColumn("_c", F.floor(F.col("_x") / h))
+    # the small margin absorbs rounding at cell borders
+    cut = rows.select("*", F.explode(F.sequence(F.floor(F.col("_from") / h - F.lit(1e-9)), F.floor(F.col("_to") / h + F.lit(1e-9)))).alias("cx"))
+    left, right = F.col("cx") * h, (F.col("cx") + 1) * h
+    pa, pb = F.greatest("_from", left), F.least("_to", right)
+    slope = (F.col("yr") - F.col("yl")) / F.nullif(F.col("xr") - F.col("xl"), F.lit(0.0))
+    under = lambda x: F.greatest(F.lit(0.0), F.least(h, top - (F.col("yl") + slope * (x - F.col("xl")))))
+    # an edge along the lower line is below the state just above it
+    line = F.when((pb > pa) & ~(flat & (F.col("yl") == bottom)), F.struct(F.col("u").alias("w"), pa.alias("a"), pb.alias("b"), under(pa).alias("fa"), under(pb).alias("fb")))
+    here = F.col("_c") == F.col("cx")
+    step = F.when(here, F.when(F.col("yr") > F.col("yl"), F.col("u")).otherwise(-F.col("u")))
+    below = F.when(here & (F.col("_x") > left), F.struct(step.alias("w"), left.alias("a"), F.col("_x").alias("b"), h.alias("fa"), h.alias("fb")))
+    border = (
+        cut.select(geom, "cx", "cy", line.alias("line"), below.alias("below"), F.coalesce(step, F.lit(0)).alias("step"))
+        .groupBy(geom, "cx", "cy")
+        .agg(F.concat(F.collect_list("line"), F.collect_list("below")).cast(_PIECES).alias("pieces"), F.sum("step").alias("step"))
+    )
+    # A window over the border cells of one grid row of one polygon: the crossings to
+    # the right give the state, the gap to the next border cell is the interior.
+    row = W.partitionBy(geom, "cy").orderBy("cx")
+    state = F.coalesce(F.sum("step").over(row.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    border = border.select("*", F.round(state).cast("int").alias("state"), F.lead("cx").over(row).alias("next"))
+    base = F.array(F.struct(F.lit(1.0).alias("w"), left.alias("a"), right.alias("b"), h.alias("fa"), h.alias("fb"))).cast(_PIECES)
+    none = F.array().cast(_PIECES)
+    border = border.withColumn("pieces", F.concat("pieces", F.when(F.col("state") == 1, base).otherwise(none)))
+    area = F.aggregate("pieces", F.lit(0.0), lambda acc, p: acc + p["w"] * (p["b"] - p["a"]) * (p["fa"] + p["fb"]) / 2)
+    gap = border.where((F.col("state") == 1) & (F.col("next") > F.col("cx") + 1)).select(
+        geom, F.explode(F.sequence(F.col("cx") + 1, F.col("next") - 1)).alias("cx"), "cy", F.lit(1).alias("n"), (h * h).alias("cover"), F.lit(None).cast(_PIECES).alias("pieces")
+    )
+    found = border.select(geom, "cx", "cy", F.size("pieces").alias("n"), area.alias("cover"), "pieces").where("n > 0")
+    return found.unionByName(gap)
+
+
+def _shared(p: Column, q: Column) -> Column:
+    """Area that two pieces of one cell share."""
+    a, b = F.greatest(p["a"], q["a"]), F.least(p["b"], q["b"])
+    at = lambda t, x: t["fa"] + (t["fb"] - t["fa"]) * ((x - t["a"]) / (t["b"] - t["a"]))
+    pa, pb, qa, qb = at(p, a), at(p, b), at(q, a), at(q, b)
+    da, db = F.abs(pa - qa), F.abs(pb - qb)
+    crossed = (pa - qa) * (pb - qb) < 0
+    gap = F.when(crossed, (da * da + db * db) / F.nullif(2 * (da + db), F.lit(0.0))).otherwise((da + db) / 2)
+    return F.when(b > a, p["w"] * q["w"] * (b - a) * ((pa + pb + qa + qb) / 4 - gap / 2)).otherwise(F.lit(0.0))
 
 
 def overlay_area(
@@ -364,46 +353,38 @@ def overlay_area(
     right: DataFrame,
     lgeom: str = "left_geom",
     rgeom: str = "right_geom",
-    strip: float | None = None,
+    cell: float | None = None,
     name: str = "area",
     noise: float = 1e-12,
+    crowd: int = 1 << 20,
 ) -> DataFrame:
     """One row per intersecting pair of polygons with the area they share.
 
-    The overlap is ``sum s_e * s_f * integral min(e, f)`` over pairs of edges in
-    the same strip of the same candidate pair, with heights measured from the
-    pair's own corner. Pairs that only touch, or are apart, are left out: their sum
-    is rounding, which is at most ``noise`` times the width of the boxes' overlap
-    times the height of the taller box, whatever the unit.
+    Polygons of both layers meet in the cells of one grid. A cell inside one of them
+    adds what the other covers of it; only where both have a border in a cell do their
+    edges meet. The cell size is the larger one of ``grid_size``, so that the coarser layer has
+    few edges in a cell and pairs are linear in the edges of the other; it is halved while a
+    pair of polygons has over ``crowd`` pairs of edges in one cell. Pairs that only touch, or are
+    apart, are left out: their sum is rounding, at most ``noise`` times their shared cells.
     """
-    # edges and boxes of both layers are built once
+    # edges of both layers are built once
     left, right = stored_edges(left, lgeom), stored_edges(right, rgeom)
-    lbox, rbox = edge_boxes(left, lgeom), edge_boxes(right, rgeom)
-    h = float(strip) if strip else mean_edge_length(right)
-    grid = max(mean_extent(lbox), mean_extent(rbox))
-    pairs = candidate_pairs(lbox, rbox, lgeom, rgeom, grid).withColumn(
-        "_strip", F.explode(_strips(F.col("x0"), F.col("x1"), h))
-    )
-    le, re_ = _strip_edges(left, h, lgeom, "_e"), _strip_edges(right, h, rgeom, "_f")
-    j = pairs.join(le, (F.col(lgeom) == F.col("_e")) & (F.col("_strip") == F.col("_e_strip"))).join(
-        re_, (F.col(rgeom) == F.col("_f")) & (F.col("_strip") == F.col("_f_strip"))
-    )
-    a, b = F.greatest("_e_a", "_f_a"), F.least("_e_b", "_f_b")
-    # heights are taken relative to the pair's lower bound, which cancels over
-    # closed rings and keeps the sums, and their rounding, small
-    at = lambda t, x: (F.col(f"{t}_y") - F.col("y0")) + F.col(f"{t}_m") * (x - F.col(f"{t}_x"))
-    ea, eb, fa, fb = at("_e", a), at("_e", b), at("_f", a), at("_f", b)
-    da, db = F.abs(ea - fa), F.abs(eb - fb)
-    same_side = (ea - fa) * (eb - fb) >= 0
-    gap = F.when(same_side, (da + db) / 2).otherwise((da * da + db * db) / F.nullif(2 * (da + db), F.lit(0.0)))
-    low = (b - a) * ((ea + eb + fa + fb) / 4 - gap / 2)
-    return (
-        j.where(b > a)
-        .groupBy(lgeom, rgeom)
-        .agg(F.sum(F.col("_e_s") * F.col("_f_s") * low).alias(name), F.max((F.col("x1") - F.col("x0")) * F.col("height")).alias("_size"))
-        .where(F.col(name) > F.lit(noise) * F.col("_size"))
-        .drop("_size")
-    )
+    box = lambda e: e.agg(F.min("x1"), F.min("y1")).first()
+    x0, y0 = (float(v) if v is not None else 0.0 for v in box(left))
+    h = float(cell) if cell else max(grid_size(left, lgeom), grid_size(right, rgeom))
+    for _ in range(16):
+        a = covered_cells(left, h, lgeom, x0, y0).withColumnsRenamed({"n": "_n", "cover": "_u", "pieces": "_p"})
+        b = covered_cells(right, h, rgeom, x0, y0).withColumnsRenamed({"n": "_m", "cover": "_v", "pieces": "_q"})
+        most = [(c.where(f"{p} IS NOT NULL").agg(F.max(n)).first()[0] or 0) for c, p, n in ((a, "_p", "_n"), (b, "_q", "_m"))]
+        if most[0] * most[1] <= crowd:
+            break
+        h /= 2
+    else:
+        raise ValueError(f"over {crowd} pairs of edges of two polygons meet in one place")
+    both = F.aggregate("_p", F.lit(0.0), lambda s, p: s + F.aggregate("_q", F.lit(0.0), lambda t, q: t + _shared(p, q)))
+    shared = F.when(F.col("_p").isNull(), F.col("_v")).when(F.col("_q").isNull(), F.col("_u")).otherwise(both)
+    found = a.join(b, ["cx", "cy"]).groupBy(lgeom, rgeom).agg(F.sum(shared).alias(name), F.count(F.lit(1)).alias("_cells"))
+    return found.where(F.col(name) > F.lit(noise * h * h) * F.col("_cells")).drop("_cells")
 
 
 # ------------------------------------------------------------------- covariates
@@ -415,21 +396,16 @@ def zonal_statistic(cells: DataFrame, vertices: DataFrame, cell: float, geom: st
     ``cells`` has (x, y, value) at cell centres and the ``by`` columns (year).
     ``mean`` and ``sum`` weight by coverage; ``min`` and ``max`` take every cell
     that is touched. The coverage is exact and computed once per grid position,
-    not once per layer. Every polygon has a row under each of the ``by`` keys that
+    not once per layer; cells inside a polygon count whole. Every polygon has a row under each of the ``by`` keys that
     occur; without a known cell its value is NULL.
     """
-    half = F.lit(cell / 2)
-    centres = cells.select("x", "y").distinct()
-    rects = centres.select(
-        F.struct("x", "y").alias("_cell"),
-        (F.col("x") - half).alias("x0"),
-        (F.col("y") - half).alias("y0"),
-        (F.col("x") + half).alias("x1"),
-        (F.col("y") + half).alias("y1"),
-    )
-    squares = reliable_checkpoint(rectangles_to_edges(rects, "_cell"))
-    cover = overlay_area(vertices, squares, geom, "_cell", strip=cell, name="_cover")
-    v = cover.select(geom, F.col("_cell.x").alias("x"), F.col("_cell.y").alias("y"), "_cover").join(cells, ["x", "y"])
+    # the raster is the grid: its cells need no edges
+    first = cells.agg(F.min("x"), F.min("y")).first()
+    x0, y0 = (0.0 if v is None else float(v) - cell / 2 for v in first)
+    place = lambda c, o: F.floor((F.col(c) - F.lit(o)) / F.lit(cell))
+    cover = covered_cells(stored_edges(vertices, geom), cell, geom, x0, y0).where(F.col("cover") > F.lit(1e-12 * cell * cell))
+    values = cells.withColumns({"cx": place("x", x0), "cy": place("y", y0)})
+    v = cover.select(geom, "cx", "cy", F.col("cover").alias("_cover")).join(values, ["cx", "cy"])
     weight = F.col("_cover") / F.lit(cell * cell)
     known = F.when(F.col("value").isNotNull(), weight)
     agg = {
@@ -490,10 +466,10 @@ def water_share(non_water: DataFrame, non_sea: DataFrame, geom: str, digits: int
     return joined.select("area_id", "area_nonwater", "area_nonsea", clamp_zero(pct).alias("p_water"))
 
 
-def park_share(areas: DataFrame, parks: DataFrame, geom: str = "geom", park: str = "park_id", unit: float = 1.0, strip: float | None = None) -> DataFrame:
+def park_share(areas: DataFrame, parks: DataFrame, geom: str = "geom", park: str = "park_id", unit: float = 1.0, cell: float | None = None) -> DataFrame:
     """Park number, area, density and percentage for every area (0 without parks)."""
     areas = stored_edges(areas, geom)
-    overlap = overlay_area(areas, parks, geom, park, strip=strip, name="_a")
+    overlap = overlay_area(areas, parks, geom, park, cell=cell, name="_a")
     by_area = overlap.groupBy(geom).agg(F.count(F.lit(1)).alias("n_parks"), (F.sum("_a") / F.lit(unit)).alias("park_area"))
     size = polygon_area(areas, geom, unit, "_size")
     n, a = F.coalesce("n_parks", F.lit(0)), F.coalesce("park_area", F.lit(0.0))

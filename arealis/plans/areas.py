@@ -85,7 +85,7 @@ def _park_vertices(spark, sf, public: bool):
 @query("sp4_overlay_area", with_ctes("tracts parks", f"WITH {_OVERLAP_SQL} SELECT geom, park_id, {rnd('area')} AS area FROM ov"))
 def sp4(spark, sf):
     return rounded(
-        spatial.overlay_area(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, False), "geom", "park_id", strip=0.5)
+        spatial.overlay_area(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, False), "geom", "park_id")
     )
 
 
@@ -99,7 +99,7 @@ def sp4(spark, sf):
     ),
 )
 def cv3(spark, sf):
-    return rounded(spatial.park_share(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, True), strip=0.5))
+    return rounded(spatial.park_share(fx.tract_vertices(spark, sf), _park_vertices(spark, sf, True)))
 
 
 @query(
@@ -212,6 +212,43 @@ def cv7_two(spark, sf):
     return rounded(pc.loadings(d).join(pc.eigen_table(d), "component"))
 
 
+@query(
+    "cv5_supplementary_columns",
+    with_ctes(
+        "panel",
+        f"""WITH {_pair_sql('income', 'ue')}, s AS (SELECT {_PAIR_SCORE} AS one, ((a - ma) / sa - CASE WHEN r >= 0 THEN 1 ELSE -1 END * (b - mb) / sb) / sqrt(2) AS two, elder, disease
+          FROM f JOIN panel USING (tract, year, disease), st)
+        SELECT 'elder' AS variable, NULL AS level, 1 AS component, {rnd('corr(elder, one)')} AS value, count(elder) AS n FROM s
+        UNION ALL SELECT 'elder', NULL, 2, {rnd('corr(elder, two)')}, count(elder) FROM s
+        UNION ALL SELECT 'disease', disease, 1, {rnd('avg(one)')}, count(*) FROM s GROUP BY disease
+        UNION ALL SELECT 'disease', disease, 2, {rnd('avg(two)')}, count(*) FROM s GROUP BY disease""",
+    ),
+)
+def cv5_supplementary(spark, sf):
+    """A further column and the causes of death on the components of two columns."""
+    d = fx.panel(spark, sf)
+    pc = models.principal_components(d, ["income", "ue"])
+    return rounded(models.supplementary(d, pc, ["elder"], ["disease"]))
+
+
+@query(
+    "cv5_eigen_equations",
+    f"SELECT variable, component, CAST(0 AS DOUBLE) AS left_over FROM (SELECT unnest(['{"', '".join(INDEX_COLUMNS)}']) AS variable), (SELECT unnest([1, 2, 3, 4]) AS component)",
+)
+def cv5_equations(spark, sf):
+    """C v - lambda v of each component, with correlations from an aggregate of its own."""
+    d = fx.panel(spark, sf)
+    pc = models.principal_components(d, INDEX_COLUMNS)
+    known = d.select(*[F.coalesce(F.col(c).cast("double"), d.agg(F.avg(c)).scalar()).alias(c) for c in INDEX_COLUMNS])
+    cells = []
+    for i, a in enumerate(INDEX_COLUMNS):
+        for k in range(len(INDEX_COLUMNS)):
+            pulled = sum((F.corr(a, b) * float(pc.vectors[j, k]) for j, b in enumerate(INDEX_COLUMNS)), F.lit(0.0))
+            rest = pulled - float(pc.eigenvalues[k] * pc.vectors[i, k])
+            cells.append(F.struct(F.lit(a).alias("variable"), F.lit(k + 1).alias("component"), (F.round(rest, 9) + 0.0).alias("left_over")))
+    return known.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 _STUDY_SQL = f"""{_STATE_SQL},
 study AS (SELECT geoid, year, county, income, elder, n_outcome, CASE WHEN geoid LIKE '41%' THEN 'Oregon' ELSE 'Washington' END AS state
   FROM asm WHERE year IN (1996, 1997, 1998, 1999, 2000))"""
@@ -242,7 +279,7 @@ def cv8(spark, sf):
 )
 def cv9(spark, sf):
     v = spatial.stored_edges(fx.tract_vertices(spark, sf))
-    parks = spatial.park_share(v, _park_vertices(spark, sf, True), strip=0.5)
+    parks = spatial.park_share(v, _park_vertices(spark, sf, True))
     pm25 = spatial.zonal_statistic(fx.raster(spark, sf), v, 0.25, by=["year"]).withColumnRenamed("value", "pm25_mean")
     study = _study_panel(spark, sf).withColumn("geom", F.substring("geoid", 3, 10).cast("long"))
     out = panel_ops.add_covariates(study, [(parks, ["geom"]), (pm25, ["geom", "year"])])

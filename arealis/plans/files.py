@@ -93,6 +93,42 @@ def io4(spark, sf):
     return rounded(v.select(F.col("geom").alias("park_id"), F.col("seq").cast("long").alias("seq"), "x", "y"))
 
 
+def _courtyards(spark, sf):
+    """The parks with a hole of half their width and height in the middle."""
+    from .areas import _park_vertices
+
+    shell = _park_vertices(spark, sf, False)
+    p = fx.parks(spark, sf)
+    mid = lambda a, b, w: (F.col(a) * (1 - w) + F.col(b) * w).alias(a)
+    inner = p.select("park_id", mid("x0", "x1", 0.25), mid("y0", "y1", 0.25), mid("x1", "x0", 0.25), mid("y1", "y0", 0.25))
+    return shell.unionByName(spatial.rectangles_to_vertices(inner, "park_id").withColumn("ring", F.lit(1)))
+
+
+_YARDS_SQL = f"""SELECT park_id, CAST(0 AS BIGINT) AS part, g.ring, r.seq,
+    {rnd('x0 + (x1 - x0) * CASE WHEN g.ring = 0 THEN b ELSE 0.25 + 0.5 * b END')} AS x, {rnd('y0 + (y1 - y0) * CASE WHEN g.ring = 0 THEN c ELSE 0.25 + 0.5 * c END')} AS y
+    FROM parks, range(0, 2) g(ring), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) r(seq, b, c)"""
+
+
+def _vertex_rows(v):
+    return rounded(v.select("park_id", *[F.col(c).cast("long").alias(c) for c in ("part", "ring", "seq")], "x", "y"))
+
+
+@query("io4_geojson_polygons", with_ctes("parks", _YARDS_SQL))
+def io4_geojson(spark, sf):
+    """A layer with holes, written as a feature per line and read back."""
+    path = shared_folder(spark, "shapes")
+    files.polygon_shapes(_courtyards(spark, sf), "park_id").select(F.col("geojson").alias("value")).write.text(path)
+    return _vertex_rows(files.read_geojson_polygons(spark, path, "park_id", "long", lines=True))
+
+
+@query("io4_wkt_polygons", with_ctes("parks", _YARDS_SQL))
+def io4_wkt(spark, sf):
+    """The same layer from a table of well-known text."""
+    path = shared_folder(spark, "wkt")
+    files.write_table(files.polygon_shapes(_courtyards(spark, sf), "park_id").select("park_id", "wkt"), path)
+    return _vertex_rows(files.read_wkt_polygons(files.read_table(spark, path), "wkt", "park_id"))
+
+
 @query("io5_geojson_points", with_ctes("points facilities", f"SELECT facility_id, state, status, employees, {rnd('x')} AS x, {rnd('y')} AS y FROM facilities"))
 def io5(spark, sf):
     """A folder of files with one feature per line."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, models, panel as panel_ops, posterior, reshape, structure
+from ..operators import blocks, diagnostics, latent, models, panel as panel_ops, posterior, reshape, structure
 from . import fixtures as fx
+from ..operators.ranks import reliable_checkpoint
 from .areas import tract_graph
 from .fixtures import with_ctes
 from .registry import query, rnd, rounded
@@ -306,13 +307,95 @@ def md5_total(spark, sf):
     return joined.agg((F.round(rest, 3) + 0.0).alias("left_over")).withColumn("converged", F.lit(fit.converged))
 
 
+_TAU = dict.fromkeys(("area", "year", "area_slope", "year_slope", "interaction"), 0.5)
+_FAMILY = [m.name for m in models.MODEL_FAMILY]
+
+
+def _gaussian_family(spark, sf) -> latent.PanelModel:
+    edges, _, _ = tract_graph(spark, sf)
+    d = reliable_checkpoint(_scaled_panel(spark, sf).select("area", "year", "y", "x", "z"))
+    return latent.PanelModel(d, reliable_checkpoint(edges), "y", ["z"], "x", _TAU, _years(spark, sf))
+
+
+def _poisson_family(spark, sf) -> latent.PanelModel:
+    """Counts of all causes with log population as offset."""
+    edges, _, _ = tract_graph(spark, sf)
+    d = _poisson_panel(spark, sf).where("disease = 'Allcauses'").withColumnRenamed("tract", "area")
+    d = reliable_checkpoint(panel_ops.zscore(d, ["elder", "income"]).select("area", "year", "n_rec", "elder", "income", "log_pop"))
+    return latent.PanelModel(d, reliable_checkpoint(edges), "n_rec", ["income"], "elder", _TAU | {"area": 2.0, "interaction": 20.0}, _years(spark, sf), "poisson", "log_pop")
+
+
+def _area_scores(model: latent.PanelModel, fit: latent.Fit):
+    """Derivative of the penalised log-likelihood in the effect of every area."""
+    fitted = F.col("eta") if model.family == "gaussian" else F.exp("eta")
+    x = fit.area_effects().select("area", "effect")
+    data = fit.rows.groupBy("area").agg(F.sum(F.col(model.label) - fitted).alias("d"))
+    near = model.edges.join(x.select(F.col("area").alias("j"), F.col("effect").alias("u")), "j").groupBy(F.col("i").alias("area"))
+    near = near.agg(F.count(F.lit(1)).alias("deg"), F.sum("u").alias("near"))
+    all_ = x.join(data, "area", "left").join(near, "area", "left")
+    pull = F.coalesce("deg", F.lit(0)) * F.col("effect") - F.coalesce("near", F.lit(0.0))
+    return all_.select("area", (F.round(F.coalesce("d", F.lit(0.0)) - F.lit(model.tau["area"]) * pull, 4) + 0.0).alias("score"))
+
+
+@query("md1_poisson_area_effects")
+def md1_area_effects(spark, sf):
+    """Area effects of a Poisson model with covariates, year effects and population offset."""
+    model = _poisson_family(spark, sf)
+    return rounded(model.fit(models.MODEL_FAMILY[0]).area_effects())
+
+
+@query("md1_poisson_area_scores", "SELECT DISTINCT l_suppkey AS area, CAST(0 AS DOUBLE) AS score FROM lineitem")
+def md1_area_scores(spark, sf):
+    # at the mode, y - mu - tau * L x vanishes in every area
+    model = _poisson_family(spark, sf)
+    return _area_scores(model, model.fit(models.MODEL_FAMILY[0]))
+
+
+@query(
+    "md6_model_scores",
+    f"""SELECT model, area, CAST(0 AS DOUBLE) AS score FROM (SELECT DISTINCT l_suppkey AS area FROM lineitem),
+    (SELECT unnest(['{"', '".join(_FAMILY)}']) AS model)""",
+)
+def md6_scores(spark, sf):
+    # all terms of a model are fitted together: none of its areas has anything left
+    model = _gaussian_family(spark, sf)
+    out = None
+    for spec in models.MODEL_FAMILY:
+        part = _area_scores(model, model.fit(spec)).select(F.lit(spec.name).alias("model"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("md6_model_family")
 def md6(spark, sf):
-    edges, _, _ = tract_graph(spark, sf)
-    d = _scaled_panel(spark, sf).select("area", "year", "y", "x", "z")
-    tau = dict.fromkeys(("area", "year", "area_slope", "year_slope", "interaction"), 0.5)
-    fits = models.FamilyFit(d, edges, "y", "x", ["x", "z"], tau, _years(spark, sf), tol=1e-2)
-    return rounded(models.compare_models(fits), 3)
+    """WAIC, DIC and their parts for every model of the Gaussian family."""
+    return rounded(latent.compare(_gaussian_family(spark, sf)), 3)
+
+
+@query("md6_poisson_family")
+def md6_poisson(spark, sf):
+    """The same for counts, the base model, both slopes and the unstructured interaction."""
+    family = [m for m in models.MODEL_FAMILY if m.name in ("base", "area_slope", "both_slopes_I")]
+    return rounded(latent.compare(_poisson_family(spark, sf), family), 3)
+
+
+@query(
+    "md7_unstructured_complexity",
+    with_ctes(
+        "panel",
+        """SELECT count(*) AS n, round(count(*) / 1.25, 6) AS p_d, true AS near FROM (SELECT DISTINCT tract, year FROM panel)""",
+    ),
+)
+def md7_type_one(spark, sf):
+    # type I alone has p_d = sum of w / (w + tau) over the cells; draws come within 5 percent
+    full = _gaussian_family(spark, sf)
+    d = full.panel.withColumn("one", F.lit(1.0))
+    model = latent.PanelModel(d, full.edges, "y", [], "one", {"interaction": 0.25}, full.years)
+    spec = models.ModelSpec("type_one", interaction="I", area=False, year=False)
+    got = latent.criteria(model.fit(spec, draws=400))
+    # the intercept is one degree of freedom that the cells share
+    closed = F.col("n") / 1.25
+    return got.select("n", F.round(closed, 6).alias("p_d"), (F.abs(F.col("p_d") - closed) < 0.05 * closed + 1).alias("near"))
 
 
 _LL_SQL = "ll AS (SELECT row AS obs, draw, -0.5 * value * value - 0.9189385332046727 AS loglik, value FROM draws)"
@@ -352,6 +435,19 @@ def md7_points(spark, sf):
 # ---------------------------------------------------------------------- posterior
 
 
+@query("ps7_fitted_exceedance")
+def ps7_fitted(spark, sf):
+    """Mean, band and probability of a negative effect for every area of the fit of md3."""
+    edges, _, _ = tract_graph(spark, sf)
+    edges = reliable_checkpoint(edges)
+    d = _scaled_panel(spark, sf).groupBy("area").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("b"))
+    systems = reliable_checkpoint(d.select("area", F.array("w").alias("w"), F.array("b").alias("b")))
+    graph = blocks.dealt(edges, systems.select("area"))
+    mean = blocks.solve(systems, graph, [[0.5]]).values.select("area", F.get("x", F.lit(0)).alias("mean"))
+    spread = blocks.marginal_variances(systems, edges, graph, [[0.5]]).select("area", F.get("x", F.lit(0)).alias("variance"))
+    return rounded(latent.exceedance(mean, spread))
+
+
 def _unstacked(spark, sf, layout="block"):
     n = fx.n_effect_areas(spark, sf)
     d = posterior.unstack(fx.effects(spark, sf), "row", n, fx.N_YEARS, layout)

@@ -63,18 +63,11 @@ JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
 JSON_SEAM = r"\}\s*\{"
 
 
-def read_geojson_points(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
-    """Point features with the listed properties (a DDL string) and x, y.
-
-    ``path`` is a file or a folder of files. By default a file is one document, a
-    feature collection or a single feature. With ``lines`` every line is one; Spark
-    then splits files, so it is the form to use for large layers. A file of the
-    other kind, or text that isn't JSON, raises instead of losing features.
-    """
-    schema = (
-        f"type string, properties struct<{_as_struct(properties)}>, geometry struct<type:string,coordinates:array<double>>, "
-        f"features array<struct<properties:struct<{_as_struct(properties)}>,geometry:struct<type:string,coordinates:array<double>>>>"
-    )
+def _geojson_features(spark: SparkSession, path: str, properties: str, coordinates: str, lines: bool) -> DataFrame:
+    """Features ``f`` of documents with their properties and geometry; what isn't a
+    document of the stated kind raises instead of losing features."""
+    feature = f"properties:struct<{_as_struct(properties)}>,geometry:struct<type:string,coordinates:{coordinates}>"
+    schema = f"type string, {feature.replace('properties:', 'properties ').replace(',geometry:', ', geometry ')}, features array<struct<{feature}>>"
     text = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
     doc = text.select("value", F.from_json("value", schema).alias("d"))
     sound = F.col("d.type").isNotNull()
@@ -83,14 +76,83 @@ def read_geojson_points(spark: SparkSession, path: str, properties: str, lines:
     wrong = F.concat(F.lit(f"not one GeoJSON document in a {'line' if lines else 'file'}: "), F.substring("value", 1, 60))
     doc = doc.select(F.when(sound, F.col("d")).otherwise(F.raise_error(wrong)).alias("d")).select("d.*")
     one = F.array(F.struct("properties", "geometry"))
-    f = doc.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one)).alias("f"))
-    return f.select(
+    return doc.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one)).alias("f"))
+
+
+def read_geojson_points(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """Point features with the listed properties (a DDL string) and x, y.
+
+    ``path`` is a file or a folder of files. By default a file is one document, a
+    feature collection or a single feature. With ``lines`` every line is one; Spark
+    then splits files, so it is the form to use for large layers. A file of the
+    other kind, or text that isn't JSON, raises instead of losing features.
+    """
+    return _geojson_features(spark, path, properties, "array<double>", lines).select(
         "f.properties.*",
         F.try_element_at("f.geometry.coordinates", F.lit(1)).alias("x"),
         F.try_element_at("f.geometry.coordinates", F.lit(2)).alias("y"),
     )
 
 
+def read_geojson_polygons(spark: SparkSession, path: str, geom: str = "geom", kind: str = "string", lines: bool = False) -> DataFrame:
+    """Polygon and multipolygon features as a vertex table (geom, part, ring, seq, x, y).
+
+    ``geom`` is the property that names a polygon. Documents are as for points. A
+    feature without geometry has no vertices; one of another kind raises.
+    """
+    f = _geojson_features(spark, path, f"{geom} {kind}", "string", lines)
+    return _vertices(f.select(F.col(f"f.properties.{geom}").alias(geom), F.col("f.geometry.type").alias("_t"), F.col("f.geometry.coordinates").alias("_c")), geom)
+
+
+def read_wkt_polygons(df: DataFrame, wkt: str, geom: str = "geom") -> DataFrame:
+    """The same vertex table from a column of well-known text (POLYGON, MULTIPOLYGON).
+
+    Further ordinates of a point are left out; EMPTY and null have no vertices.
+    """
+    number = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+    text = F.trim(wkt)
+    body = F.regexp_extract(text, r"(?s)^\w+\s*(?:Z|M|ZM)?\s*(\(.*\))$", 1)
+    points = F.regexp_replace(body, rf"({number})\s+({number})(?:\s+{number})*", "[$1,$2]")
+    coordinates = F.when(F.upper(text).endswith("EMPTY"), F.lit(None)).otherwise(F.translate(points, "()", "[]"))
+    named = F.upper(F.regexp_extract(text, r"^(\w+)", 1))
+    name = F.when(named == "POLYGON", "Polygon").when(named == "MULTIPOLYGON", "MultiPolygon").otherwise(named)
+    return _vertices(df.select(geom, name.alias("_t"), coordinates.alias("_c")), geom)
+
+
+def _vertices(shapes: DataFrame, geom: str) -> DataFrame:
+    """Vertices of shapes (geom, _t type, _c coordinates as JSON text)."""
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    parts = (
+        F.when(F.col("_c").isNull(), F.lit(None).cast(many))
+        .when(F.col("_t") == "Polygon", F.array(F.from_json("_c", one)))
+        .when(F.col("_t") == "MultiPolygon", F.from_json("_c", many))
+        .otherwise(F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce("_t", F.lit("NULL")))))
+    )
+    d = shapes.select(geom, F.posexplode(parts).alias("part", "_rings"))
+    d = d.select(geom, "part", F.posexplode("_rings").alias("ring", "_points"))
+    d = d.select(geom, "part", "ring", F.posexplode("_points").alias("seq", "_p"))
+    return d.select(geom, "part", "ring", "seq", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
+
+
+def polygon_shapes(vertices: DataFrame, geom: str = "geom") -> DataFrame:
+    """(geom, wkt, geojson): every polygon as multipolygon text and as one feature, so a
+    layer can be written line by line with Spark's text writer."""
+    rings = vertices.groupBy(geom, "part", "ring").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))).alias("p")
+    )
+    parts = rings.groupBy(geom, "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "p"))), lambda r: r["p"]).alias("rings"))
+    whole = parts.groupBy(geom).agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "rings"))), lambda r: r["rings"]).alias("c"))
+    joined = lambda a: F.concat(F.lit("("), F.array_join(a, ", "), F.lit(")"))
+    point = lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))
+    wkt = joined(F.transform("c", lambda part: joined(F.transform(part, lambda ring: joined(F.transform(ring, point))))))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.col(geom)).alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), F.col("c").alias("coordinates")).alias("geometry"),
+    )
+    return whole.select(geom, F.concat(F.lit("MULTIPOLYGON "), wkt).alias("wkt"), F.to_json(feature).alias("geojson"))
+
+
 def _as_struct(ddl: str) -> str:
     return ", ".join(":".join(p.strip().split(None, 1)) for p in ddl.split(","))
 
