@@ -121,8 +121,8 @@ def grid_size(edges: DataFrame, geom: str = "geom") -> float:
     """
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
     area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
-    rings = edges.groupBy(geom, *RING).agg(area.alias("a"), F.sum(length).alias("l"), F.count(F.lit(1)).alias("n"))
-    a, l, n = rings.agg(F.sum(F.abs("a")), F.sum("l"), F.sum("n")).first()
+    rings = edges.groupBy(geom, *RING).agg(area.alias("_a"), F.sum(length).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    a, l, n = rings.agg(F.sum(F.abs("_a")), F.sum("_l"), F.sum("_n")).first()
     return max(l / n, math.sqrt(a / n)) or 1.0 if n else 1.0
 
 

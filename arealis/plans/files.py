@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import spatial
 from ..operators.ranks import ensure_checkpoint_dir
 from ..sources import files
 from . import fixtures as fx

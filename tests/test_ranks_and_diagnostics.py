@@ -110,3 +110,23 @@ def test_temporal_effect_is_refused(spark):
 def test_repeat_is_capped():
     out = models.repeat_until(lambda s, i: s + 1, 0, lambda s: False, max_iter=3)
     assert (out.result, out.iterations, out.converged) == (3, 3, False)
+
+
+def test_exact_kolmogorov_distribution():
+    from arealis.operators.diagnostics import kolmogorov_cdf
+
+    # values published with the method, and critical values of printed tables
+    assert kolmogorov_cdf(10, 0.274) == pytest.approx(0.6284796154565, abs=1e-12)
+    assert kolmogorov_cdf(2000, 0.04) == pytest.approx(0.99676943191714, abs=1e-10)
+    for n, d in ((1, 0.975), (2, 0.84189), (5, 0.56328), (10, 0.40925), (20, 0.29408), (40, 0.21012)):
+        assert kolmogorov_cdf(n, d) == pytest.approx(0.95, abs=2e-5)
+    assert kolmogorov_cdf(7, 0.01) == 0 and kolmogorov_cdf(7, 1.0) == 1
+
+
+def test_ks_method_depends_on_size_and_ties(spark):
+    from arealis.operators.diagnostics import kolmogorov_cdf, ks_normal
+
+    rows = [("few", float(v * v)) for v in range(12)] + [("ties", float(v // 2)) for v in range(12)] + [("many", float(v % 151)) for v in range(151)]
+    got = {r["g"]: r for r in ks_normal(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert {g: r["method"] for g, r in got.items()} == {"few": "exact", "ties": "asymptotic", "many": "asymptotic"}
+    assert got["few"]["p_value"] == pytest.approx(1 - kolmogorov_cdf(12, got["few"]["d"]))

@@ -62,3 +62,39 @@ def test_one_grid_is_read_by_several_tasks(spark, tmp_path):
     for c in cells:
         value = [c["row"], c["row"] + 0.5, None if c["row"] % 2 else c["row"]][c["col"]]
         assert c["value"] == value and c["x"] == 10 + 2 * (c["col"] + 0.5) and c["y"] == 20 + 2 * (400 - c["row"] - 0.5)
+
+
+SHAPES = [
+    ("a", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 1 1))"),
+    ("b", "multipolygon(((0 0,1 0,1 1,0 0)),((5.5 -1e1,6 0,6 1,5.5 -1e1),(5.6 -1, 5.7 0, 5.8 0, 5.6 -1)))"),
+    ("c", "POLYGON Z ((0 0 7, 1 0 7, 1 1 7, 0 0 7))"),
+    ("d", "POLYGON EMPTY"),
+    ("e", None),
+]
+
+
+def test_polygons_from_text_and_features(spark, tmp_path):
+    df = spark.createDataFrame(SHAPES, "geom string, shape string")
+    v = files.read_wkt_polygons(df.where("geom != 'e'"), "shape")
+    got = sorted(tuple(r) for r in v.collect())
+    assert [r[:4] for r in got if r[0] == "a"] == [("a", 0, 0, k) for k in range(5)] + [("a", 0, 1, k) for k in range(4)]
+    assert ("b", 1, 0, 0, 5.5, -10.0) in got and ("b", 1, 1, 2, 5.8, 0.0) in got and ("c", 0, 0, 1, 1.0, 0.0) in got
+    assert not [r for r in got if r[0] == "d"]
+    shapes = files.polygon_shapes(v)
+    again = files.read_wkt_polygons(shapes.select("geom", "wkt"), "wkt")
+    assert sorted(tuple(r) for r in again.collect()) == got
+    shapes.select("geojson").withColumnRenamed("geojson", "value").write.text(str(tmp_path / "lines"))
+    lines = files.read_geojson_polygons(spark, str(tmp_path / "lines"), lines=True)
+    assert sorted(tuple(r) for r in lines.collect()) == got
+    features = ",\n".join(r["geojson"] for r in shapes.collect())
+    single = '{"type":"Feature","properties":{"geom":"p"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}'
+    none = '{"type":"Feature","properties":{"geom":"q"},"geometry":null}'
+    (tmp_path / "all.json").write_text('{"type":"FeatureCollection","features":[' + f"{features},{single},{none}]}}")
+    whole = files.read_geojson_polygons(spark, str(tmp_path / "all.json"))
+    assert sorted(tuple(r) for r in whole.where("geom != 'p'").collect()) == got
+    assert whole.where("geom = 'p'").count() == 4
+
+
+def test_other_shapes_raise(spark):
+    with pytest.raises(Exception, match="not a polygon"):
+        files.read_wkt_polygons(spark.createDataFrame([("x", "LINESTRING (0 0, 1 1)")], "geom string, shape string"), "shape").collect()

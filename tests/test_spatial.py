@@ -74,7 +74,7 @@ def test_overlay_against_monte_carlo_grid(spark):
     # and each single overlap matches a fine grid count
     v = vertex_table(spark, SHAPES)
     rects = spark.createDataFrame([(f"{a},{b}", a, b, a + 2.0, b + 2.0) for a in np.arange(-5.0, 11, 2).tolist() for b in np.arange(-5.0, 11, 2).tolist()], "r string, x0 double, y0 double, x1 double, y1 double")
-    got = spatial.overlay_area(v, spatial.rectangles_to_vertices(rects, "r"), "geom", "r", strip=0.7).collect()
+    got = spatial.overlay_area(v, spatial.rectangles_to_vertices(rects, "r"), "geom", "r", cell=0.7).collect()
     total = {}
     for row in got:
         total[row["geom"]] = total.get(row["geom"], 0) + row["area"]
@@ -274,3 +274,21 @@ def test_index_of_rows_with_missing_values(spark):
     assert np.allclose(got, want)
     dropped = models.principal_components(d, ["a", "b"], missing="drop")
     assert dropped.mean == pytest.approx([11 / 3, 5.0])
+
+
+def test_disc_over_squares_meets_few_edges(spark):
+    """Pairs of edges grow with border cells, not with edges times squares."""
+    turn = 2 * np.pi * np.arange(10_001) / 10_000
+    ring = [(10 + 8.3 * np.cos(t), 10 + 8.3 * np.sin(t)) for t in turn[:-1]]
+    disc = vertex_table(spark, {"d": [ring + ring[:1]]}).withColumnRenamed("geom", "a")
+    side = spark.range(1000).select(F.col("id").alias("b"), (F.col("id") % 32 * 0.625).alias("x0"), (F.floor(F.col("id") / 32) * 0.625).alias("y0"))
+    squares = spatial.rectangles_to_vertices(side.select("b", "x0", "y0", (F.col("x0") + 0.625).alias("x1"), (F.col("y0") + 0.625).alias("y1")), "b")
+    got = {r["b"]: r["area"] for r in spatial.overlay_area(disc, squares, "a", "b").collect()}
+    x, y = (np.array([v[k] for v in ring]) for k in (0, 1))
+    whole = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    inside = [b for b in range(1000) if all((b % 32 * 0.625 + i - 10) ** 2 + (b // 32 * 0.625 + j - 10) ** 2 < 8.29**2 for i in (0, 0.625) for j in (0, 0.625))]
+    assert len(inside) > 400 and all(got[b] == pytest.approx(0.625**2, rel=1e-12) for b in inside)
+    assert sum(got.values()) == pytest.approx(whole, rel=1e-10)
+    cells = spatial.covered_cells(spatial.stored_edges(disc, "a"), 0.625, "a")
+    border, pieces = cells.where("pieces IS NOT NULL").agg(F.count(F.lit(1)), F.sum("n")).first()
+    assert border < 130 and pieces < 10_000 + 4 * border
