@@ -126,15 +126,14 @@ def dense_fit(rows, spec, family):
         at += len(k)
     c = np.array(null)
     eta = off + math.log(y.sum() / np.exp(off).sum()) if family == "poisson" else off
-    for _ in range(40):
+    for _ in range(25 if family == "poisson" else 1):
         w, z = (np.exp(eta), eta - off + y / np.exp(eta) - 1) if family == "poisson" else (np.ones(len(y)), y)
         kkt = np.block([[d.T @ (w[:, None] * d) + p, c.T], [c, np.zeros((len(c), len(c)))]])
         eta = off + d @ np.linalg.lstsq(kkt, np.concatenate([d.T @ (w * z), np.zeros(len(c))]), rcond=1e-12)[0][:width]
     return eta
 
 
-@pytest.mark.parametrize("family", ["gaussian", "poisson"])
-@pytest.mark.parametrize("kind", [None, "I", "IV"])
+@pytest.mark.parametrize("family, kind", [("gaussian", "II"), ("gaussian", "IV"), ("poisson", "I")])
 def test_joint_fit_is_that_of_the_dense_system(spark, family, kind):
     df, rows = panel(spark, family)
     edges = spark.createDataFrame(grid(4), "i long, j long")
@@ -151,7 +150,7 @@ def test_draws_have_the_complexity_of_the_hat_matrix(spark):
     edges = spark.createDataFrame(grid(4), "i long, j long")
     spec = models.ModelSpec("m", year=False)
     model = latent.PanelModel(df, edges, "y", [], "x", TAU, YEARS)
-    got = latent.criteria(model.fit(spec, draws=600)).first()
+    got = latent.criteria(model.fit(spec, draws=400)).first()
     area = np.eye(16)[[v[0] for v in rows]]
     closed = np.trace(np.linalg.solve(area.T @ area + TAU["area"] * laplacian(grid(4), 16), area.T @ area))
     assert got["n"] == len(rows) and abs(got["p_d"] - closed) < 0.06 * closed + 0.3
