@@ -438,7 +438,7 @@ def marginal_variances(systems: DataFrame, edges: DataFrame, graph: Dealt, k1, k
             out = []
             for r in pdf.itertuples():
                 s = pickle.loads(r.data)
-                out += _sent(s["d"], r.block, {"d": s["d"], "names": s["names"]}, None, s["x"][:, :, 1:])
+                out += _sent(s["d"], r.block, {"d": s["d"], "names": s["names"]}, None, s["x"][:, :, -draws:])
             yield pd.DataFrame(out, columns=["block", "source", "data", "sums"])
 
     def combined(pdf: pd.DataFrame) -> pd.DataFrame:
