@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -201,3 +202,61 @@ def test_supplementary_columns(spark):
         assert got["g", "b", k + 1] == pytest.approx(score[1::3, k].mean())
         assert got["g", None, k + 1] == pytest.approx(score[2::3, k].mean())
     assert models.supplementary(df, pc, categorical=["g"], k=1).agg(F.sum("n")).first()[0] == 200
+
+
+def test_many_blocks_are_eliminated_exactly(spark, monkeypatch):
+    # gradients took a job a step; levels of groups take two each, whatever the matrix
+    edges, systems, a, b = a_system(spark, 12)
+    graph = blocks.dealt(edges, systems.select("area"), 2, 20)
+    assert graph.blocks > blocks.GROUP and len(next(iter(graph.paths.values()))) >= 2
+    made = []
+    store = blocks.reliable_checkpoint
+    monkeypatch.setattr(blocks, "reliable_checkpoint", lambda d: made.append(1) or store(d))
+    got = blocks.solve(systems, graph, K1, tol=1e-11)
+    x = np.array([r["x"] for r in got.values.orderBy("area").collect()]).reshape(b.shape)
+    assert np.abs(x - np.linalg.solve(a, b)).max() < 1e-9
+    assert got.iterations == 0 and len(made) <= 8
+
+
+def test_wide_graphs_are_solved_by_gradients(spark):
+    edges, systems, a, b = a_system(spark, 9)
+    graph = blocks.dealt(edges, systems.select("area"), 2, 60, front=10)
+    assert graph.paths is None
+    got = blocks.solve(systems, graph, K1, tol=1e-11)
+    x = np.array([r["x"] for r in got.values.orderBy("area").collect()]).reshape(b.shape)
+    assert got.iterations > 0 and np.abs(x - np.linalg.solve(a, b)).max() < 1e-8
+
+
+@pytest.mark.parametrize("front", [blocks.FRONT, 0])
+def test_joint_fit_in_many_blocks_is_that_of_one(spark, front):
+    edges = spark.createDataFrame(grid(6), "i long, j long")
+    rng = np.random.default_rng(3)
+    rows = [(a, y, float(rng.normal()), float(rng.normal()), float(rng.normal())) for a in range(36) for y in (2001, 2002, 2003) if (a + y) % 5]
+    d = spark.createDataFrame(rows, "area long, year int, y double, x double, z double")
+    tau = dict.fromkeys(("area", "year", "area_slope", "year_slope", "interaction"), 0.5)
+    spec = models.ModelSpec("all", True, True, "IV")
+    out = []
+    for dense in (1500, 45):
+        model = latent.PanelModel(d, edges, "y", ["z"], "x", tau, [2001, 2002, 2003], dense=dense)
+        if dense == 45:
+            q = sum(n for _, n in model.unknowns(spec))
+            model._graphs[q] = blocks.dealt(edges, d.select("area").distinct(), q, dense, front)
+            assert model._graphs[q].blocks > 3 and (model._graphs[q].paths is None) == (front == 0)
+        fit = model.fit(spec, draws=3)
+        # effects and interaction share directions that only the predictor tells
+        out.append(np.array([r["eta"] for r in fit.rows.orderBy("area", "year").collect()]))
+    assert len(out[0]) == len(rows) and np.abs(out[0] - out[1]).max() < 1e-6
+
+
+def test_draws_are_not_stored(spark):
+    def size():
+        return sum(os.path.getsize(os.path.join(p, f)) for p, _, fs in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) for f in fs)
+
+    n, draws = 200, 400
+    edges = spark.createDataFrame([(a, a + s) for a in range(n) for s in (-1, 1) if 0 <= a + s < n], "i long, j long")
+    d = spark.createDataFrame([(a, y, float(a % 7), 1.0) for a in range(n) for y in (2001, 2002)], "area long, year int, y double, one double")
+    model = latent.PanelModel(d, edges, "y", [], "one", {"interaction": 0.25}, [2001, 2002], dense=50)
+    before = size()
+    got = latent.criteria(model.fit(models.ModelSpec("i", interaction="I", area=False, year=False), draws=draws)).first()
+    assert got["n"] == 2 * n
+    assert size() - before < n * 2 * draws * 8 / 4
