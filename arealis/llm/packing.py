@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -43,6 +44,8 @@ SENT_COUNTS = 400_000
 #: Bytes of words and ids that a worker remembers, with what an entry costs besides.
 KEPT = 96 << 20
 KEPT_ENTRY = 150
+#: Bytes of text that are encoded at once.
+TEXTS = 2 << 20
 ID = "<u4"
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -182,6 +185,12 @@ class Encoder:
         return [tokens[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker: its tasks share the vocabulary and what is remembered."""
+    return Encoder(path)
+
+
 def cut(ids: bytes, sequence: int, with_ids: bool) -> list[tuple]:
     """Pieces of one document: a shorter first piece, then full ones."""
     n = len(ids) // 4
@@ -211,10 +220,10 @@ def pieces(
     close = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = Encoder(path), np.zeros(sequence + 1, np.int64)
+        encoder, made = encoder_of(path), np.zeros(sequence + 1, np.int64)
         part = TaskContext.get().partitionId()
         for b in batches:
-            for i, j in text_slices(b.column("text")):
+            for i, j in text_slices(b.column("text"), TEXTS):
                 id_ = b.column("id").slice(i, j - i)
                 ids = encoder.encode_all(b.column("text").slice(i, j - i).to_pylist())
                 cuts = [cut(x + close, sequence, with_ids) for x in ids]
