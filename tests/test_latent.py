@@ -260,3 +260,63 @@ def test_draws_are_not_stored(spark):
     got = latent.criteria(model.fit(models.ModelSpec("i", interaction="I", area=False, year=False), draws=draws)).first()
     assert got["n"] == 2 * n
     assert size() - before < n * 2 * draws * 8 / 4
+
+
+def test_a_block_is_eliminated_in_layers(monkeypatch):
+    n, q = 400, 2
+    e = grid(20) + [(0, 21), (21, 0)]
+    links = [{"at": a, "other": 0, "there": b, "level": 0, "up": 0} for a, b in e if b < n]
+    links += [{"at": a, "other": 1, "there": a, "level": 1, "up": 1} for a in range(380, n)]
+    rng = np.random.default_rng(3)
+    w = rng.random((n, q, 1)) * np.eye(q) * (np.arange(n) % 7 > 0)[:, None, None]
+    d = blocks.Block(w, rng.normal(size=(n, q, 3)), links, 0, K1, np.zeros((q, q)))
+    sizes, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: sizes.append(len(a)) or solve(a, b))
+    f = d.front()
+    left, (y, z), _ = f.eliminated(1)
+    kept = rng.normal(size=(len(f.kept) * q, 3))
+    x = f.values(kept)
+    assert max(sizes) < n * q / 4  # the whole block before
+    i, r = f._places(f.gone), f._places(f.kept)
+    b = f.b.reshape(len(f.a), -1)
+    assert np.abs(y - solve(f.a[np.ix_(i, i)], b[i])).max() < 1e-10
+    assert np.abs(f.a[np.ix_(i, i)] @ z - f.a[np.ix_(i, r)]).max() < 1e-10
+    assert np.abs(f.a @ x.reshape(len(f.a), -1) - b)[i].max() < 1e-10
+
+
+def test_layers_join_neighbours_only():
+    # two pieces, one of them a ring, and areas that are not to be placed
+    i = np.array([0, 1, 2, 3, 4, 5, 7, 8, 9])
+    j = np.array([1, 2, 3, 4, 5, 0, 8, 9, 6])
+    of = np.array([0, 1, 2, 3, 4, 5, 7, 8, 10])
+    got = blocks.layers(i, j, of, 2)
+    assert sorted(np.concatenate(got).tolist()) == of.tolist()
+    at = {a: k for k, some in enumerate(got) for a in some.tolist()}
+    assert all(abs(at[a] - at[b]) <= 1 for a, b in zip(i.tolist(), j.tolist()) if a in at and b in at)
+    assert blocks.layers(i, j, np.array([], int), 2) == []
+
+
+def test_noise_of_a_link_is_drawn_once(monkeypatch):
+    calls, rng = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda s: calls.append(s) or rng(s))
+    root, none, known = blocks.root(K1), np.zeros((2, 2)), {}
+    got = [blocks.prior_noise(a, near, root, none, 4, 1, known) for a, near in ((1, [2, 2]), (2, [1, 1]))]
+    assert len(calls) == 2  # four without what is known: the link is listed twice at each end
+    assert np.array_equal(got[0], -got[1])
+    assert np.array_equal(got[0], blocks.prior_noise(1, [2, 2], root, none, 4, 1))
+
+
+def test_rows_take_the_draws_of_their_year_only(spark, monkeypatch):
+    years = list(range(2000, 2006))
+    rows = [(a, y, float((a * y) % 5), float(a % 3)) for a in range(9) for y in years]
+    d = spark.createDataFrame(rows, "area long, year int, y double, x double")
+    edges = spark.createDataFrame(grid(3), "i long, j long")
+    stored, store = [], latent.reliable_checkpoint
+    monkeypatch.setattr(latent, "reliable_checkpoint", lambda f: stored.append(f) or store(f))
+    model = latent.PanelModel(d, edges, "y", [], "x", dict.fromkeys(("area", "area_slope", "interaction"), 0.5), years)
+    specs = [models.ModelSpec("i", True, False, "I", year=False), models.ModelSpec("base", year=False)]
+    fits = [model.fit(s, draws=5) for s in specs]
+    assert len(stored) == 1  # moments of the rows, the same for both models
+    plan = latent.pointwise(fits[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("slice(e") == 3  # effect, slope and one of six years
+    assert latent.pointwise(fits[1]).count() == len(rows)
