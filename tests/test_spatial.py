@@ -292,3 +292,14 @@ def test_disc_over_squares_meets_few_edges(spark):
     cells = spatial.covered_cells(spatial.stored_edges(disc, "a"), 0.625, "a")
     border, pieces = cells.where("pieces IS NOT NULL").agg(F.count(F.lit(1)), F.sum("n")).first()
     assert border < 130 and pieces < 10_000 + 4 * border
+
+
+def test_edges_are_neither_sent_whole_nor_sorted_by_ring(spark, tmp_path):
+    # a file of a few bytes stands for many vertices: its size doesn't tell
+    spark.range(2000).write.parquet(str(tmp_path / "part"))
+    k = F.col("id")
+    rects = spark.read.parquet(str(tmp_path / "part")).select(k.alias("geom"), k.alias("x0"), k.alias("y0"), (k + 2).alias("x1"), (k + 3).alias("y1"))
+    edges = spatial.polygon_edges(spatial.rectangles_to_vertices(rects, "geom"))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortAggregate" not in plan
+    assert spatial.polygon_area(spatial.rectangles_to_vertices(rects, "geom")).where("area = 6").count() == 2000
