@@ -130,3 +130,16 @@ def test_ks_method_depends_on_size_and_ties(spark):
     got = {r["g"]: r for r in ks_normal(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
     assert {g: r["method"] for g, r in got.items()} == {"few": "exact", "ties": "asymptotic", "many": "asymptotic"}
     assert got["few"]["p_value"] == pytest.approx(1 - kolmogorov_cdf(12, got["few"]["d"]))
+
+
+def test_size_estimates_do_not_grow_in_a_loop(spark):
+    # an estimate of three times the digits in every round filled the driver's memory
+    d = spark.range(12).select((F.col("id") % 4).alias("a"), F.col("id").alias("c"))
+    for _ in range(8):
+        to = d.select("c", F.col("a").alias("to"))
+        d = ranks.reliable_checkpoint(d.join(to, "c").join(to.select("c"), "c").select(F.col("to").alias("a"), "c"))
+        text = d._jdf.queryExecution().optimizedPlan().stats().simpleString()
+        assert "E+" not in text
+    assert sorted((r["a"], r["c"]) for r in d.collect()) == sorted((k % 4, k) for k in range(12))
+    again = d.join(d.select(F.col("c").alias("a"), F.col("a").alias("x")), "a").where("c > 7")
+    assert sorted((r["c"], r["x"]) for r in again.collect()) == [(8, 0), (9, 1), (10, 2), (11, 3)]
