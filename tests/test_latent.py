@@ -1,3 +1,4 @@
+import functools
 import math
 import os
 
@@ -320,3 +321,19 @@ def test_rows_take_the_draws_of_their_year_only(spark, monkeypatch):
     plan = latent.pointwise(fits[0])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("slice(e") == 3  # effect, slope and one of six years
     assert latent.pointwise(fits[1]).count() == len(rows)
+
+
+def test_dealing_in_rounds_keeps_borders_short(spark, monkeypatch):
+    # a strip ten areas wide; small clusters that were put together by hash joined its far ends
+    at = {(k % 10, k // 10): k for k in range(3000)}
+    steps = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]
+    e = [(k, at[x + dx, y + dy]) for (x, y), k in at.items() for dx, dy in steps if (x + dx, y + dy) in at]
+    edges = spark.createDataFrame(e, "i long, j long")
+    areas = spark.range(3000).withColumnRenamed("id", "area")
+    monkeypatch.setattr(blocks, "deal", functools.partial(blocks.deal, links=8000))
+    monkeypatch.setattr(blocks, "_widest", lambda links, real=blocks._widest: seen.append(real(links)) or seen[-1])
+    seen = []
+    graph = blocks.dealt(edges, areas, 1, 40)
+    assert seen[0] < 200
+    sizes = [r["count"] for r in graph.placed.groupBy("block").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 40 and len(sizes) < 100
