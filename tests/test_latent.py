@@ -337,3 +337,11 @@ def test_dealing_in_rounds_keeps_borders_short(spark, monkeypatch):
     assert seen[0] < 200
     sizes = [r["count"] for r in graph.placed.groupBy("block").count().collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 40 and len(sizes) < 100
+
+
+def test_dealing_in_rounds_without_links_between_areas(spark):
+    edges = spark.createDataFrame([(100, 101), (101, 100), (3, 3), (5, 100)], "i long, j long")
+    areas = spark.range(40).withColumnRenamed("id", "area")
+    got = blocks.deal(edges, areas, 8, links=0).collect()
+    assert sorted(r["area"] for r in got) == list(range(40))
+    assert 5 <= len({r["block"] for r in got}) <= 10
